@@ -22,7 +22,7 @@ from lodestone.llm.common import map_arrow, stash
 TREES, DEPTH = 40, 64
 BLOCK_ROWS, QUERY_ROWS = 4096, 1024
 #: Share of a block's rows at which the trees stop ascending, and the least number of rows.
-SHARE, LEAST = 0.45, 200
+SHARE, LEAST = 0.55, 450
 NEIGHBOURS = 20
 
 
