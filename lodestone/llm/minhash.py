@@ -2,8 +2,8 @@
 
 Equal shingle sets become one node. One hash per shingle falls into one of 256 bins and each bin keeps its smallest; an empty
 bin copies from a filled one that a hash chooses. Bands of six bins make buckets. Each bucket offers only pairs of its most
-connected node with the others, and exact set sizes confirm them. Buckets whose nodes are then still in different
-components offer the pairs between those components, so that no link that a bucket shows is lost.
+connected node with the others, and exact set sizes confirm them. Nodes that share a bucket but are still in different
+components are then compared block by block, which returns only links, so that no link that a bucket shows is lost.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,6 +31,8 @@ SHINGLE_WORDS, PERCENT = 2, 80
 MEMO = 300_000
 #: Nodes whose sets are fetched by a broadcast of their ids; of more, by a shuffle.
 BROADCAST_NODES = 500_000
+#: Nodes and shingles in a block of a group, and columns of a block's matrix that are multiplied at once.
+BLOCK_NODES, BLOCK_SHINGLES, COLUMNS = 800, 400_000, 2048
 
 _mix = np.random.default_rng(97).integers(0, BINS, (4096, BINS))
 _odd = np.random.default_rng(98).integers(1, 1 << 63, BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -151,6 +154,46 @@ def _node_sets(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int) -
     return stash(found.select("node", "members").dropDuplicates(["node"]), "minhash-sets")
 
 
+def _compare(percent: int):
+    def f(group: pd.DataFrame) -> pd.DataFrame:
+        sets, nodes, components = group["members"].to_list(), group["node"].to_numpy(), group["component"].to_numpy()
+        n = len(sets)
+        sizes = np.array([len(s) for s in sets], np.float64)
+        _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        # a shingle of one set adds to no intersection
+        column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[at]
+        row = np.repeat(np.arange(n), sizes.astype(np.int64))
+        row, column = row[column >= 0], column[column >= 0]
+        common = np.zeros((n, n))
+        for first in range(0, int((times > 1).sum()), COLUMNS):
+            here = (column >= first) & (column < first + COLUMNS)
+            x = np.zeros((n, COLUMNS), np.float32)
+            x[row[here], column[here] - first] = 1
+            common += x @ x.T
+        linked = 100 * common >= percent * (sizes[:, None] + sizes - common)
+        a, b = np.nonzero(np.triu(linked & (components[:, None] != components), 1))
+        a, b = nodes[a], nodes[b]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return f
+
+
+def _links_in_groups(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components among nodes that share a bucket, directly or through others; (node, n, component, hub) of buckets.
+
+    A group is cut into blocks of bounded size and each pair of blocks is a task's unit. A unit multiplies the 0/1 matrix of
+    its sets with itself, which gives all intersections exactly, and returns the links alone.
+    """
+    edges = placed.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    groups = connected_components(edges).select("node", F.col("component").alias("group"))
+    members = placed.select("node", "n", "component").distinct().join(groups, "node")
+    blocks = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = members.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    units = other.select("node", "component", "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(sets, "node")
+    return units.groupBy("group", "i", "j").applyInPandas(_compare(percent), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, node of every document.
 
@@ -177,16 +220,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     links = stash(_confirmed(star, sets, percent), "minhash-links")
     found = stash(connected_components(links), "minhash-components")
 
-    # what the stars left apart: pairs between components that share a bucket and whose sizes allow a link
+    # what the stars left apart: buckets whose nodes are still in several components
     placed = entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    placed = stash(placed.join(mixed, "bucket").select("bucket", "node", "n", "component"), "minhash-mixed")
-    x, y = placed.alias("x"), placed.alias("y")
-    fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & fits)
-    across = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    across = stash(across, "minhash-across")
-    more = stash(_confirmed(across, _node_sets(docs, across, nodes, size), percent), "minhash-more-links")
+    placed = stash(placed.join(mixed, "bucket").join(hubs, "bucket").select("node", "n", "component", "hub"), "minhash-mixed")
+    more = stash(_links_in_groups(placed, sets, percent), "minhash-more-links")
     if more.take(1):
         found = stash(connected_components(links.unionByName(more)), "minhash-components")
 
