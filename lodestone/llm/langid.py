@@ -7,11 +7,11 @@ gains more than the penalty for another language.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +27,7 @@ PENALTY = 2.0
 #: A training task sends its counts on when it has read so many bytes.
 FLUSH_BYTES = 256 << 20
 
-_letter = re.compile(r"[^\W\d_]")
+_letter = regex.compile(r"\p{L}")
 #: Letters of ASCII in lower case, other bytes of UTF-8 letters as they are, everything else a blank.
 _fold = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -112,12 +112,12 @@ def _predict(langs: list[str], logs: np.ndarray, columns: int):
         for batch in batches:
             preds, scores, mixes = [], [], []
             for text in batch.column(columns - 1).to_pylist():
-                if not text or not langs or not (any(b > 127 for b in text[:0]) or _letter.search(text.decode("utf-8", "replace"))):
+                if not text or not langs or not _letter.search(text.decode("utf-8", "replace")):
                     preds.append("und")
                     scores.append(0.0)
                     mixes.append([])
                     continue
-                main, score, chosen = choose(trigrams(text), logs) if trigrams(text).size else (0, 0.0, [])
+                main, score, chosen = choose(trigrams(text), logs)
                 preds.append(langs[main])
                 scores.append(score)
                 mixes.append([(langs[i], s) for i, s in chosen])

@@ -17,7 +17,7 @@ MOST_PASSES = 3
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
 #: Rows that one running sum is made over, on average.
-RUN_ROWS = 20_000
+RUN_ROWS = 10_000
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -82,8 +82,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MOST_
     sized = stash(sized, "mix-sized")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     # one row a source, and one action: how many rows there are decides how many runs the sums are cut into
-    most = by_source.agg(F.max("n")).first()[0] or 0
-    runs = 1 + most // RUN_ROWS
+    most, n = by_source.agg(F.max("n"), F.sum("n")).first()
+    runs, parts = 1 + (most or 0) // RUN_ROWS, 1 + passes * (n or 0) // RUN_ROWS
     targets = stash(source_targets(weights_by_name(by_source.drop("n"), weights), passes), "mix-targets")
 
     spot = F.conv(F.substring("shuffle", 1, 8), 16, 10).cast("long")
@@ -93,19 +93,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MOST_
 
     budget = targets.agg(F.sum("source_size")).first()[0] or 0
     finish = (F.col("nth") * F.col("source_size") + F.col("_before") + F.col("size")) / F.col("target")
-    queue = placed.filter("target > 0").withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).withColumn("finish", finish)
-    # runs of equal width in finish time, which all sources fill in proportion to their targets
-    slots = 1 + (runs * len(weights)) * 8
-    slot = F.floor(F.least(F.col("finish"), F.lit(2.0)) * slots)
-    totals = queue.groupBy(slot.alias("slot")).agg(F.sum("size").alias("of_slot"))
-    reached = F.sum("of_slot").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))
-    first_over = totals.select("slot", (reached - F.col("of_slot")).alias("before"), reached.alias("reached")).filter(F.col("reached") > budget).orderBy("slot").first()
+    queue = placed.filter("target > 0").withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).select("doc_id", "shuffle", "size", "nth", finish.alias("finish"))
+    order = ["finish", "shuffle", "doc_id", "nth"]
+    queue = stash(queue.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "mix-queue")
+    # a row a range; the budget ends within one of them, and only that one is summed row by row
+    reached = F.sum("of_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    totals = queue.groupBy("part").agg(F.sum("size").alias("of_part")).withColumn("reached", reached)
+    first_over = totals.filter(F.col("reached") > budget).orderBy("part").first()
     if first_over is None:
         taken = F.when(F.col("target") > 0, F.lit(passes)).otherwise(0)
     else:
-        order = [F.col("finish"), F.col("shuffle"), F.col("doc_id"), F.col("nth")]
-        in_slot = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-        cut = queue.filter(slot == first_over["slot"]).select("finish", "shuffle", (in_slot + first_over["before"]).alias("total")).filter(F.col("total") > budget).orderBy("finish", "shuffle", "total").first()
+        before = first_over["reached"] - first_over["of_part"]
+        total = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) + before
+        cut = queue.filter(F.col("part") == first_over["part"]).select(*order, total.alias("total")).filter(F.col("total") > budget).orderBy(*order).first()
         taken = F.lit(0)
         for nth in range(passes):
             f = (nth * F.col("source_size") + F.col("_before") + F.col("size")) / F.col("target")

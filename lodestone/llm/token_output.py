@@ -24,8 +24,9 @@ from lodestone.llm.tokens import encoder
 END_ID = 2
 #: A shard is closed when its frames reach so many bytes.
 SHARD_BYTES = 2 << 20
-#: The dictionary is trained on the first bytes of the ids of so many documents, the smallest by hash of doc_id.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 4096, 64 << 10
+#: The dictionary is trained on the first bytes of the ids of so many documents, the smallest by hash of doc_id. What is
+#: gathered for that is bounded by the number of documents and the characters of each; every document is written whole.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 16_384, 4096, 64 << 10
 
 MAGIC = b"TIDS0001"
 _HEAD = struct.Struct("<8s32sBxxxI")
@@ -154,7 +155,7 @@ def write_shards(docs: DataFrame, end_id: int = END_ID, path: str | None = None,
     Null doc_ids come first; rows of equal doc_id are ordered by text. A null or empty text is its end id alone.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    some = texts.orderBy(F.xxhash64("doc_id"), "doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).limit(SAMPLE_DOCS).select("text")
+    some = texts.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).select("text")
     samples = [bytes(r[0]) for r in map_arrow(some, _samples(path), "sample binary").collect()]
     dictionary = train_dictionary(samples)
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
