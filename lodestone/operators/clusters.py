@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.operators.search import cosine
-from lodestone.operators.similarity import jaccard, similar_pairs, token_set
+from lodestone.operators.similarity import jaccard, similar_classes, similar_pairs, token_set
 from lodestone.plans.components import connected_components
 
 CONSOLIDATE, RECUR_COSINE, RECUR_JACCARD = 0.9, 0.9, 0.3
@@ -22,7 +22,7 @@ def consolidation_clusters(notes: DataFrame, threshold: float = CONSOLIDATE) ->
     """(id, component) of live notes of one kind that are similar, directly or through others."""
     live = notes.filter("coalesce(status, '') <> 'superseded'")
     sets = live.select("id", "kind", token_set(F.concat_ws(" ", "title", "body")).alias("tokens"))
-    found = connected_components(similar_pairs(sets, threshold, ["kind"]).select("a", "b"))
+    found = connected_components(similar_classes(sets, threshold, ["kind"]).select("a", "b"))
     return found.withColumnRenamed("node", "id")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import BLANK, blank_to_null
 from lodestone.operators.secrets import has_secret
-from lodestone.operators.similarity import DUPLICATE, greedy_batch, similar_pairs, token_set
+from lodestone.operators.similarity import DUPLICATE, greedy_batch, similar_classes, token_set
 
 MIN_BODY = 15
 
@@ -31,9 +31,13 @@ def gate(candidates: DataFrame, auto_adr: bool = False) -> DataFrame:
 
 
 def greedy_dedup(candidates: DataFrame, threshold: float = DUPLICATE) -> DataFrame:
-    """(id, ord, text) in order -> (id, accepted)."""
-    sets = candidates.select("id", token_set(F.col("text")).alias("tokens"))
-    return greedy_batch(candidates.select("id", "ord"), similar_pairs(sets, threshold))
+    """(id, ord, text) in order -> (id, accepted).
+
+    Rows of one set stand or fall with its first: that one is accepted and the others are like it, or an accepted row is
+    like all of them. So each needs a link to the first alone.
+    """
+    sets = candidates.select("id", "ord", token_set(F.col("text")).alias("tokens"))
+    return greedy_batch(candidates.select("id", "ord"), similar_classes(sets, threshold, order="ord"))
 
 
 def parsed_verdict() -> list[Column]:

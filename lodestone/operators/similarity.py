@@ -10,6 +10,8 @@ from lodestone.operators.search import cosine
 from lodestone.session import stash
 
 DUPLICATE, NEIGHBOURS = 0.8, 2
+#: Rows of each side in one unit of an exact vector search.
+BLOCK_CANDIDATES, BLOCK_CANON = 256, 2048
 
 
 def token_set(text: Column) -> Column:
@@ -32,15 +34,16 @@ def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     return postings.join(frequency, "token").withColumn("place", place).filter(F.col("place") <= longest).select("id", "n", "token")
 
 
-def similar_pairs(sets: DataFrame, threshold: float = DUPLICATE, blocks: list[str] | None = None) -> DataFrame:
-    """(a, b, similarity) with a < b and Jaccard of at least `threshold`, of rows (id, tokens, *blocks); a pair agrees in all blocks.
+def _classes(sets: DataFrame, blocks: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """(id, set_key, *blocks) of all rows with tokens, and one head row with `tokens` for each set in a block: its first row by `order`."""
+    full = sets.filter(F.size("tokens") > 0).withColumn("set_key", F.sha2(F.array_join(F.array_sort("tokens"), " ").cast("binary"), 256))
+    full = stash(full, "jaccard-sets")
+    heads = full.groupBy("set_key", *blocks).agg(F.min_by("id", F.struct(order, "id")).alias("id"), F.first("tokens").alias("tokens"))
+    return full.select("id", "set_key", *blocks), heads
 
-    Equal sets meet through one representative a block, so copies don't multiply candidates; their pairs are made after.
-    """
-    blocks = blocks or []
-    sets = stash(sets.withColumn("set_key", F.sha2(F.array_join(F.array_sort("tokens"), " ").cast("binary"), 256)), "jaccard-sets")
-    full = sets.filter(F.size("tokens") > 0)
-    heads = full.groupBy("set_key", *blocks).agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"))
+
+def _head_pairs(heads: DataFrame, threshold: float, blocks: list[str]) -> DataFrame:
+    """(a, b, a_key, b_key, similarity, *blocks) of similar heads that agree in all blocks, a < b."""
     prefixes = _prefixes(heads, threshold)
     l, r = prefixes.alias("l"), prefixes.alias("r")
     near = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.id") < F.col("r.id")) & (F.least("l.n", "r.n") >= F.lit(threshold) * F.greatest("l.n", "r.n") - 1e-9))
@@ -49,9 +52,30 @@ def similar_pairs(sets: DataFrame, threshold: float = DUPLICATE, blocks: list[st
     scored = near.join(side("a"), "a").join(side("b"), "b").withColumn("similarity", jaccard(F.col("a_tokens"), F.col("b_tokens"))).filter(F.col("similarity") >= threshold)
     for c in blocks:
         scored = scored.filter(F.col(f"a_{c}") == F.col(f"b_{c}"))
-    keys = scored.select("a_key", "b_key", "similarity", *[F.col(f"a_{c}").alias(c) for c in blocks])
+    return scored.select("a", "b", "a_key", "b_key", "similarity", *[F.col(f"a_{c}").alias(c) for c in blocks])
+
+
+def similar_classes(sets: DataFrame, threshold: float = DUPLICATE, blocks: list[str] | None = None, order: str = "id") -> DataFrame:
+    """(a, b, similarity): similar pairs of class representatives, and a pair (representative, member, 1) for each other row.
+
+    A class is all rows of one set in a block; its representative is the first by `order`. Copies add a row each, not a row
+    a pair, and no link between different sets is lost. `sets` has (id, tokens, *blocks, order).
+    """
+    blocks = blocks or []
+    members, heads = _classes(sets, blocks, order)
+    own = members.join(heads.select(F.col("id").alias("a"), "set_key", *blocks), ["set_key", *blocks]).filter(F.col("a") != F.col("id"))
+    return _head_pairs(heads, threshold, blocks).select("a", "b", "similarity").unionByName(own.select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+
+
+def similar_pairs(sets: DataFrame, threshold: float = DUPLICATE, blocks: list[str] | None = None) -> DataFrame:
+    """(a, b, similarity) with a < b, every pair of rows (id, tokens, *blocks) with Jaccard of at least `threshold` that agrees in all blocks.
+
+    For those who must test each pair of rows by something else; its size is that of the result, copies expanded.
+    """
+    blocks = blocks or []
+    members, heads = _classes(sets, blocks, "id")
+    keys = _head_pairs(heads, threshold, blocks).select("a_key", "b_key", "similarity", *blocks)
     own = heads.select(F.col("set_key").alias("a_key"), F.col("set_key").alias("b_key"), F.lit(1.0).alias("similarity"), *blocks)
-    members = full.select("id", "set_key", *blocks)
     x = members.select(F.col("id").alias("x"), F.col("set_key").alias("a_key"), *blocks)
     y = members.select(F.col("id").alias("y"), F.col("set_key").alias("b_key"), *blocks)
     pairs = keys.unionByName(own).join(x, ["a_key", *blocks]).join(y, ["b_key", *blocks])
@@ -72,10 +96,18 @@ def neighbours_lexical(candidates: DataFrame, canon: DataFrame, k: int = NEIGHBO
 
 
 def neighbours_by_vector(candidates: DataFrame, canon: DataFrame, k: int = NEIGHBOURS, threshold: float = 0.0) -> DataFrame:
-    """The k nearest canon vectors of each candidate of a stated set, by positive cosine of at least `threshold`. (id, vec) both."""
-    c = candidates.select(F.col("id").alias("candidate"), F.col("vec").alias("c_vec"))
-    t = canon.select(F.col("id").alias("neighbour"), F.col("vec").alias("t_vec"))
-    scored = t.join(c, F.col("candidate") != F.col("neighbour")).withColumn("score", cosine(F.col("c_vec"), F.col("t_vec"))).filter((F.col("score") > 0) & (F.col("score") >= threshold))
+    """The k nearest canon vectors of each candidate of a stated set, by positive cosine of at least `threshold`. (id, vec) both.
+
+    Exact, in blocks: both sides are dealt into blocks by hash and each pair of blocks is a key of the join, so its units are even
+    whatever the vectors are. Each task keeps the k best of a candidate before anything is shuffled.
+    """
+    n_c, n_t = candidates.count(), canon.count()
+    of_c, of_t = -(-n_c // BLOCK_CANDIDATES) or 1, -(-n_t // BLOCK_CANON) or 1
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    c = candidates.select(F.col("id").alias("candidate"), F.col("vec").alias("c_vec"), F.pmod(F.hash("id"), F.lit(of_c)).alias("c_block"), each(of_t).alias("t_block"))
+    t = canon.select(F.col("id").alias("neighbour"), F.col("vec").alias("t_vec"), F.pmod(F.hash("id"), F.lit(of_t)).alias("t_block"), each(of_c).alias("c_block"))
+    met = t.join(c, ["c_block", "t_block"]).filter(F.col("candidate") != F.col("neighbour"))
+    scored = met.withColumn("score", cosine(F.col("c_vec"), F.col("t_vec"))).filter((F.col("score") > 0) & (F.col("score") >= threshold)).select("candidate", "neighbour", "score")
     rank = F.row_number().over(Window.partitionBy("candidate").orderBy(F.desc("score"), "neighbour"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("candidate", "rank", "neighbour", "score")
 

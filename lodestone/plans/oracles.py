@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans.settings import ALLOW, ASK_CHARS, BENCH_ITEMS, COSINE_LEAST, DENY, KNN, QUERY, QUERY_TERMS, RECUR_COSINE, SEMANTIC_ID, TAIL_BYTES, WHO
+from lodestone.plans.settings import ALLOW, ASK_CHARS, ASK_EVERY, COSINE_LEAST, DENY, QUERY, QUERY_TERMS, RECUR_COSINE, SEMANTIC_ID, TAIL_BYTES, WHO
 from lodestone.sources.knowledge import LOG_NOW, RULES, TODAY
 
 
@@ -255,10 +255,10 @@ ORACLES: dict[str, str] = {
     "context_default": f"WITH {NOTES}, u AS (SELECT 0 AS section, id, kind, title, created, '' AS newest FROM notes WHERE kind = 'work-state' AND status <> 'done' UNION ALL SELECT 1, id, kind, title, created, created FROM notes WHERE kind = 'decision') SELECT section, id, kind, title, created FROM u ORDER BY section, newest DESC, id LIMIT 60",
     "who_is": f"WITH {NOTES} SELECT id, title FROM notes WHERE kind = 'person' AND (contains(lower(title), '{WHO}') OR contains(lower(id), '{WHO}') OR len(list_filter(tags, lambda t: contains(lower(t), '{WHO}'))) > 0)",
     "work_state_active": f"WITH {NOTES} SELECT id, status, title FROM notes WHERE kind = 'work-state' AND status <> 'done'",
-    "jaccard_pairs": f"WITH sets AS (SELECT doc_id, {TOKENS.format('text')} AS toks FROM documents), posting AS (SELECT doc_id, len(toks) AS n, unnest(toks) AS t FROM sets), common AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS k FROM posting x JOIN posting y ON x.t = y.t AND x.doc_id < y.doc_id AND least(x.n, y.n) >= 0.8 * greatest(x.n, y.n) - 1e-9 GROUP BY ALL) SELECT a, b, round(k::DOUBLE / (na + nb - k), 9) AS similarity FROM common WHERE k::DOUBLE / (na + nb - k) >= 0.8",
-    "neighbors_lexical": f"WITH c AS (SELECT item_id, {TOKENS.format('text')} AS toks FROM benchmark WHERE item_id < {BENCH_ITEMS}), d AS (SELECT doc_id, {TOKENS.format('text')} AS toks FROM documents), cp AS (SELECT item_id, len(toks) AS nc, unnest(toks) AS t FROM c), dp AS (SELECT doc_id, len(toks) AS nd, unnest(toks) AS t FROM d), s AS (SELECT item_id, doc_id, count(*)::DOUBLE / (nc + nd - count(*)) AS score FROM cp JOIN dp USING (t) GROUP BY item_id, doc_id, nc, nd) SELECT item_id AS candidate, row_number() OVER w AS rank, doc_id AS neighbour, round(score, 9) AS score FROM s WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY rank <= 2",
-    "neighbors_vector": f"WITH {VECTORS}, s AS (SELECT c.id AS candidate, t.id AS neighbour, {_dot('c.vec', 't.vec')} / (c.size * t.size) AS score FROM lens c JOIN lens t ON c.id <> t.id WHERE c.id < '{KNN}') SELECT candidate, row_number() OVER w AS rank, neighbour, round(score, 6) AS score FROM s WHERE score > 0 WINDOW w AS (PARTITION BY candidate ORDER BY score DESC, neighbour) QUALIFY rank <= 2",
-    "semantic_duplicates": f"WITH {NOTES}, {VECTORS}, s AS (SELECT c.id AS candidate, t.id AS neighbour, {_dot('c.vec', 't.vec')} / (c.size * t.size) AS score FROM lens c JOIN lens t ON c.id <> t.id WHERE c.id < '{KNN}' AND t.id IN (SELECT id FROM notes WHERE doc_id % 4 <> 3)) SELECT candidate, neighbour, round(score, 6) AS score FROM s WHERE score >= {COSINE_LEAST} QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY score DESC, neighbour) = 1",
+    "jaccard_pairs": f"WITH sets AS (SELECT doc_id, {TOKENS.format('text')} AS toks FROM documents), keyed AS (SELECT doc_id, toks, min(doc_id) OVER (PARTITION BY list_sort(toks)) AS head FROM sets WHERE len(toks) > 0), posting AS (SELECT doc_id, len(toks) AS n, unnest(toks) AS t FROM keyed WHERE doc_id = head), common AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS k FROM posting x JOIN posting y ON x.t = y.t AND x.doc_id < y.doc_id AND least(x.n, y.n) >= 0.8 * greatest(x.n, y.n) - 1e-9 GROUP BY ALL) SELECT a, b, round(k::DOUBLE / (na + nb - k), 9) AS similarity FROM common WHERE k::DOUBLE / (na + nb - k) >= 0.8 UNION ALL SELECT head, doc_id, 1.0 FROM keyed WHERE doc_id <> head",
+    "neighbors_lexical": f"WITH c AS (SELECT item_id, {TOKENS.format('text')} AS toks FROM benchmark), d AS (SELECT doc_id, {TOKENS.format('text')} AS toks FROM documents), cp AS (SELECT item_id, len(toks) AS nc, unnest(toks) AS t FROM c), dp AS (SELECT doc_id, len(toks) AS nd, unnest(toks) AS t FROM d), s AS (SELECT item_id, doc_id, count(*)::DOUBLE / (nc + nd - count(*)) AS score FROM cp JOIN dp USING (t) GROUP BY item_id, doc_id, nc, nd) SELECT item_id AS candidate, row_number() OVER w AS rank, doc_id AS neighbour, round(score, 9) AS score FROM s WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY rank <= 2",
+    "neighbors_vector": f"WITH {VECTORS}, s AS (SELECT c.id AS candidate, t.id AS neighbour, {_dot('c.vec', 't.vec')} / (c.size * t.size) AS score FROM lens c JOIN lens t ON c.id <> t.id WHERE substr(c.id, 2)::BIGINT % {ASK_EVERY} = 0) SELECT candidate, row_number() OVER w AS rank, neighbour, round(score, 6) AS score FROM s WHERE score > 0 WINDOW w AS (PARTITION BY candidate ORDER BY score DESC, neighbour) QUALIFY rank <= 2",
+    "semantic_duplicates": f"WITH {NOTES}, {VECTORS}, s AS (SELECT c.id AS candidate, t.id AS neighbour, {_dot('c.vec', 't.vec')} / (c.size * t.size) AS score FROM lens c JOIN lens t ON c.id <> t.id WHERE substr(c.id, 2)::BIGINT % {ASK_EVERY} = 0 AND t.id IN (SELECT id FROM notes WHERE doc_id % 4 <> 3)) SELECT candidate, neighbour, round(score, 6) AS score FROM s WHERE score >= {COSINE_LEAST} QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY score DESC, neighbour) = 1",
     "curate_gate": f"WITH {NOTES} SELECT id, CASE WHEN coalesce({_secret_any('concat_ws(chr(10), title, body, array_to_string(tags, chr(10)), author, source)', False)}, false) THEN 'contains-secret' WHEN kind = 'decision' THEN 'auto-adr-disabled' WHEN {_nb.format('title')} = '' OR length({_nb.format('body')}) < 15 THEN 'thin-content' END AS reason FROM notes WHERE doc_id % 4 = 3",
     "contradiction_check": f"WITH {NOTES}, {VECTORS}, asked AS (SELECT vec AS q, size AS q_size FROM lens WHERE id = '{SEMANTIC_ID}') SELECT id, title, path, round({_dot('vec', 'q')} / (size * q_size), 6) AS score FROM lens JOIN notes USING (id), asked WHERE kind = 'decision' AND status <> 'superseded' AND {_dot('vec', 'q')} / (size * q_size) >= {COSINE_LEAST} ORDER BY {_dot('vec', 'q')} / (size * q_size) DESC, id LIMIT 1",
     "consolidate_clusters": f"WITH RECURSIVE {NOTES}, {CONSOLIDATE} SELECT id, component FROM components",

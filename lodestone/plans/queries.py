@@ -98,27 +98,31 @@ def work_state_active(spark, d):
 @query
 def jaccard_pairs(spark, d):
     sets = K.table(spark, d, "documents").select(F.col("doc_id").alias("id"), similarity.token_set(F.col("text")).alias("tokens"))
-    return similarity.similar_pairs(sets).select("a", "b", F.round("similarity", 9).alias("similarity"))
+    return similarity.similar_classes(sets).select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
 @query
 def neighbors_lexical(spark, d):
-    c = K.table(spark, d, "benchmark").filter(F.col("item_id") < S.BENCH_ITEMS).select(F.col("item_id").alias("id"), similarity.token_set(F.col("text")).alias("tokens"))
+    c = K.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), similarity.token_set(F.col("text")).alias("tokens"))
     t = K.table(spark, d, "documents").select(F.col("doc_id").alias("id"), similarity.token_set(F.col("text")).alias("tokens"))
     return similarity.neighbours_lexical(c, t).withColumn("score", F.round("score", 9))
 
 
+def _asked():
+    return F.substring("id", 2, 18).cast("long") % S.ASK_EVERY == 0
+
+
 @query
 def neighbors_vector(spark, d):
     v = K.vectors(spark, d)
-    return similarity.neighbours_by_vector(v.filter(F.col("id") < S.KNN), v).withColumn("score", F.round("score", 6))
+    return similarity.neighbours_by_vector(v.filter(_asked()), v).withColumn("score", F.round("score", 6))
 
 
 @query
 def semantic_duplicates(spark, d):
     v = K.vectors(spark, d)
     in_canon = v.join(K.canon(K.notes(spark, d)).select("id"), "id", "left_semi")
-    return similarity.neighbours_by_vector(v.filter(F.col("id") < S.KNN), in_canon, 1, S.COSINE_LEAST).select("candidate", "neighbour", F.round("score", 6).alias("score"))
+    return similarity.neighbours_by_vector(v.filter(_asked()), in_canon, 1, S.COSINE_LEAST).select("candidate", "neighbour", F.round("score", 6).alias("score"))
 
 
 @query

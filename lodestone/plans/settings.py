@@ -9,7 +9,6 @@ TAIL_BYTES = 600
 #: The test vectors are nearly random, so thresholds are below production's.
 COSINE_LEAST = 0.3
 RECUR_COSINE = -0.2
-#: Stated query sets of the neighbour searches.
-BENCH_ITEMS = 1_000_000_000
-KNN = "n00000050"
+#: Vector searches ask for every row whose number this divides, against all rows.
+ASK_EVERY = 50
 ALLOW, DENY = ["/workshop/p1", "/workshop/p2"], ["/workshop/p2", "/workshop/p3"]
