@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.scalars import BLANK, blank_to_null
 from lodestone.operators.secrets import has_secret
 from lodestone.operators.similarity import DUPLICATE, greedy_batch, similar_classes, token_set
+from lodestone.session import stash
 
 MIN_BODY = 15
 
@@ -33,11 +34,14 @@ def gate(candidates: DataFrame, auto_adr: bool = False) -> DataFrame:
 def greedy_dedup(candidates: DataFrame, threshold: float = DUPLICATE) -> DataFrame:
     """(id, ord, text) in order -> (id, accepted).
 
-    Rows of one set stand or fall with its first: that one is accepted and the others are like it, or an accepted row is
-    like all of them. So each needs a link to the first alone.
+    Of rows of one set only the first can be accepted: either it is, and the others are like it, or an accepted row is like
+    all of them. So the rounds are over first rows alone. Rows without tokens are like nothing.
     """
     sets = candidates.select("id", "ord", token_set(F.col("text")).alias("tokens"))
-    return greedy_batch(candidates.select("id", "ord"), similar_classes(sets, threshold, order="ord"))
+    near = stash(similar_classes(sets, threshold, order="ord"), "greedy-classes")
+    later = near.filter("similarity = 1").select(F.col("b").alias("id"))
+    first = candidates.select("id", "ord").join(later, "id", "left_anti")
+    return greedy_batch(first, near.filter("similarity < 1")).unionByName(later.withColumn("accepted", F.lit(False)))
 
 
 def parsed_verdict() -> list[Column]:
