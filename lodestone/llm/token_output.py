@@ -155,7 +155,10 @@ def write_shards(docs: DataFrame, end_id: int = END_ID, path: str | None = None,
     Null doc_ids come first; rows of equal doc_id are ordered by text. A null or empty text is its end id alone.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    some = texts.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).select("text")
+    # rows with small hashes only, a few times as many as are wanted: so what meets in one task doesn't grow with the tasks
+    share = 4 * SAMPLE_DOCS / max(1, docs.count())
+    few = texts if share >= 1 else texts.filter(F.xxhash64("doc_id") < int(share * (1 << 64)) - (1 << 63))
+    some = few.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).select("text")
     samples = [bytes(r[0]) for r in map_arrow(some, _samples(path), "sample binary").collect()]
     dictionary = train_dictionary(samples)
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
