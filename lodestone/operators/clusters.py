@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.operators.search import cosine
-from lodestone.operators.similarity import jaccard, similar_classes, similar_pairs, token_set
+from lodestone.operators.similarity import jaccard, similar_classes, similar_sets, token_set
 from lodestone.plans.components import connected_components
+from lodestone.session import stash
 
 CONSOLIDATE, RECUR_COSINE, RECUR_JACCARD = 0.9, 0.9, 0.3
+#: Classes of a set in one block, and pairs of classes up to which a pair of sets is joined row by row.
+BLOCK_CLASSES, FEW_PAIRS = 512, 256
 
 
 def survivor_order() -> list[Column]:
@@ -40,19 +45,84 @@ def is_graduatable(allow_decisions: bool = False) -> Column:
     return F.coalesce(F.col("graduate"), F.lit(False)) & (memory | decision)
 
 
+def _spanning(least: float):
+    """Edges that join what a unit's links join: a forest, so a unit of n classes returns fewer than n rows however many links it has."""
+
+    def f(unit: pd.DataFrame) -> pd.DataFrame:
+        unit = unit.drop_duplicates("node")
+        nodes, brains, vecs = unit["node"].to_numpy(), pd.factorize(unit["brain"])[0], unit["vec"].to_list()
+        dims = np.array([len(v) for v in vecs])
+        x = np.zeros((len(vecs), dims.max()))
+        for i, v in enumerate(vecs):
+            x[i, : len(v)] = v
+        # components are summed one after another, as `cosine` sums them
+        dot, square = np.zeros((len(x), len(x))), np.zeros(len(x))
+        for c in x.T:
+            dot += np.multiply.outer(c, c)
+            square += c * c
+        length = np.multiply.outer(np.sqrt(square), np.sqrt(square))
+        known = (length > 0) & (dims[:, None] == dims)
+        linked = (np.where(known, dot / np.where(known, length, 1), 0.0) >= least) & (brains[:, None] != brains)
+        unseen, a, b = np.ones(len(x), bool), [], []
+        for root in range(len(x)):
+            if not unseen[root]:
+                continue
+            unseen[root], reached = False, [root]
+            while reached:
+                at = reached.pop()
+                new = np.flatnonzero(linked[at] & unseen)
+                unseen[new] = False
+                a += [nodes[at]] * len(new)
+                b += nodes[new].tolist()
+                reached += new.tolist()
+        return pd.DataFrame({"a": a, "b": b}, dtype=object)
+
+    return f
+
+
+def _class_links(classes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b) that join the classes (kind, set_key, brain, vec, node) of all pairs of similar sets (kind, a_key, b_key) whose links join them.
+
+    Pairs of sets with few pairs of classes are a join of a bounded number of rows each. For the others both sides are cut
+    into blocks, and a pair of blocks is a task's unit.
+    """
+    sizes = classes.groupBy("kind", "set_key").agg(F.count("*").alias("n"))
+    n = lambda side: sizes.select("kind", F.col("set_key").alias(f"{side}_key"), F.col("n").alias(f"{side}_n"))
+    sets = stash(sets.join(n("a"), ["kind", "a_key"]).join(n("b"), ["kind", "b_key"]), "recurrence-sets")
+    is_small = F.col("a_n") * F.col("b_n") <= FEW_PAIRS
+
+    side = lambda c: classes.select("kind", F.col("set_key").alias(f"{c}_key"), F.col("node").alias(c), F.col("brain").alias(f"{c}_brain"), F.col("vec").alias(f"{c}_vec"))
+    joined = sets.filter(is_small).join(side("a"), ["kind", "a_key"]).join(side("b"), ["kind", "b_key"])
+    small = joined.filter((F.col("a_brain") != F.col("b_brain")) & (cosine(F.col("a_vec"), F.col("b_vec")) >= least)).select("a", "b")
+
+    blocks = lambda c: F.ceil(F.col(f"{c}_n") / BLOCK_CLASSES)
+    units = sets.filter(~is_small).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), blocks("a") - 1)))
+    units = units.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), blocks("b") - 1))).filter((F.col("a_key") != F.col("b_key")) | (F.col("i") <= F.col("j")))
+    dealt = classes.join(sizes, ["kind", "set_key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK_CLASSES)))
+    part = lambda key, block: units.select("kind", "a_key", "b_key", "i", "j", F.col(key).alias("set_key"), F.col(block).alias("block")).join(dealt, ["kind", "set_key", "block"])
+    rows = part("a_key", "i").unionByName(part("b_key", "j")).select("kind", "a_key", "b_key", "i", "j", "node", "brain", "vec")
+    return small.unionByName(rows.groupBy("kind", "a_key", "b_key", "i", "j").applyInPandas(_spanning(least), "a string, b string"))
+
+
 def recurrence_clusters(notes: DataFrame, vectors: DataFrame, cosine_least: float = RECUR_COSINE, jaccard_least: float = RECUR_JACCARD, allow_decisions: bool = False) -> DataFrame:
-    """(id, component) of eligible notes that recur in at least two brains. Notes without a vector drop.
+    """(id, component) of eligible notes that recur in at least two brains. Notes without a vector of finite numbers drop.
 
     Pairs of one kind and different brains must be similar in both measures. Words find the pairs: notes whose sets share
-    none of their rarest tokens can't reach the Jaccard threshold.
+    none of their rarest tokens can't reach the Jaccard threshold. Notes of equal kind, words, brain and vector are one class,
+    which has the same links as each of them and none within itself, so copies add a row each and no pairs.
     """
-    pool = notes.filter(is_graduatable(allow_decisions)).join(vectors, "id").select("id", "kind", "brain", "vec", token_set(F.concat_ws(" ", "title", "body")).alias("tokens"))
-    pairs = similar_pairs(pool.select("id", "kind", "tokens"), jaccard_least, ["kind"])
-    side = lambda c: pool.select(F.col("id").alias(c), F.col("brain").alias(f"{c}_brain"), F.col("vec").alias(f"{c}_vec"))
-    edges = pairs.join(side("a"), "a").join(side("b"), "b").filter((F.col("a_brain") != F.col("b_brain")) & (cosine(F.col("a_vec"), F.col("b_vec")) >= cosine_least))
-    found = connected_components(edges.select("a", "b")).withColumnRenamed("node", "id")
-    spread = found.join(pool.select("id", "brain"), "id").groupBy("component").agg(F.countDistinct("brain").alias("brains")).filter("brains >= 2")
-    return found.join(spread.select("component"), "component").select("id", "component")
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    eligible = notes.filter(is_graduatable(allow_decisions) & F.col("brain").isNotNull())
+    pool = eligible.join(vectors.filter(finite), "id").select("id", "kind", "brain", "vec", token_set(F.concat_ws(" ", "title", "body")).alias("tokens"))
+    members, heads, pairs = similar_sets(pool.select("id", "kind", "brain", "vec", "tokens"), jaccard_least, ["kind"], carry=["brain", "vec"])
+    key = ["kind", "set_key", "brain", "vec"]
+    classes = stash(members.groupBy(*key).agg(F.min("id").alias("node")), "recurrence-classes")
+    own = heads.select("kind", F.col("set_key").alias("a_key"), F.col("set_key").alias("b_key"))
+    links = _class_links(classes, pairs.select("kind", "a_key", "b_key").unionByName(own), cosine_least)
+    found = connected_components(links)
+    placed = members.join(classes, key).join(found, "node").select("id", "brain", "component")
+    spread = placed.groupBy("component").agg(F.countDistinct("brain").alias("brains")).filter("brains >= 2")
+    return placed.join(spread.select("component"), "component").select("id", "component").distinct()
 
 
 def cluster_key(refs: Column) -> Column:

@@ -34,12 +34,12 @@ def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     return postings.join(frequency, "token").withColumn("place", place).filter(F.col("place") <= longest).select("id", "n", "token")
 
 
-def _classes(sets: DataFrame, blocks: list[str], order: str) -> tuple[DataFrame, DataFrame]:
-    """(id, set_key, *blocks) of all rows with tokens, and one head row with `tokens` for each set in a block: its first row by `order`."""
+def _classes(sets: DataFrame, blocks: list[str], order: str, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, set_key, *blocks, *carry) of all rows with tokens, and one head row with `tokens` for each set in a block: its first row by `order`."""
     full = sets.filter(F.size("tokens") > 0).withColumn("set_key", F.sha2(F.array_join(F.array_sort("tokens"), " ").cast("binary"), 256))
     full = stash(full, "jaccard-sets")
     heads = full.groupBy("set_key", *blocks).agg(F.min_by("id", F.struct(order, "id")).alias("id"), F.first("tokens").alias("tokens"))
-    return full.select("id", "set_key", *blocks), heads
+    return full.select("id", "set_key", *blocks, *(carry or [])), heads
 
 
 def _head_pairs(heads: DataFrame, threshold: float, blocks: list[str]) -> DataFrame:
@@ -67,19 +67,14 @@ def similar_classes(sets: DataFrame, threshold: float = DUPLICATE, blocks: list[
     return _head_pairs(heads, threshold, blocks).select("a", "b", "similarity").unionByName(own.select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
 
 
-def similar_pairs(sets: DataFrame, threshold: float = DUPLICATE, blocks: list[str] | None = None) -> DataFrame:
-    """(a, b, similarity) with a < b, every pair of rows (id, tokens, *blocks) with Jaccard of at least `threshold` that agrees in all blocks.
+def similar_sets(sets: DataFrame, threshold: float = DUPLICATE, blocks: list[str] | None = None, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, heads, pairs): rows (id, set_key, *blocks, *carry), one head a set in a block, and the similar pairs (a_key, b_key, *blocks) of different sets.
 
-    For those who must test each pair of rows by something else; its size is that of the result, copies expanded.
+    For those who must test rows of similar sets by something else as well.
     """
     blocks = blocks or []
-    members, heads = _classes(sets, blocks, "id")
-    keys = _head_pairs(heads, threshold, blocks).select("a_key", "b_key", "similarity", *blocks)
-    own = heads.select(F.col("set_key").alias("a_key"), F.col("set_key").alias("b_key"), F.lit(1.0).alias("similarity"), *blocks)
-    x = members.select(F.col("id").alias("x"), F.col("set_key").alias("a_key"), *blocks)
-    y = members.select(F.col("id").alias("y"), F.col("set_key").alias("b_key"), *blocks)
-    pairs = keys.unionByName(own).join(x, ["a_key", *blocks]).join(y, ["b_key", *blocks])
-    return pairs.filter((F.col("a_key") != F.col("b_key")) | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    members, heads = _classes(sets, blocks, "id", carry)
+    return members, heads, _head_pairs(heads, threshold, blocks)
 
 
 def neighbours_lexical(candidates: DataFrame, canon: DataFrame, k: int = NEIGHBOURS) -> DataFrame:

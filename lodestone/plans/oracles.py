@@ -301,4 +301,10 @@ ORACLES: dict[str, str] = {
     "scalars_path": f"SELECT page_id, coalesce(array_to_string(list_slice(string_split(remote_path, '/'), -2, -1), '/'), '') AS slug FROM (SELECT page_id, array_to_string(list_filter(string_split({_remote.replace('remote', 'url')}, '/'), lambda x: x <> ''), '/') AS remote_path FROM pages)",
     "scalars_identity": f"SELECT c_custkey, sha256(lower({_one.format('c_name')})) AS identity, {_slug('c_name')} || '-' || substr(sha256(lower({_one.format('c_name')})), 1, 10) AS contributor FROM customer",
     "router_render": f"WITH {NOTES}, r AS (SELECT source, CASE WHEN kind = 'decision' THEN 0 ELSE 1 END AS section, row_number() OVER (PARTITION BY source, kind ORDER BY CASE WHEN kind = 'decision' THEN created END DESC, id) AS place, '- [' || substr(trim(regexp_replace(regexp_replace(regexp_replace(title, '[\\r\\n]+', ' ', 'g'), '([\\[\\]`])', '\\\\\\1', 'g'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')), 1, 200) || '](' || path || ')' AS line FROM notes WHERE NOT superseded AND (kind = 'decision' OR (kind = 'work-state' AND status <> 'done'))) SELECT source, count(*) AS lines, string_agg(line, chr(10) ORDER BY section, place) AS markdown FROM r WHERE place <= 50 GROUP BY source",
+    "notes_parsed": f"""WITH {NOTES} SELECT path, id, kind, title, status, superseded_by, array_to_string(tags, ',') AS tags, array_to_string(relates, ',') AS relates,
+      length(regexp_replace(coalesce(body, ''), '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g'))::INTEGER AS chars, CASE WHEN coalesce(title, '') = '' THEN 'title' WHEN kind = 'person' THEN 'name' END AS error FROM notes""",
+    "transcript_parse": "SELECT conv_id, turn AS line_no, role || ': ' || text AS line FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL",
+    "staging_approve": f"""WITH {NOTES} SELECT id, CASE WHEN doc_id % 10 = 0 THEN 'canon' ELSE 'staged' END AS layer,
+      CASE WHEN doc_id % 10 = 0 AND coalesce(source, '') <> '' THEN source || '/' ELSE '' END || path AS path FROM notes WHERE doc_id % 5 = 0""",
 }
+ORACLES["lexical_search_indexed"] = ORACLES["lexical_search"]

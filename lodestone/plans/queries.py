@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import scalars
-from lodestone.operators import capture, clusters, coverage, curation, health, routing, search, secrets, similarity
+from lodestone.operators import capture, clusters, coverage, curation, health, index, routing, search, secrets, similarity, staging
 from lodestone.plans import settings as S
 from lodestone.plans.oracles import ORACLES  # noqa: F401
+from lodestone.session import shared_folder
+from lodestone.sources import files
 from lodestone.sources import knowledge as K
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +36,13 @@ def lexical_search(spark, d):
     return search.search_lexical(K.notes(spark, d), S.QUERY).select("id", "kind", "title", "path", "n_match", F.round("score", 6).alias("score"))
 
 
+@query
+def lexical_search_indexed(spark, d):
+    folder = f"{shared_folder(spark)}/lodestone/index-{uuid.uuid4().hex}"
+    index.build(K.notes(spark, d), folder)
+    return index.search(spark, folder, S.QUERY).select("id", "kind", "title", "path", "n_match", F.round("score", 6).alias("score"))
+
+
 @query
 def lexical_or_fallback(spark, d):
     # a term that no note holds makes the match fall back to any term
@@ -376,3 +386,23 @@ def router_render(spark, d):
 @query
 def emit_context(spark, d):
     return capture.emit_context(K.notes(spark, d))
+
+
+@query
+def notes_parsed(spark, d):
+    parsed = files.parse_notes(files.render_notes(K.notes(spark, d)))
+    return parsed.select("path", "id", "kind", "title", "status", "superseded_by", F.array_join("tags", ",").alias("tags"), F.array_join("relates", ",").alias("relates"), F.length("body").alias("chars"), "error")
+
+
+@query
+def transcript_parse(spark, d):
+    turns = K.table(spark, d, "conversations")
+    lines = turns.select("conv_id", F.col("turn").alias("line_no"), F.to_json(F.struct("role", F.col("text").alias("content"))).alias("json"))
+    return files.transcript_lines(lines).select("conv_id", "line_no", "line")
+
+
+@query
+def staging_approve(spark, d):
+    notes = K.notes(spark, d)
+    promoted, left, _ = staging.approve(notes.filter("doc_id % 5 = 0"), notes.filter("doc_id % 10 = 0").select("id"))
+    return promoted.select("id", F.lit("canon").alias("layer"), "path").unionByName(left.select("id", F.lit("staged").alias("layer"), "path"))
