@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestone.operators.search import B, IDF_FLOOR, K1, LIMIT, fresh_first, index_rows, query_terms, tokens
 from lodestone.session import stash
@@ -45,8 +44,8 @@ def search(spark: SparkSession, folder: str, query: str, limit: int = LIMIT, kin
     if not include_superseded:
         of_terms = of_terms.filter(~F.col("superseded"))
     hits = of_terms.groupBy("row").agg(F.first("id").alias("id"), F.first("status").alias("status"), F.count("*").alias("n_match"), F.sum(part).alias("score"))
-    most = F.max("n_match").over(Window.partitionBy())
-    best = hits.withColumn("most", most).filter((F.col("most") < len(terms)) | (F.col("n_match") == len(terms))).orderBy(*fresh_first()).limit(limit)
+    most = F.broadcast(hits.agg(F.max("n_match").alias("most")))
+    best = hits.join(most).filter((F.col("most") < len(terms)) | (F.col("n_match") == len(terms))).orderBy(*fresh_first()).limit(limit)
     # `limit` rows
     found = read("notes").join(F.broadcast(best.select("row", "n_match", "score")), "row")
     return found.select("id", "kind", "title", "path", "source", "status", "tag_text", F.col("n_match").cast("int").alias("n_match"), "score").orderBy(*fresh_first())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.scalars import collapse
+from lodestone.session import stash
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 RRF_K, CANDIDATES, LIMIT = 60, 50, 20
@@ -14,7 +15,7 @@ RRF_K, CANDIDATES, LIMIT = 60, 50, 20
 
 def tokens(text: Column) -> Column:
     """ASCII letters and digits in lower case; all else parts tokens."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
 def query_terms(query: str) -> list[str]:
@@ -38,34 +39,31 @@ def index_rows(notes: DataFrame) -> DataFrame:
 def lexical(notes: DataFrame, query: str, kind: str | None = None, source: str | None = None, include_superseded: bool = False) -> DataFrame:
     """id, kind, title, path, source, status, n_match, score: notes that hold all query terms, or any if none holds all.
 
-    BM25 over id, kind, title, tags and body with k1 1.2, b 0.75; document counts and lengths are those of all notes. One scan
-    makes term counts, an aggregate of one row gives the corpus figures, and whether any note holds all terms is a window
-    over what matched.
+    BM25 over id, kind, title, tags and body with k1 1.2, b 0.75; document counts and lengths are those of all notes. Term
+    counts are made once and written without the texts; an aggregate of one row gives the corpus figures and the most terms
+    that a note holds, and is broadcast.
     """
     terms = query_terms(query)
     rows = index_rows(notes).withColumn("tokens", tokens(F.concat_ws(" ", "id", "kind", "title", "tag_text", "body")))
-    rows = rows.withColumn("dl", F.size("tokens"))
-    for i, term in enumerate(terms):
-        rows = rows.withColumn(f"tf{i}", F.size("tokens") - F.size(F.array_remove("tokens", term)))
-    rows = rows.drop("tokens", "body")
-    corpus = rows.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
-    wanted = rows.filter(F.lit(False) if not terms else F.greatest(F.lit(0), *[F.col(f"tf{i}") for i in range(len(terms))]) > 0)
+    counts = [(F.size("tokens") - F.size(F.array_remove("tokens", t))).alias(f"tf{i}") for i, t in enumerate(terms)]
+    rows = stash(rows.select("id", "kind", "title", "path", "source", "status", "tag_text", "superseded", F.size("tokens").alias("dl"), *counts), "lexical-counts")
+    passes = F.lit(include_superseded) | ~F.col("superseded")
     if kind:
-        wanted = wanted.filter(F.col("kind") == kind)
+        passes = passes & (F.col("kind") == kind)
     if source:
-        wanted = wanted.filter(F.col("source") == source)
-    if not include_superseded:
-        wanted = wanted.filter(~F.col("superseded"))
+        passes = passes & (F.col("source") == source)
     score, matched = F.lit(0.0), F.lit(0)
     for i in range(len(terms)):
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("n_docs") - df + 0.5) / (df + 0.5)))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         matched = matched + (tf > 0).cast("int")
-    # corpus is one row
-    scored = wanted.join(F.broadcast(corpus)).select("id", "kind", "title", "path", "source", "status", "tag_text", matched.alias("n_match"), score.alias("score"))
-    best = F.max("n_match").over(Window.partitionBy())
-    return scored.withColumn("most", best).filter((F.col("most") < len(terms)) | (F.col("n_match") == len(terms))).drop("most")
+    held = [F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]
+    corpus = rows.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), F.max(F.when(passes, matched)).alias("most"), *held)
+    # corpus is one row; the most terms held are all of them or, if no note holds all, any will do
+    hits = rows.filter(passes & (matched > 0)).join(F.broadcast(corpus))
+    hits = hits.filter((F.col("most") < len(terms)) | (matched == len(terms)))
+    return hits.select("id", "kind", "title", "path", "source", "status", "tag_text", matched.alias("n_match"), score.alias("score"))
 
 
 def fresh_first() -> list[Column]:
