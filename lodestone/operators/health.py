@@ -49,10 +49,14 @@ def flags(notes: DataFrame, now: str, stale_days: int = STALE_DAYS, group: str |
 
 
 def buckets(flagged: DataFrame) -> DataFrame:
-    """(bucket, n, ids): a row for each bucket that has notes, ids in order."""
+    """(bucket, n, id): a row for each note in a bucket, with the bucket's size; a list of a bucket's ids would grow with the notes."""
     names = ["stale", "unverified", "contradicted", "orphaned"]
     which = F.explode(F.array_compact(F.array(*[F.when(F.col(b), F.lit(b)) for b in names])))
-    return flagged.select("id", which.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+    rows = flagged.select("id", which.alias("bucket"))
+    sizes = flagged.agg(*[F.count(F.when(F.col(b), 1)).alias(b) for b in names])
+    # one row of four sizes
+    size = F.coalesce(*[F.when(F.col("bucket") == b, F.col(b)) for b in names])
+    return rows.join(F.broadcast(sizes)).select("bucket", size.alias("n"), "id")
 
 
 def score(flagged: DataFrame, *by: str) -> DataFrame:

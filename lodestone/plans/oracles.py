@@ -265,12 +265,12 @@ ORACLES: dict[str, str] = {
     "consolidate_plan": f"WITH RECURSIVE {NOTES}, {CONSOLIDATE} SELECT id AS duplicate, survivor FROM members WHERE place > 1",
     "supersede_apply": f"WITH RECURSIVE {NOTES}, {CONSOLIDATE}, p AS (SELECT id AS d, survivor FROM members WHERE place > 1) SELECT n.id, CASE WHEN p.d IS NOT NULL AND kind IN ('memory', 'decision') THEN 'superseded' ELSE status END AS status, CASE WHEN p.d IS NOT NULL AND kind IN ('memory', 'decision') THEN survivor ELSE superseded_by END AS superseded_by FROM notes n LEFT JOIN p ON p.d = n.id",
     "graduate_candidates": f"WITH RECURSIVE {NOTES}, {VECTORS}, {GRADUATE} SELECT * FROM graduated",
-    "graduate_suppressed": f"WITH RECURSIVE {NOTES}, {VECTORS}, {GRADUATE}, k AS (SELECT cluster_key, row_number() OVER (ORDER BY cluster_key) AS n FROM graduated) SELECT cluster_key FROM k WHERE n % 3 <> 1",
+    "graduate_suppressed": f"WITH RECURSIVE {NOTES}, {VECTORS}, {GRADUATE} SELECT cluster_key FROM graduated WHERE substr(cluster_key, 1, 1) NOT IN ('0', '3', '6', '9', 'c', 'f')",
     "verdict_plan": f"WITH {NOTES}, {VERDICTS} SELECT * FROM plan",
     "capture_outcomes": f"WITH {NOTES}, {VERDICTS} SELECT count(*) AS n, count(*) FILTER (action = 'stage') AS staged, count(*) FILTER (reason = 'llm-trivia') AS trivia, count(*) FILTER (reason = 'llm-duplicate') AS duplicates, count(supersedes) AS supersedes, count(contradicts) AS contradicts, count(clamped) AS clamped FROM plan",
     "brain_map_kinds": f"WITH {NOTES}, k AS (SELECT * FROM (VALUES (0, 'memory'), (1, 'decision'), (2, 'work-state'), (3, 'person')) AS t(kind_ord, kind)) SELECT kind_ord, kind, count(id) AS n FROM k LEFT JOIN notes USING (kind) GROUP BY ALL",
     "brain_map_contributors": f"WITH {NOTES} SELECT coalesce(nullif(trim(author), ''), '(unattributed)') AS contributor, count(*) AS n FROM notes GROUP BY 1",
-    "health_buckets": f"WITH {NOTES}, {FLAGS}, b AS (SELECT id, 'stale' AS bucket FROM flags WHERE stale UNION ALL SELECT id, 'unverified' FROM flags WHERE unverified UNION ALL SELECT id, 'contradicted' FROM flags WHERE contradicted UNION ALL SELECT id, 'orphaned' FROM flags WHERE orphaned) SELECT bucket, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM b GROUP BY bucket",
+    "health_buckets": f"WITH {NOTES}, {FLAGS}, b AS (SELECT id, 'stale' AS bucket FROM flags WHERE stale UNION ALL SELECT id, 'unverified' FROM flags WHERE unverified UNION ALL SELECT id, 'contradicted' FROM flags WHERE contradicted UNION ALL SELECT id, 'orphaned' FROM flags WHERE orphaned) SELECT bucket, count(*) OVER (PARTITION BY bucket) AS n, id FROM b",
     "health_score": f"WITH {NOTES}, {FLAGS} SELECT {SCORE} FROM flags",
     "health_by_project": f"WITH {NOTES}, {_flags(' AND r.source = n.source')} SELECT source, {SCORE} FROM flags GROUP BY source",
     "coverage_windows": f"WITH {WINDOWS} SELECT brain, short_seen, short_productive, long_seen, long_productive, round(short_ratio, 9) AS short_ratio, round(long_ratio, 9) AS long_ratio FROM windows",
