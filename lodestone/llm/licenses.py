@@ -1,8 +1,9 @@
 """Licence scan by a positional index of templates' rare words.
 
-Document frequencies of the templates' words, counted over all documents, rank the words. A file's rarest licence words are
-looked up; a posting (template, place) and the word's place in the file give the place where the template would begin.
-Beginnings that enough of the template's words agree on are verified by the template's mandatory phrases.
+Document frequencies of the templates' words, counted over all documents, rank the words. Each template's rarest places are
+looked up in every file; a posting (template, place) and the word's place in the file give the place where the template would
+begin. A template has so many places in the index that every beginning with LEAST of its words in place meets VOTES of them,
+whatever else the file holds. Such beginnings are verified by the share of words in place and the mandatory phrase.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("mpl", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
-#: A file's rarest licence words that are looked up.
-RAREST = 12
+#: Looked-up places that must agree on a beginning before it is verified.
+VOTES = 2
 #: Share of a template's words that must stand at their places.
 LEAST = 0.6
 
@@ -60,30 +61,29 @@ def phrase_places(ws: list[bytes], phrase: list[bytes]) -> list[int]:
 
 
 class Index:
-    """word -> [(template, place)], for words by rarity."""
+    """word -> [(template, place)], for the rarest places of each template."""
 
     def __init__(self, idf: dict[bytes, float]) -> None:
-        self.idf = idf
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for t, (_, _, body) in enumerate(_templates):
-            for place, w in enumerate(body):
-                self.postings[w].append((t, place))
+            n = len(body)
+            # a match may lack so many places; VOTES more can't all be among them
+            lacking = n - next(m for m in range(n + 1) if m / n >= LEAST)
+            for place in sorted(range(n), key=lambda i: (-idf.get(body[i], 0.0), body[i], i))[: lacking + VOTES]:
+                self.postings[body[place]].append((t, place))
 
     def matches(self, ws: list[bytes]) -> list[tuple[str, int, float]]:
         """(label, first word, share of the template's words in place) of verified templates."""
-        own = _vocabulary.intersection(ws)
-        if not own:
-            return []
-        rare = set(sorted(own, key=lambda w: (-self.idf.get(w, 0.0), w))[:RAREST])
+        postings = self.postings
         votes: Counter[tuple[int, int]] = Counter()
         for at, w in enumerate(ws):
-            if w in rare:
-                for t, place in self.postings[w]:
+            if w in postings:
+                for t, place in postings[w]:
                     votes[t, at - place] += 1
         out = []
         for (t, begin), n in votes.items():
             label, phrase, body = _templates[t]
-            if n < 2:
+            if n < VOTES:
                 continue
             lo, hi = max(0, begin), min(len(ws), begin + len(body))
             share = sum(ws[i] == body[i - begin] for i in range(lo, hi)) / len(body)

@@ -33,3 +33,28 @@ def test_templates(spark):
     assert out[1].labels == label and out[1].score == 1.0 and out[1].spans[0].first_word == 1
     assert out[2].labels == label and 0.9 < out[2].score < 1
     assert out[3].labels == "" and out[4].labels == "" and out[4].score == 0
+
+
+def test_no_template_hides_another(spark):
+    bodies = [body for _, _, body in licenses.TEMPLATES]
+    every = {label for label, _, _ in licenses.TEMPLATES}
+    strewn = " x ".join(sorted({w for body in bodies for w in body.split()}))
+    rows = [(0, " stop ".join(bodies)), (1, f"{strewn} stop {' stop '.join(bodies)}")]
+    # common words are the least rare, as in any prose
+    rows += [(100 + i, "a and any as by can for from in is it may not of or that the this to under use with you your") for i in range(40)]
+    # every template alone among all templates' words, and with as many words altered as a match may have, at its rarest places
+    idf = {w: float(i) for i, w in enumerate(sorted(licenses._vocabulary))}
+    for i, (_, phrase, body) in enumerate(licenses.TEMPLATES):
+        rows.append((10 + i, f"{strewn} stop {body}"))
+        ws, kept = body.split(), phrase.split()
+        at = next(j for j in range(len(ws)) if ws[j : j + len(kept)] == kept)
+        lacking = len(ws) - next(m for m in range(len(ws) + 1) if m / len(ws) >= licenses.LEAST)
+        free = sorted((j for j in range(len(ws)) if not at <= j < at + len(kept)), key=lambda j: -idf[ws[j].encode()])
+        altered = ["zz" if j in free[:lacking] else w for j, w in enumerate(ws)]
+        share = sum(a == b for a, b in zip(altered, ws, strict=True)) / len(ws)
+        assert (licenses.TEMPLATES[i][0], 0, share) in licenses.Index(idf).matches([w.encode() for w in altered])
+    out = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    whole = lambda r: {x.label for x in r.spans if x.share == 1.0}
+    assert whole(out[0]) == whole(out[1]) == every
+    for i, (label, _, _) in enumerate(licenses.TEMPLATES):
+        assert label in whole(out[10 + i])
