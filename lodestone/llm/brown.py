@@ -1,11 +1,11 @@
 """Class-based bigram model: exchange clustering assigns words to classes; transitions and emissions give a smoothed score.
 
-1. Words of all training documents are counted.
-2. Documents are encoded: the HEAD most frequent words get numbers, every other word stays with its count in the document.
-   A class by its ending holds for the words that exchange doesn't move.
-3. Bigrams of the EXCHANGE most frequent words, the endings' classes and the text end are counted over all training
-   documents, and exchange rounds move words to the class that raises the class bigrams' likelihood most.
-4. Class transitions are counted over all training documents, and every document is scored: its head words in place, the
+1. Words of all training documents are counted; those that stand LEAST times get numbers and are found by their hashes.
+2. Documents are encoded: every other word stays with its count in the document and goes by a class of its ending.
+3. Each turn counts the classes beside every numbered word over all training documents, and every such word is offered the
+   class that raises the class bigrams' likelihood most. Words move at once; of the moves of a turn the share of greatest gain
+   is taken that raises the likelihood most.
+4. Class transitions are counted over all training documents, and every document is scored: its numbered words in place, the
    others by a join with the counts.
 """
 
@@ -14,25 +14,32 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import held_out_of, map_arrow, stash, task_number, utf8
 
-#: Most frequent words that every task knows by number. The score of all other words comes from a join.
-HEAD = 100_000
-#: Most frequent words that exchange moves between CLASSES classes; all others go by their ending.
-EXCHANGE, CLASSES, ENDINGS = 2_000, 64, 16
+#: A training word of so many tokens is exchanged between CLASSES classes; rarer ones go by their ending.
+LEAST, CLASSES, ENDINGS = 5, 64, 16
+#: Shares of a turn's moves, by gain, whose likelihoods are compared.
+SHARES = (1.0, 0.5, 0.25, 0.125, 0.0625, 0.03125)
+#: Words in a block, whose contexts meet in one task as a table of fixed size.
+BLOCK = 4096
+#: Words that a worker remembers the hashes of.
+MEMO = 300_000
 ROUNDS = 4
 #: Smoothing of transitions (in units of the class distribution) and of emissions (added to each count).
 ALPHA, BETA = 2.0, 0.5
-#: Distinct words or bigrams that a task counts before it sends them on.
-FLUSH = 400_000
+#: Distinct words, and neighbours of words, that a task counts before it sends them on.
+FLUSH, FLUSH_CONTEXTS = 400_000, 8_000_000
+
+_memo: dict[bytes, int] = {}
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -63,14 +70,40 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _encode(head: dict[bytes, int]):
+def hashes(ws: list[bytes]) -> np.ndarray:
+    """Spark's xxhash64 of each word."""
+    global _memo
+    if len(_memo) > MEMO:
+        _memo = {}
+    for w in set(ws).difference(_memo):
+        _memo[w] = xxhash.xxh64_intdigest(w, 42)
+    return np.fromiter(map(_memo.__getitem__, ws), np.uint64, len(ws)).view(np.int64)
+
+
+class Numbers:
+    """Numbers of words by their hashes; eight bytes a word, so that a task can hold millions."""
+
+    def __init__(self, hashed: np.ndarray) -> None:
+        order = np.argsort(hashed, kind="stable")
+        self.sorted, self.number = hashed[order], order.astype(np.int32)
+
+    def of(self, ws: list[bytes]) -> np.ndarray:
+        """-1 for a word without a number."""
+        if not ws or not len(self.sorted):
+            return np.full(len(ws), -1, np.int32)
+        h = hashes(ws)
+        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == h, self.number[at], np.int32(-1))
+
+
+def _encode(numbers: Numbers):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = task_number() << 33, 0
         for batch in batches:
             ids, tails, counts, sizes = [], [], [], []
             for text in batch.column(2).to_pylist():
                 ws = words(text)
-                codes = np.fromiter(map(head.get, ws, repeat(-1)), np.int32, len(ws))
+                codes = numbers.of(ws)
                 rest = np.flatnonzero(codes < 0).tolist()
                 tail = [ws[i] for i in rest]
                 if tail:
@@ -101,28 +134,46 @@ def _units(ids: bytes, exchange: int, endings: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bigrams(exchange: int, endings: np.ndarray):
-    units = exchange + ENDINGS + 1
+def _pack(codes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted codes by their differences and counts, compressed byte by byte of their places."""
+    both = np.concatenate([np.diff(codes, prepend=0), counts]).astype("<u4")
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(both.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    both = np.ascontiguousarray(planes.T).view("<u4")[:, 0].astype(np.int64)
+    n = len(both) // 2
+    return np.cumsum(both[:n]), both[n:]
 
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
 
-        def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array((codes // units).astype(np.int32)), pa.array((codes % units).astype(np.int32)), pa.array(counts)], names=["left", "right", "n"])
+def _contexts(exchange: int, endings: np.ndarray, class_of: np.ndarray, k: int):
+    """(block, packed): of each word of a block, tokens by class before it, by class after it, and its bigrams with itself."""
+    width = 2 * k + 1
 
+    def packed(seen: list[np.ndarray]) -> pa.RecordBatch:
+        codes, n = np.unique(np.concatenate(seen), return_counts=True)
+        blocks = np.arange(-(-exchange // BLOCK) + 1)
+        cuts = np.searchsorted(codes, blocks * BLOCK * width)
+        out = [(b, _pack(codes[lo:hi] - b * BLOCK * width, n[lo:hi])) for b, lo, hi in zip(blocks[:-1].tolist(), cuts[:-1], cuts[1:], strict=True) if hi > lo]
+        return pa.record_batch([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["block", "packed"])
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held = [], 0
         for batch in batches:
-            seen = []
             for ids in batch.column(0).to_pylist():
                 u = _units(ids, exchange, endings)
-                seen.append(u[:-1] * units + u[1:])
-            found, n = np.unique(np.concatenate(seen), return_counts=True)
-            both = np.concatenate([codes, found])
-            codes, at = np.unique(both, return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, n]), len(codes)).astype(np.int64)
-            if len(codes) > 2 * FLUSH:
-                yield out()
-                codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        yield out()
+                c = class_of[u]
+                a, b = u[:-1], u[1:]
+                moves_a, moves_b = a < exchange, b < exchange
+                own = a[(a == b) & moves_a]
+                seen += [b[moves_b] * width + c[:-1][moves_b], a[moves_a] * width + k + c[1:][moves_a], own * width + 2 * k]
+                held += 2 * len(a)
+                if held > FLUSH_CONTEXTS:
+                    yield packed(seen)
+                    seen, held = [], 0
+        if seen:
+            yield packed(seen)
 
     return f
 
@@ -141,20 +192,30 @@ def best_class(m: np.ndarray, own: int, left: np.ndarray, right: np.ndarray, twi
 
     left[c], right[c]: bigrams of class c before, after the word; twice: bigrams of the word with itself.
     """
-    base = m.astype(np.float64).copy()
-    base[own] -= right
-    base[:, own] -= left
-    base[own, own] += twice
+    k, n = classes, len(m)
     l, r = left.astype(np.float64).copy(), right.astype(np.float64).copy()
     l[own] -= twice
     r[own] -= twice
-    k = classes
+    # the table without the word, at the columns after it and the rows before it; other cells are the same wherever it goes
+    after, before = np.flatnonzero(r), np.flatnonzero(l)
+    columns_of = m[:, after].astype(np.float64)
+    columns_of[own] -= right[after]
+    columns_of[:, after == own] -= left[:, None]
+    columns_of[own, after == own] += twice
+    rows_of = m[before].astype(np.float64)
+    rows_of[:, own] -= left[before]
+    rows_of[before == own] -= right
+    rows_of[before == own, own] += twice
     # wherever the word goes, rows keep what stands before it and columns what stands after it
-    rows, columns, cells = base.sum(axis=1) + l, base.sum(axis=0) + r, _xlogx(base)
-    diagonal = np.arange(k)
-    gain_row = (_xlogx(base[:k] + r) - cells[:k]).sum(axis=1)
-    gain_column = (_xlogx(base[:, :k] + l[:, None]) - cells[:, :k]).sum(axis=0)
-    d = base[diagonal, diagonal]
+    rows, columns = m.sum(axis=1).astype(np.float64), m.sum(axis=0).astype(np.float64)
+    rows[own] -= right.sum()
+    columns[own] -= left.sum()
+    gain_row = (_xlogx(columns_of[:k] + r[after]) - _xlogx(columns_of[:k])).sum(axis=1)
+    gain_column = (_xlogx(rows_of[:, :k] + l[before, None]) - _xlogx(rows_of[:, :k])).sum(axis=0)
+    diagonal = np.arange(n)
+    d = m[diagonal, diagonal].astype(np.float64)
+    d[own] += twice - left[own] - right[own]
+    d = d[:k]
     once = _xlogx(d + r[:k]) + _xlogx(d + l[:k]) - 2 * _xlogx(d)
     whole = _xlogx(d + r[:k] + l[:k] + twice) - _xlogx(d)
     n_right, n_left = r.sum() + twice, l.sum() + twice
@@ -164,81 +225,87 @@ def best_class(m: np.ndarray, own: int, left: np.ndarray, right: np.ndarray, twi
     return best, float(score[best] - score[own])
 
 
-def _exchange(class_of: np.ndarray, m: np.ndarray, turn: int, exchange: int, classes: int):
+def _exchange(class_of: np.ndarray, m: np.ndarray, exchange: int, classes: int):
     def f(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
         k = len(m)
-        for word, g in group.groupby("word"):
-            if word >= exchange or (word + turn) % 2:
-                continue
-            left, right = np.zeros(k), np.zeros(k)
-            np.add.at(left, g["cls"][g["side"] == 0].to_numpy(), g["n"][g["side"] == 0].to_numpy())
-            np.add.at(right, g["cls"][g["side"] == 1].to_numpy(), g["n"][g["side"] == 1].to_numpy())
-            twice = float(g["n"][g["side"] == 2].sum())
-            to, gain = best_class(m, int(class_of[word]), left, right, twice, classes)
+        first = int(group["block"].iloc[0]) * BLOCK
+        table = np.zeros(min(BLOCK, exchange - first) * (2 * k + 1))
+        for packed in group["packed"]:
+            codes, n = _unpack(packed)
+            table[codes] += n
+        out = []
+        for i, row in enumerate(table.reshape(-1, 2 * k + 1)):
+            word = first + i
+            to, gain = best_class(m, int(class_of[word]), row[:k], row[k:-1], float(row[-1]), classes)
             if to != class_of[word] and gain > 1e-6:
-                out.append((int(word), to))
-        return pd.DataFrame(out, columns=["word", "to"]).astype({"word": "int32", "to": "int32"})
+                out.append((word, to, gain))
+        return pd.DataFrame(out, columns=["word", "to", "gain"]).astype({"word": "int32", "to": "int32", "gain": "float64"})
 
     return f
 
 
-def _class_table(pairs: DataFrame, class_of: np.ndarray, k: int) -> tuple[np.ndarray, DataFrame]:
-    spark = pairs.sparkSession
-    # as many rows as EXCHANGE + ENDINGS + 1
-    of = spark.createDataFrame(pd.DataFrame({"unit": np.arange(len(class_of), dtype=np.int32), "cls": class_of.astype(np.int32)}))
-    l = F.broadcast(of.select(F.col("unit").alias("left"), F.col("cls").alias("lc")))
-    r = F.broadcast(of.select(F.col("unit").alias("right"), F.col("cls").alias("rc")))
-    both = pairs.join(l, "left").join(r, "right")
-    cells = both.groupBy("lc", "rc").agg(F.sum("n").alias("n")).toPandas()
-    m = np.zeros((k, k))
-    m[cells["lc"], cells["rc"]] = cells["n"]
-    context = both.select(F.explode(F.array(
-        F.struct(F.col("right").alias("word"), F.lit(0).alias("side"), F.col("lc").alias("cls"), F.col("n")),
-        F.struct(F.col("left").alias("word"), F.lit(1).alias("side"), F.col("rc").alias("cls"), F.col("n")),
-        F.struct(F.col("left").alias("word"), F.lit(2).alias("side"), F.lit(0).alias("cls"), F.when(F.col("left") == F.col("right"), F.col("n")).otherwise(0).alias("n")),
-    )).alias("x")).select("x.*").filter("n > 0").groupBy("word", "side", "cls").agg(F.sum("n").alias("n"))
-    return m, context
-
-
-def cluster(pairs: DataFrame, exchange: int, classes: int, rounds: int) -> np.ndarray:
-    """The class of each unit: below `classes` for words, then one for each ending, then one for the text end."""
+def _tables(trained: DataFrame, exchange: int, endings: np.ndarray, classes_of: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """The class bigrams of all training documents under each of the assignments."""
+    out = [np.zeros((k, k)) for _ in classes_of]
+    found = map_arrow(trained, _transitions(exchange, endings, classes_of, k), "which int, left int, right int, n long").groupBy("which", "left", "right").agg(F.sum("n").alias("n")).collect()
+    for r in found:
+        out[r["which"]][r["left"], r["right"]] = r["n"]
+    return out
+
+
+def cluster(trained: DataFrame, head_counts: np.ndarray, exchange: int, endings: np.ndarray, classes: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each unit (below `classes` for words, then one for each ending, then one for the text end) and the class bigrams."""
     k = classes + ENDINGS + 1
-    class_of = np.concatenate([np.arange(exchange) % classes, np.arange(classes, k)])
-    m, context = _class_table(pairs, class_of, k)
-    now = likelihood(m)
-    for turn in range(rounds):
-        moves = context.withColumn("block", F.col("word") % 32).groupBy("block").applyInPandas(_exchange(class_of, m, turn, exchange, classes), "word int, to int").collect()
-        moved = class_of.copy()
-        for move in moves:
-            moved[move["word"]] = move["to"]
-        table, around = _class_table(pairs, moved, k)
-        # words move at once, each as if alone; a turn that makes things worse is taken back
-        if (after := likelihood(table)) > now:
-            class_of, m, context, now = moved, table, around, after
-    return class_of
-
-
-def _transitions(exchange: int, endings: np.ndarray, class_of: np.ndarray, k: int):
+    class_of = np.concatenate([np.empty(exchange, np.int64), np.arange(classes, k)])
+    class_of[np.argsort(-head_counts[:exchange], kind="stable")] = np.arange(exchange) % classes
+    m = _tables(trained, exchange, endings, [class_of], k)[0]
+    blocks = -(-exchange // BLOCK)
+    for _ in range(rounds if exchange else 0):
+        around = map_arrow(trained, _contexts(exchange, endings, class_of, k), "block int, packed binary").repartition(blocks, "block")
+        moves = around.groupBy("block").applyInPandas(_exchange(class_of, m, exchange, classes), "word int, to int, gain double").toPandas()
+        if not len(moves):
+            break
+        moves = moves.sort_values(["gain", "word"], ascending=[False, True])
+        tried = []
+        for n in sorted({max(1, int(len(moves) * share)) for share in SHARES}):
+            moved = class_of.copy()
+            moved[moves["word"].to_numpy()[:n]] = moves["to"].to_numpy()[:n]
+            tried.append(moved)
+        # words move at once, each as if alone, so that a part of the moves may be better than all
+        tables = _tables(trained, exchange, endings, tried, k)
+        best = max(range(len(tried)), key=lambda i: likelihood(tables[i]))
+        if likelihood(tables[best]) <= likelihood(m):
+            break
+        class_of, m = tried[best], tables[best]
+    return class_of, m
+
+
+def _transitions(exchange: int, endings: np.ndarray, classes_of: list[np.ndarray], k: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k * k, np.int64)
+        total = np.zeros((len(classes_of), k * k), np.int64)
         for batch in batches:
             for ids in batch.column(0).to_pylist():
-                c = class_of[_units(ids, exchange, endings)]
-                total += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array((at // k).astype(np.int32)), pa.array((at % k).astype(np.int32)), pa.array(total[at])], names=["left", "right", "n"])
+                u = _units(ids, exchange, endings)
+                for which, class_of in enumerate(classes_of):
+                    c = class_of[u]
+                    codes = c[:-1] * k + c[1:]
+                    if len(codes) < k * k:
+                        np.add.at(total[which], codes, 1)
+                    else:
+                        total[which] += np.bincount(codes, minlength=k * k)
+        which, at = np.nonzero(total)
+        yield pa.record_batch([pa.array(which.astype(np.int32)), pa.array((at // k).astype(np.int32)), pa.array((at % k).astype(np.int32)), pa.array(total[which, at])], names=["which", "left", "right", "n"])
 
     return f
 
 
-def _classes_of_words(head: dict[bytes, int], exchange: int, class_of: np.ndarray, k: int):
+def _classes_of_words(numbers: Numbers, exchange: int, class_of: np.ndarray, k: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(k, np.int64)
         for batch in batches:
-            for w in batch.column(0).to_pylist():
-                i = head.get(w, exchange)
-                n[class_of[i] if i < exchange else class_of[exchange + ending(w)]] += 1
+            ws = batch.column(0).to_pylist()
+            units = np.array([i if 0 <= i < exchange else exchange + ending(w) for w, i in zip(ws, numbers.of(ws).tolist(), strict=True)], np.int64)
+            n += np.bincount(class_of[units], minlength=k)
         yield pa.record_batch([pa.array(np.arange(k, dtype=np.int32)), pa.array(n)], names=["cls", "n"])
 
     return f
@@ -267,12 +334,13 @@ def _score(head_counts: np.ndarray, endings: np.ndarray, exchange: int, class_of
     return f
 
 
-def score_documents(docs: DataFrame, head: int = HEAD, exchange: int = EXCHANGE, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
+def score_documents(docs: DataFrame, head: int | None = None, exchange: int | None = None, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     Trains on documents whose crc32(doc_id as text) modulo 7 isn't 2; a null doc_id counts as empty text and a null text as
     empty, which is one token, the end. Equal rows are documents of their own. Scores are log10; score is that of the class
     model, whose probabilities of the next token sum to 1 over the training words, the end and one unknown word a class.
+    Every training word of LEAST tokens is exchanged; `head` and `exchange` bound the numbered and the exchanged words, the most frequent first.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", held_out_of(7, 2).alias("held_out"), utf8(F.col("text")).alias("text"))
@@ -280,23 +348,21 @@ def score_documents(docs: DataFrame, head: int = HEAD, exchange: int = EXCHANGE,
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = (counts.filter(F.length("word") == 0).agg(F.sum("c")).first()[0]) or 0
     bottom = float(np.log10(total + 1.0 * (distinct + 1)))
-    # `head` rows at most
-    top = counts.filter(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(head).toArrow()
-    number = {w: i for i, w in enumerate(top.column("word").to_pylist())}
-    head_counts = top.column("c").to_numpy()
-    endings = np.array([ending(w) for w in number], np.int64)
-    exchange = min(exchange, len(number))
+    # three numbers for each word of LEAST tokens come to the driver, no text
+    top = counts.filter((F.length("word") > 0) & (F.col("c") >= LEAST)).select(F.xxhash64("word").alias("h"), "c", F.expr(f"crc32(substring(word, greatest(length(word) - 2, 1), 3)) % {ENDINGS}").alias("ending")).toArrow()
+    hashed, head_counts, endings = (top.column(x).to_numpy() for x in ("h", "c", "ending"))
+    order = np.lexsort((hashed, -head_counts))[:head]
+    exchange = len(order) if exchange is None else min(exchange, len(order))
+    # exchanged words by hash, so that a block of them holds frequent and rare ones alike
+    order = np.concatenate([order[:exchange][np.argsort(hashed[order[:exchange]])], order[exchange:]])
+    hashed, head_counts, endings = hashed[order], head_counts[order], endings[order].astype(np.int64)
+    number = Numbers(hashed)
 
     coded = map_arrow(docs, _encode(number), f"row long, doc_id {kind}, held_out boolean, n_tokens long, ids binary, tail array<binary>, tail_n array<int>")
     coded = stash(coded, "brown-coded")
     trained = coded.filter("not held_out").select("ids")
-    pairs = stash(map_arrow(trained, _bigrams(exchange, endings), "left int, right int, n long").groupBy("left", "right").agg(F.sum("n").alias("n")), "brown-bigrams")
-    class_of = cluster(pairs, exchange, classes, rounds)
-
     k = classes + ENDINGS + 1
-    steps = np.zeros((k, k))
-    for r in map_arrow(trained, _transitions(exchange, endings, class_of, k), "left int, right int, n long").groupBy("left", "right").agg(F.sum("n").alias("n")).collect():
-        steps[r["left"], r["right"]] = r["n"]
+    class_of, steps = cluster(trained, head_counts, exchange, endings, classes, rounds)
     of_class = steps.sum(axis=0)
     share = (of_class + 1) / (of_class.sum() + k)
     log_steps = np.log10((steps + ALPHA * share) / (steps.sum(axis=1, keepdims=True) + ALPHA))

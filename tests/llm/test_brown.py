@@ -83,3 +83,25 @@ def test_next_token_probabilities_sum_to_one(spark):
     probes = [(next(d for d in range(5000 + 50 * i, 9000) if held(d)), w) for i, (_, w) in enumerate(probes)]
     out = {r.doc_id: r.score for r in brown.score_documents(spark.createDataFrame(train + probes, "doc_id long, text string")).collect()}
     assert 0 < sum(10 ** out[d] for d, _ in probes) < 1
+
+
+def test_every_word_above_a_small_count_is_exchanged(spark, monkeypatch):
+    # 3,000 words that stand before one of two words only: kinds that no ending tells
+    rng = np.random.default_rng(3)
+    words = [f"{i:04d}{'xyz'}" for i in range(3000)]
+    rows = [(i, " ".join(f"{words[j]} {'left' if j % 2 else 'right'}" for j in rng.permutation(3000))) for i in range(12)]
+    found = []
+    real = brown.cluster
+    monkeypatch.setattr(brown, "cluster", lambda *a, **o: found.append((a[2], real(*a, **o))) or found[-1][1])
+    brown.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    exchange, (class_of, m) = found[0]
+    assert exchange == 3002 and (class_of[:exchange] < brown.CLASSES).all()
+    start = np.arange(exchange) % brown.CLASSES
+    assert len(class_of) == exchange + brown.ENDINGS + 1 and (class_of[:exchange] != start).sum() > 1500
+    assert m.sum() == sum(len(tokens(t)) + 0 for d, t in rows if not held(d))
+
+
+def test_hashes_are_sparks(spark):
+    ws = [b"a", "Ünï漢字".encode(), b"x" * 100, b"0123456789abcdef0123456789abcdef"]
+    df = spark.createDataFrame([(bytearray(w),) for w in ws], "word binary").selectExpr("xxhash64(word) h", "crc32(substring(word, greatest(length(word) - 2, 1), 3)) % 16 e")
+    assert [(r.h, r.e) for r in df.collect()] == [(int(h), brown.ending(w)) for w, h in zip(ws, brown.hashes(ws), strict=True)]
