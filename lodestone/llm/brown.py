@@ -129,7 +129,7 @@ def _units(ids: bytes, exchange: int, endings: np.ndarray) -> np.ndarray:
     codes = np.frombuffer(ids, np.int32)
     end = exchange + ENDINGS
     out = np.full(len(codes) + 2, end, np.int64)
-    by_ending = np.where(codes < 0, -1 - codes, endings[codes] if len(endings) else 0)
+    by_ending = np.where(codes < 0, -1 - codes, endings[codes].astype(np.int64) if len(endings) else 0)
     out[1:-1] = np.where((codes >= 0) & (codes < exchange), codes, exchange + by_ending)
     return out
 
@@ -163,7 +163,7 @@ def _contexts(exchange: int, endings: np.ndarray, class_of: np.ndarray, k: int):
         for batch in batches:
             for ids in batch.column(0).to_pylist():
                 u = _units(ids, exchange, endings)
-                c = class_of[u]
+                c = class_of[u].astype(np.int64)
                 a, b = u[:-1], u[1:]
                 moves_a, moves_b = a < exchange, b < exchange
                 own = a[(a == b) & moves_a]
@@ -256,13 +256,14 @@ def _tables(trained: DataFrame, exchange: int, endings: np.ndarray, classes_of:
 def cluster(trained: DataFrame, head_counts: np.ndarray, exchange: int, endings: np.ndarray, classes: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """The class of each unit (below `classes` for words, then one for each ending, then one for the text end) and the class bigrams."""
     k = classes + ENDINGS + 1
-    class_of = np.concatenate([np.empty(exchange, np.int64), np.arange(classes, k)])
+    # a byte a word, as the driver and every task hold several of these
+    class_of = np.concatenate([np.zeros(exchange, np.int64), np.arange(classes, k)]).astype(np.uint8 if k <= 256 else np.int32)
     class_of[np.argsort(-head_counts[:exchange], kind="stable")] = np.arange(exchange) % classes
     m = _tables(trained, exchange, endings, [class_of], k)[0]
     blocks = -(-exchange // BLOCK)
     for _ in range(rounds if exchange else 0):
         around = map_arrow(trained, _contexts(exchange, endings, class_of, k), "block int, packed binary").repartition(blocks, "block")
-        moves = around.groupBy("block").applyInPandas(_exchange(class_of, m, exchange, classes), "word int, to int, gain double").toPandas()
+        moves = around.groupBy("block").applyInPandas(_exchange(class_of, m, exchange, classes), "word int, to int, gain double").toArrow().to_pandas()
         if not len(moves):
             break
         moves = moves.sort_values(["gain", "word"], ascending=[False, True])
@@ -287,7 +288,7 @@ def _transitions(exchange: int, endings: np.ndarray, classes_of: list[np.ndarray
             for ids in batch.column(0).to_pylist():
                 u = _units(ids, exchange, endings)
                 for which, class_of in enumerate(classes_of):
-                    c = class_of[u]
+                    c = class_of[u].astype(np.int64)
                     codes = c[:-1] * k + c[1:]
                     if len(codes) < k * k:
                         np.add.at(total[which], codes, 1)
@@ -314,7 +315,7 @@ def _classes_of_words(numbers: Numbers, exchange: int, class_of: np.ndarray, k:
 def _score(head_counts: np.ndarray, endings: np.ndarray, exchange: int, class_of: np.ndarray, steps: np.ndarray, emit: np.ndarray, ends: int, bottom: float):
     """emit: log10 of the denominator of each class; the end's class always emits the end."""
     known = np.log10(head_counts + 1.0) - bottom
-    units = np.where(np.arange(len(head_counts)) < exchange, np.arange(len(head_counts)), exchange + endings) if len(head_counts) else np.empty(0, np.int64)
+    units = np.where(np.arange(len(head_counts)) < exchange, np.arange(len(head_counts)), exchange + endings.astype(np.int64)) if len(head_counts) else np.empty(0, np.int64)
     of_head = np.log10(head_counts + BETA) - emit[class_of[units]] if len(head_counts) else np.empty(0)
     end_base = np.log10(ends + 1.0) - bottom
 
@@ -351,11 +352,12 @@ def score_documents(docs: DataFrame, head: int | None = None, exchange: int | No
     # three numbers for each word of LEAST tokens come to the driver, no text
     top = counts.filter((F.length("word") > 0) & (F.col("c") >= LEAST)).select(F.xxhash64("word").alias("h"), "c", F.expr(f"crc32(substring(word, greatest(length(word) - 2, 1), 3)) % {ENDINGS}").alias("ending")).toArrow()
     hashed, head_counts, endings = (top.column(x).to_numpy() for x in ("h", "c", "ending"))
+    del top
     order = np.lexsort((hashed, -head_counts))[:head]
     exchange = len(order) if exchange is None else min(exchange, len(order))
     # exchanged words by hash, so that a block of them holds frequent and rare ones alike
     order = np.concatenate([order[:exchange][np.argsort(hashed[order[:exchange]])], order[exchange:]])
-    hashed, head_counts, endings = hashed[order], head_counts[order], endings[order].astype(np.int64)
+    hashed, head_counts, endings = hashed[order], head_counts[order], endings[order].astype(np.uint8)
     number = Numbers(hashed)
 
     coded = map_arrow(docs, _encode(number), f"row long, doc_id {kind}, held_out boolean, n_tokens long, ids binary, tail array<binary>, tail_n array<int>")
