@@ -40,7 +40,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.inspect(telephony.store(_table(spark, sf_dir, "documents")))
+    return telephony.store_and_inspect(_table(spark, sf_dir, "documents"))
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,3 +185,18 @@ def inspect(media: DataFrame, with_pcm: bool = False) -> DataFrame:
     kind = media.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", pcm binary" * with_pcm
     return map_arrow(media.select("doc_id", "n_bytes", "media"), _inspect(with_pcm), schema)
+
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [features(c, np.frombuffer(pcm, "<i2")) for c, pcm in zip(batch.column(7).to_pylist(), batch.column(8).to_pylist(), strict=True)]
+        yield pa.record_batch([*[batch.column(i) for i in range(7)], pa.array(found, pa.string())], names=[*batch.schema.names[:7], "feature"])
+
+
+def store_and_inspect(docs: DataFrame) -> DataFrame:
+    """As `inspect(store(docs))`, with the PCM at 16 kHz written beside the digests and the features taken from it, read back."""
+    kept = stash(inspect(store(docs), with_pcm=True), "telephony-pcm")
+    kind = kept.schema["doc_id"].dataType.simpleString()
+    digests = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return map_arrow(kept.select(*digests, F.substring_index("feature", ":", 1).alias("codec"), "pcm"), _measure, schema)

@@ -57,3 +57,14 @@ def test_resampling():
     assert len(telephony.resample(np.arange(800, dtype=np.int16), 8000, 11025)) == 1102
     with pytest.raises(ValueError):
         telephony.parse_wave(b"nothing")
+
+
+def test_pcm_is_stored(spark, small, monkeypatch):
+    from lodestone.llm.queries import QUERIES
+
+    kept, real = {}, telephony.stash
+    monkeypatch.setattr(telephony, "stash", lambda df, name: kept.setdefault(name, real(df, name)))
+    out = QUERIES["op7_telephony"](spark, small)
+    pcm = {(r.doc_id, r.feature): len(r.pcm) for r in kept["telephony-pcm"].select("doc_id", "feature", "pcm").collect()}
+    assert pcm == {(r.doc_id, r.feature): 2 * int(r.feature.split(":")[2]) for r in out.collect()}
+    assert sorted(map(str, out.collect())) == sorted(map(str, telephony.inspect(kept["telephony"]).collect()))
