@@ -1,7 +1,7 @@
 """Telephony audio: G.711 mu-law and A-law by lookup tables, IMA ADPCM by blocks, resampled to 16-bit PCM.
 
 The codec bytes are stored in RIFF WAVE form. All ADPCM blocks of an Arrow batch are decoded at once: numpy steps through
-the samples of a block while each step covers all blocks.
+the samples of a block while each step covers all blocks. Stored PCM is arranged without loss by `code_pcm`.
 """
 
 from __future__ import annotations
@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import map_arrow, stash, utf8
+from lodestone.llm.common import map_arrow, settings, stash, utf8
 
 RATE, OUT_RATE = 8000, 16000
 #: Payloads are padded with byte 32 up to a positive multiple of this; it is also the size of an ADPCM block.
 UNIT = 192
 CODECS = ("mulaw", "alaw", "adpcm")
+#: How hard stored tables are compressed: media and PCM together are to stay below one and a half times the texts as Parquet.
+LEVEL = {"parquet_compression_codec_zstd_level": "12"}
 #: Format tags of RIFF WAVE.
 _TAGS = {"alaw": 6, "mulaw": 7, "adpcm": 17}
 #: The index steps of IMA ADPCM for the low three bits of a code.
@@ -141,6 +143,36 @@ def features(codec: str, pcm: np.ndarray) -> str:
     return f"{codec}:{OUT_RATE}:{len(pcm)}:{peak}:{square}:{signs}:{zlib.crc32(pcm.astype('<i2').tobytes())}"
 
 
+def _planes(samples: np.ndarray) -> bytes:
+    """All low bytes, then all high bytes."""
+    return np.ascontiguousarray(samples.astype("<i2").view(np.uint8).reshape(-1, 2).T).tobytes()
+
+
+def code_pcm(pcm: np.ndarray) -> bytes:
+    """PCM without loss, in as many bytes: the even samples, then by how much each odd one is off the mean of its neighbours.
+
+    PCM of twice the rate has odd samples that are nearly all such means, so that these bytes compress to almost nothing.
+    """
+    even, odd = pcm[0::2], pcm[1::2]
+    return even.astype("<i2").tobytes() + _planes(odd - _between(even, len(odd)))
+
+
+def _between(even: np.ndarray, n: int) -> np.ndarray:
+    """The mean of each even sample and the next one, rounded down; the last one holds. Differences wrap in 16 bits both ways."""
+    wide = even.astype(np.int32)
+    return ((wide + np.append(wide[1:], wide[-1:])) >> 1).astype(np.int16)[:n]
+
+
+def decode_pcm(data: bytes) -> np.ndarray:
+    n = len(data) // 2
+    out = np.empty(n, np.int16)
+    even = np.frombuffer(data, "<i2", (n + 1) // 2)
+    off = np.frombuffer(data, np.uint8, offset=even.nbytes).reshape(2, -1)
+    out[0::2] = even
+    out[1::2] = _between(even, n // 2) + np.ascontiguousarray(off.T).view("<i2")[:, 0]
+    return out
+
+
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, files = [], []
@@ -151,7 +183,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(files, pa.large_binary()).cast(pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
-def _inspect(with_pcm: bool):
+def _inspect(with_pcm: bool, coded: bool = False):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             files = batch.column(2).to_pylist()
@@ -164,7 +196,7 @@ def _inspect(with_pcm: bool):
                 out["media_bytes"].append(len(file))
                 out["media_sha256"].append(hashlib.sha256(file).hexdigest())
                 out["feature"].append(features(codec, pcm))
-                out["pcm"].append(pcm.astype("<i2").tobytes() if with_pcm else None)
+                out["pcm"].append((code_pcm(pcm) if coded else pcm.astype("<i2").tobytes()) if with_pcm else None)
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
             columns = [pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)]
             if not with_pcm:
@@ -175,27 +207,36 @@ def _inspect(with_pcm: bool):
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: every text as a WAVE file, written. The codec goes by crc32 of the text. Null texts are empty."""
+    """doc_id, n_bytes, media: every text as a WAVE file, written. The codec goes by crc32 of the text.
+
+    A null or empty text is one unit of byte 32. Texts of any length are one file, equal rows a file each; an empty table
+    gives an empty one. Only doc_id and text are read, so other columns may have any name.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stash(map_arrow(docs.select("doc_id", utf8(F.col("text")).alias("raw")), _store, f"doc_id {kind}, n_bytes long, media binary"), "telephony")
+    with settings(docs.sparkSession, **LEVEL):
+        return stash(map_arrow(docs.select("doc_id", utf8(F.col("text")).alias("raw")), _store, f"doc_id {kind}, n_bytes long, media binary"), "telephony")
 
 
-def inspect(media: DataFrame, with_pcm: bool = False) -> DataFrame:
-    """Digests and features of stored files, read back; `with_pcm` adds the PCM at 16 kHz as bytes."""
+def inspect(media: DataFrame, with_pcm: bool = False, coded: bool = False) -> DataFrame:
+    """Digests and features of stored files, read back; `with_pcm` adds the PCM at 16 kHz as bytes, `coded` by `code_pcm`."""
     kind = media.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", pcm binary" * with_pcm
-    return map_arrow(media.select("doc_id", "n_bytes", "media"), _inspect(with_pcm), schema)
+    return map_arrow(media.select("doc_id", "n_bytes", "media"), _inspect(with_pcm, coded), schema)
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [features(c, np.frombuffer(pcm, "<i2")) for c, pcm in zip(batch.column(7).to_pylist(), batch.column(8).to_pylist(), strict=True)]
-        yield pa.record_batch([*[batch.column(i) for i in range(7)], pa.array(found, pa.string())], names=[*batch.schema.names[:7], "feature"])
+        hexes = [pa.array([d.hex() for d in batch.column(i).to_pylist()], pa.string()) for i in (3, 6)]
+        found = [features(c, decode_pcm(pcm)) for c, pcm in zip(batch.column(7).to_pylist(), batch.column(8).to_pylist(), strict=True)]
+        yield pa.record_batch([*[batch.column(i) for i in range(3)], hexes[0], batch.column(4), batch.column(5), hexes[1], pa.array(found, pa.string())], names=[*batch.schema.names[:7], "feature"])
 
 
 def store_and_inspect(docs: DataFrame) -> DataFrame:
     """As `inspect(store(docs))`, with the PCM at 16 kHz written beside the digests and the features taken from it, read back."""
-    kept = stash(inspect(store(docs), with_pcm=True), "telephony-pcm")
+    sound = inspect(store(docs), with_pcm=True, coded=True)
+    digest = ("payload_sha256", "media_sha256")
+    with settings(docs.sparkSession, **LEVEL):
+        kept = stash(sound.select(*[F.unhex(c).alias(c) if c in digest else F.col(c) for c in sound.columns]), "telephony-pcm")
     kind = kept.schema["doc_id"].dataType.simpleString()
     digests = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

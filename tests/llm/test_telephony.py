@@ -68,3 +68,35 @@ def test_pcm_is_stored(spark, small, monkeypatch):
     pcm = {(r.doc_id, r.feature): len(r.pcm) for r in kept["telephony-pcm"].select("doc_id", "feature", "pcm").collect()}
     assert pcm == {(r.doc_id, r.feature): 2 * int(r.feature.split(":")[2]) for r in out.collect()}
     assert sorted(map(str, out.collect())) == sorted(map(str, telephony.inspect(kept["telephony"]).collect()))
+
+
+def test_coded_pcm_is_lossless():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 3, 192, 1001):
+        for pcm in (rng.integers(-32768, 32768, n).astype(np.int16), telephony.resample(rng.integers(-32768, 32768, n).astype(np.int16))):
+            coded = telephony.code_pcm(pcm)
+            assert len(coded) == 2 * len(pcm) and telephony.decode_pcm(coded).tolist() == pcm.tolist()
+
+
+def test_feature_by_brute_force(spark, small, docs, rows):
+    """The feature of op7's rows, computed anew from the text alone."""
+    from lodestone.llm.queries import QUERIES
+
+    def brute(text):
+        raw = (text or "").encode()
+        payload = raw.ljust(max(192, -(-len(raw) // 192) * 192))
+        codec = telephony.CODECS[zlib.crc32(raw) % 3]
+        if codec == "adpcm":
+            low = [v for i in range(0, len(payload), 192) for v in scalar_adpcm(np.frombuffer(payload[i : i + 192], np.uint8))]
+        else:
+            table = (telephony.mulaw_table() if codec == "mulaw" else telephony.alaw_table()).tolist()
+            low = [table[b] for b in payload]
+        high = [v for a, b in zip(low, [*low[1:], low[-1]], strict=True) for v in (a, (a + b) >> 1)]
+        signs = sum((a >= 0) != (b >= 0) for a, b in zip(high, high[1:]))
+        return f"{codec}:16000:{len(high)}:{max(map(abs, high))}:{sum(v * v for v in high) // len(high)}:{signs}:{zlib.crc32(np.array(high, '<i2').tobytes())}"
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    out = [r for r in QUERIES["op7_telephony"](spark, small).collect() if r.n_bytes < 1500]
+    assert len(out) > 50 and all(r.feature == brute(texts[r.doc_id]) for r in out)
+    edge = telephony.store_and_inspect(docs.filter("length(text) < 300 or text is null")).collect()
+    assert sorted((str(r.doc_id), r.feature) for r in edge) == sorted((str(r[0]), brute(r[1])) for r in rows if r[1] is None or len(r[1]) < 300)
