@@ -23,7 +23,7 @@ RATE, OUT_RATE = 8000, 16000
 UNIT = 192
 CODECS = ("mulaw", "alaw", "adpcm")
 #: How hard stored tables are compressed: media and PCM together are to stay below one and a half times the texts as Parquet.
-LEVEL = {"parquet_compression_codec_zstd_level": "12"}
+LEVEL = {"parquet_compression_codec_zstd_level": "12", "parquet_page_size": str(8 << 20)}
 #: Format tags of RIFF WAVE.
 _TAGS = {"alaw": 6, "mulaw": 7, "adpcm": 17}
 #: The index steps of IMA ADPCM for the low three bits of a code.
