@@ -8,8 +8,8 @@ runs of equal prefixes, so a subtree is a run or some whole runs.
 2. A query descends every tree along its own string. All trees then ascend together, one bit at a time, until the subtrees
    over the query hold `enough` places. Where cells of CELL_BITS still hold more, each tree descends further in its own run.
 3. A query visits the runs of its subtrees. A run ranks its rows for all its queries by eight-bit copies of the vectors.
-4. What the trees found best is ranked again by the inner product of the original vectors in double precision. Of vectors so
-   close that eight bits a component don't tell them apart, any may be the ones that are ranked.
+4. What the trees found best is ranked again by the inner product of the original vectors in double precision. Rows
+   that eight bits can't tell from the best ones are among these.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ BLOCK_ROWS, QUERY_ROWS = 4096, 1024
 #: Rows that meet in a task of the search, on average.
 TASK_ROWS = 100_000
 NEIGHBOURS = 20
-#: Rows kept beyond the wanted number of neighbours: of each run, and of all runs together for the exact ranking.
-SPARE, SPARE_IN_ALL = 4, 20
+#: Rows kept beyond the wanted number of neighbours, besides those that eight bits can't tell from the last of them.
+SPARE = 4
 
 
 def symbol_bits(n: int) -> int:
@@ -250,7 +250,7 @@ def subtrees(sorted_strings: np.ndarray, strings: np.ndarray, depths: np.ndarray
 def _rank(dim: int, keep: int, wanted: int):
     def f(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):
-            return pd.DataFrame({"query": np.empty(0, np.int64), "row": np.empty(0, np.int64), "about": np.empty(0)})
+            return pd.DataFrame({"query": np.empty(0, np.int64), "row": np.empty(0, np.int64), "about": np.empty(0), "slack": np.empty(0)})
         order = np.argsort(rows["h"].to_numpy(), kind="stable")
         strings, ids = rows["h"].to_numpy()[order], rows["row"].to_numpy()[order]
         raw = np.frombuffer(b"".join(rows["coded"].to_list()), np.uint8).reshape(-1, 8 + dim)[order]
@@ -259,7 +259,9 @@ def _rank(dim: int, keep: int, wanted: int):
         asked = np.frombuffer(b"".join(queries["coded"].to_list()), np.float32).reshape(-1, dim)
         lo, hi = subtrees(strings, queries["h"].to_numpy(), queries["depth"].to_numpy(), wanted)
         names = queries["query"].to_numpy()
-        found_query, found_row, found_score = [], [], []
+        # a component is off by at most half a step: of the whole product this is three and a half deviations
+        length = np.linalg.norm(asked, axis=1).astype(np.float64)
+        found_query, found_row, found_score, found_slack = [], [], [], []
         # queries of one subtree are ranked in one product
         same = np.lexsort((hi, lo))
         cuts = np.flatnonzero((np.diff(lo[same]) != 0) | (np.diff(hi[same]) != 0)) + 1
@@ -268,16 +270,16 @@ def _rank(dim: int, keep: int, wanted: int):
             if a == b:
                 continue
             scores = (asked[who] @ codes[a:b].T).astype(np.float64) * scale[a:b]
-            if b - a > keep:
-                best = np.argpartition(-scores, keep, axis=1)[:, :keep]
-            else:
-                best = np.broadcast_to(np.arange(b - a), (len(who), b - a))
-            found_query.append(np.repeat(names[who], best.shape[1]))
-            found_row.append(ids[a + best].ravel())
-            found_score.append(np.take_along_axis(scores, best, 1).ravel())
+            slack = length[who, None] * scale[a:b]
+            last = np.partition(scores, b - a - keep, axis=1)[:, b - a - keep, None] if b - a > keep else -np.inf
+            q, r = np.nonzero(scores + slack >= last)
+            found_query.append(names[who[q]])
+            found_row.append(ids[a + r])
+            found_score.append(scores[q, r])
+            found_slack.append(slack[q, r])
         if not found_query:
             return _rank(dim, keep, wanted)(rows.iloc[:0], queries)
-        return pd.DataFrame({"query": np.concatenate(found_query), "row": np.concatenate(found_row), "about": np.concatenate(found_score)})
+        return pd.DataFrame({"query": np.concatenate(found_query), "row": np.concatenate(found_row), "about": np.concatenate(found_score), "slack": np.concatenate(found_slack)})
 
     return f
 
@@ -305,10 +307,12 @@ def _nearest_rows(index: DataFrame, dim: int, n: int, k: int, trees: int, least:
     rows = map_arrow(index.select("row", "strings", "v"), _deal_rows(trees, bits, row_blocks, query_blocks, dim), "run long, block int, q_block int, row long, h long, coded binary")
     asked = map_arrow(queries.select("row", "as_query", "v"), _deal_queries(trees, bits, running, wanted, row_blocks, query_blocks, dim), "run long, block int, q_block int, query long, h long, depth int, coded binary")
     met = rows.repartition(tasks, *key).groupBy(*key).cogroup(asked.repartition(tasks, *key).groupBy(*key))
-    found = met.applyInPandas(_rank(dim, k + SPARE, math.ceil(wanted / trees)), "query long, row long, about double")
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("about"), "row"))
-    once = found.groupBy("query", "row").agg(F.max("about").alias("about"))
-    return once.withColumn("place", place).filter(F.col("place") <= k + SPARE_IN_ALL).select("query", "row")
+    found = met.applyInPandas(_rank(dim, k + SPARE, math.ceil(wanted / trees)), "query long, row long, about double, slack double")
+    of_query = Window.partitionBy("query")
+    once = found.groupBy("query", "row").agg(F.max("about").alias("about"), F.max("slack").alias("slack"))
+    placed = once.withColumn("place", F.row_number().over(of_query.orderBy(F.desc("about"), "row")))
+    last = F.max(F.when(F.col("place") == k + SPARE, F.col("about"))).over(of_query)
+    return placed.withColumn("last", last).filter((F.col("place") <= k + SPARE) | (F.col("about") + F.col("slack") >= F.col("last"))).select("query", "row")
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, trees: int = TREES, least: int = 0) -> DataFrame:
