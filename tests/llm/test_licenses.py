@@ -58,3 +58,39 @@ def test_no_template_hides_another(spark):
     assert whole(out[0]) == whole(out[1]) == every
     for i, (label, _, _) in enumerate(licenses.TEMPLATES):
         assert label in whole(out[10 + i])
+
+
+def brute_templates(text):
+    """Labels and the largest share, by trying every template at every place."""
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+    labels, score = set(), 0.0
+    for label, phrase, body in licenses.TEMPLATES:
+        body, phrase = body.split(), phrase.split()
+        for begin in range(1 - len(body), len(ws)):
+            same = sum(1 for i, w in enumerate(body) if 0 <= begin + i < len(ws) and ws[begin + i] == w)
+            part = ws[max(0, begin) : begin + len(body)]
+            if same / len(body) >= licenses.LEAST and any(part[i : i + len(phrase)] == phrase for i in range(len(part))):
+                labels.add(label)
+                score = max(score, same / len(body))
+    return labels, score
+
+
+def test_labels_and_score_by_brute_force(spark, small):
+    real = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect() if r.text and len(r.text) < 600][:40]
+    lines = [
+        "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "// SPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier: GPL-3.0-or-later",
+        "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "you may copy this", "Distributed under the Boost Software License, Version 1.0.", "the license is ours", None, "",
+    ]
+    rows = real + [(10_000 + i, t) for i, t in enumerate(lines)] + [(20_000 + i, f"a b {body} c") for i, (_, _, body) in enumerate(licenses.TEMPLATES)]
+    out = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc, text in rows:
+        base = set(filter(None, brute(text)[4].split(",")))
+        labels, score = brute_templates(text)
+        assert out[doc].labels == ",".join(sorted(labels | base)) and abs(out[doc].score - (score or (licenses.PHRASE_SCORE if base else 0.0))) < 1e-12
+    assert [out[10_000 + i].labels for i in range(6)] == ["mit", "gpl", "cc-by-nc", "apache", "gpl", "cc-by-sa"]
+
+
+def test_the_index_finds_what_the_base_does_not(spark, small):
+    found = licenses.scan_licenses(spark.read.parquet(small.replace("sf0.001", "sf0.01") + "/documents.parquet")).filter("labels <> ''")
+    assert found.filter("size(spans) > 0").count() >= 0.9 * found.count() and found.filter("labels <> base_labels").count() > 0
