@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: dict[str, str] = {}
 _shipped: set[str] = set()
+_scopes: list[list[str]] = []
 
 
 def session(app: str = "lodestone", master: str | None = None, **conf: str) -> SparkSession:
@@ -26,10 +30,15 @@ def session(app: str = "lodestone", master: str | None = None, **conf: str) -> S
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; where it is unset (tests, one machine), a temporary folder."""
+    """`spark.checkpoint.dir` of the session; where it is unset on a local master (tests, one machine), a temporary folder.
+
+    On a cluster without that setting this raises, as a machine's own folder is not one that executors share.
+    """
     set_one = spark.conf.get("spark.checkpoint.dir", None)
     if set_one:
         return set_one.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = tempfile.mkdtemp(prefix="lodestone-")
@@ -51,13 +60,28 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and return a reader of it.
 
-    It cuts the lineage: later steps read committed files, so a lost executor costs only its running tasks.
+    It cuts the lineage: later steps read committed files, so a lost executor costs only its running tasks. Within
+    `stashes`, the table goes when that ends.
     """
     spark = df.sparkSession
     ship_package(spark)
     path = f"{shared_folder(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def stashes(spark: SparkSession) -> Iterator[None]:
+    """Tables that `stash` writes within are deleted at the end, so what is wanted of them must be written or collected by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
