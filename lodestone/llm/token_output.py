@@ -1,8 +1,10 @@
 """Token ids in shard files of separately compressed documents with a shared zstandard dictionary.
 
 A shard is one block of bytes: a header with the dictionary's sha256, the documents' ids and counts, an index of offsets
-and one zstandard frame a document, so that a short document costs one seek and one small frame. Blocks are stored as
-rows of a Parquet table, which Spark's committer makes whole or absent and any store can hold.
+and one zstandard frame a document. Blocks are stored as rows of a Parquet table, which Spark's committer makes whole or
+absent and any store can hold. The table is not compressed again, its pages hold a block each, and every block has the first
+and last id beside it: by the table's page index a reader fetches the one block that has a document, and by the block's own
+index it decompresses that document's frame alone.
 """
 
 from __future__ import annotations
@@ -18,12 +20,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import map_arrow, stash, task_number, task_offsets
+from lodestone.llm.common import map_arrow, settings, stash, task_number, task_offsets
 from lodestone.llm.tokens import encoder
 
 END_ID = 2
 #: A shard is closed when its frames reach so many bytes.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 64 << 10
+#: Pages of the table of shards are closed by every row that has so many bytes.
+PAGES = {"parquet_page_size": str(SHARD_BYTES), "parquet_page_size_row_check_min": "1"}
+#: Characters of a range of doc_ids, on average, which one task writes.
+TASK_CHARS = 48 << 20
 #: The dictionary is trained on the first bytes of the ids of so many documents, the smallest by hash of doc_id. What is
 #: gathered for that is bounded by the number of documents and the characters of each; every document is written whole.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 16_384, 4096, 64 << 10
@@ -110,7 +116,7 @@ def _write(dictionary: bytes, end_id: int, path: str | None, shard_bytes: int):
 
         def closed() -> pa.RecordBatch:
             data = build_shard(docs, widths, counts, frames, dictionary)
-            return pa.record_batch([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([begin], pa.int64()), pa.array([total - begin], pa.int64()), pa.array([data], pa.binary())], names=["part", "number", "start_in_part", "n", "data"])
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([begin], pa.int64()), pa.array([total - begin], pa.int64()), pa.array([docs[0]], pa.int64()), pa.array([docs[-1]], pa.int64()), pa.array([data], pa.binary())], names=["part", "number", "start_in_part", "n", "first_doc", "last_doc", "data"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -150,20 +156,42 @@ def _read(dictionary: bytes):
 
 
 def write_shards(docs: DataFrame, end_id: int = END_ID, path: str | None = None, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, bytes]:
-    """The written table of shards (part, number, start_in_part, n, data) in rising doc_id order, and the dictionary.
+    """The written table of shards (part, number, start_in_part, n, first_doc, last_doc, data) in rising doc_id order, and the dictionary.
 
     Null doc_ids come first; rows of equal doc_id are ordered by text. A null or empty text is its end id alone.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # rows with small hashes only, a few times as many as are wanted: so what meets in one task doesn't grow with the tasks
-    share = 4 * SAMPLE_DOCS / max(1, docs.count())
+    n, chars = texts.agg(F.count("*"), F.sum(F.length("text"))).first()
+    share = 4 * SAMPLE_DOCS / max(1, n)
     few = texts if share >= 1 else texts.filter(F.xxhash64("doc_id") < int(share * (1 << 64)) - (1 << 63))
     some = few.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).select("text")
     samples = [bytes(r[0]) for r in map_arrow(some, _samples(path), "sample binary").collect()]
     dictionary = train_dictionary(samples)
-    ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    shards = map_arrow(ordered, _write(dictionary, end_id, path, shard_bytes), "part int, number int, start_in_part long, n long, data binary")
-    return stash(shards, "token-shards"), dictionary
+    ordered = texts.repartitionByRange(1 + (chars or 0) // TASK_CHARS, "doc_id").sortWithinPartitions("doc_id", "text")
+    shards = map_arrow(ordered, _write(dictionary, end_id, path, shard_bytes), "part int, number int, start_in_part long, n long, first_doc long, last_doc long, data binary")
+    with settings(docs.sparkSession, **PAGES):
+        return stash(shards, "token-shards", "none"), dictionary
+
+
+def documents(shards: DataFrame, dictionary: bytes, wanted: list[int]) -> DataFrame:
+    """(doc_id, ids) of the wanted documents: their blocks alone are read, and of these their frames alone decompressed."""
+    one = lambda d: (F.col("first_doc") <= d) & (F.col("last_doc") >= d)
+    among = one(wanted[0])
+    for d in wanted[1:]:
+        among = among | one(d)
+    return map_arrow(shards.filter(among).select("data"), _pick(dictionary, frozenset(wanted)), "doc_id long, ids array<long>")
+
+
+def _pick(dictionary: bytes, wanted: frozenset[int]):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                shard = Shard(data, dictionary)
+                at = [i for i, d in enumerate(shard.doc_ids) if d in wanted]
+                yield pa.record_batch([pa.array([shard.doc_ids[i] for i in at], pa.int64()), pa.array([shard.ids(i).astype(np.int64).tolist() for i in at], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return f
 
 
 def read_shards(shards: DataFrame, dictionary: bytes) -> DataFrame:

@@ -80,3 +80,27 @@ def test_small_shards_and_random_access(docs, ids_of, rows):
     with pytest.raises(ValueError):
         token_output.Shard(bytes(shards.first().data), dictionary + b"x")
     assert token_output.narrow(np.array([1, 70000], "<u4"))[0] == 4
+
+
+def test_one_document_is_read_without_the_rest(spark, small, ids_of):
+    """By the pages' index a lookup reads one block; by the block's index it decompresses one frame."""
+    import pyarrow.parquet as pq
+
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {r.doc_id: r.text for r in table.collect()}
+    shards, dictionary = token_output.write_shards(table.repartition(1), shard_bytes=2000)
+    wanted = sorted(texts)[len(texts) // 2 :: 40]
+    got = {r.doc_id: r.ids for r in token_output.documents(shards, dictionary, wanted).collect()}
+    assert got == {d: [*ids_of(texts[d]), 2] for d in wanted}
+    # what the filter on ids leaves of the table: few of its blocks
+    row = shards.filter((shards.first_doc <= wanted[0]) & (shards.last_doc >= wanted[0])).collect()
+    assert len(row) == 1 and len(row[0].data) < sum(len(r.data) for r in shards.select("data").collect()) / 10
+    for file in shards.inputFiles():
+        meta = pq.ParquetFile(file.removeprefix("file://")).metadata
+        assert all(meta.row_group(g).column(6).compression == "UNCOMPRESSED" and meta.row_group(g).column(6).has_offset_index for g in range(meta.num_row_groups))
+    shard = token_output.Shard(bytes(row[0].data), dictionary)
+    i = shard.doc_ids.index(wanted[0])
+    # other frames may be anything
+    begin, end = shard._frames + int(shard.offsets[i]), shard._frames + int(shard.offsets[i + 1])
+    spoiled = bytes(row[0].data[: shard._frames]) + b"?" * (begin - shard._frames) + bytes(row[0].data[begin:end])
+    assert token_output.Shard(spoiled, dictionary).ids(i).tolist() == got[wanted[0]]
