@@ -336,9 +336,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, trees: int
     classes = kept.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids")).join(asked, ["h1", "h2"], "left").select("v", "h1", "h2", "ids", F.coalesce("has_query", F.lit(False)).alias("asked"))
     classes = stash(classes, "forest-classes")
     # lengths in units of the largest component, as squares of large ones are not finite
-    most = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
-    length = most * F.sqrt(F.aggregate(F.transform("v", lambda x: x.cast("double") / most), F.lit(0.0), lambda s, x: s + x * x))
-    dims = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(length).alias("longest")).collect()
+    most = classes.select("v", F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))).alias("most"))
+    length = F.col("most") * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x.cast("double") / F.col("most")) * (x.cast("double") / F.col("most"))))
+    dims = most.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(length).alias("longest")).collect()
     kind = classes.schema["v"].dataType.simpleString()
     out = None
     for dim, n, longest in sorted(map(tuple, dims)):
