@@ -28,12 +28,13 @@ from lodestone.llm.common import held_out_of, map_arrow, stash, task_number, utf
 #: A training word of so many tokens is exchanged between CLASSES classes; rarer ones go by their ending.
 LEAST, CLASSES, ENDINGS = 5, 64, 16
 #: Shares of a turn's moves, by gain, whose likelihoods are compared.
-SHARES = (1.0, 0.5, 0.25, 0.125, 0.0625, 0.03125)
-#: Words in a block, whose contexts meet in one task as a table of fixed size.
-BLOCK = 4096
+SHARES = (1.0, 0.5, 0.25, 0.125, 0.0625, 0.03125, 0.008)
+#: Words in a block, whose contexts meet in one task as a table of fixed size, and words that are offered classes at once.
+BLOCK, WORDS = 4096, 512
 #: Words that a worker remembers the hashes of.
 MEMO = 300_000
-ROUNDS = 4
+#: Turns at most; they end before where no share of the moves raises the likelihood, or by less than this part of what the first turn did.
+ROUNDS, LEAST_GAIN = 8, 0.02
 #: Smoothing of transitions (in units of the class distribution) and of emissions (added to each count).
 ALPHA, BETA = 2.0, 0.5
 #: Distinct words, and neighbours of words, that a task counts before it sends them on.
@@ -129,11 +130,23 @@ def _units(ids: bytes, exchange: int, endings: np.ndarray) -> np.ndarray:
     codes = np.frombuffer(ids, np.int32)
     end = exchange + ENDINGS
     out = np.full(len(codes) + 2, end, np.int64)
-    by_ending = np.where(codes < 0, -1 - codes, endings[codes].astype(np.int64) if len(endings) else 0)
+    by_ending = np.where(codes < 0, -1 - codes, endings[np.maximum(codes, 0)].astype(np.int64) if len(endings) else 0)
     out[1:-1] = np.where((codes >= 0) & (codes < exchange), codes, exchange + by_ending)
     return out
 
 
+def _units_of_batch(column: pa.Array, exchange: int, endings: np.ndarray) -> np.ndarray:
+    """The units of all texts of a batch in one row, with one text end before, between and after them: their bigrams are those of the texts."""
+    texts = column.to_pylist()
+    codes = np.frombuffer(b"".join(texts), np.int32)
+    end = exchange + ENDINGS
+    out = np.full(len(codes) + len(texts) + 1, end, np.int32)
+    by_ending = np.where(codes < 0, -1 - codes, endings[np.maximum(codes, 0)].astype(np.int32) if len(endings) else 0)
+    at = np.arange(1, len(codes) + 1) + np.repeat(np.arange(len(texts)), [len(t) // 4 for t in texts])
+    out[at] = np.where((codes >= 0) & (codes < exchange), codes, exchange + by_ending)
+    return out
+
+
 def _pack(codes: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted codes by their differences and counts, compressed byte by byte of their places."""
     both = np.concatenate([np.diff(codes, prepend=0), counts]).astype("<u4")
@@ -151,8 +164,12 @@ def _contexts(exchange: int, endings: np.ndarray, class_of: np.ndarray, k: int):
     """(block, packed): of each word of a block, tokens by class before it, by class after it, and its bigrams with itself."""
     width = 2 * k + 1
 
+    # sorting is what this costs, and half as wide codes sort several times as fast
+    kind = np.int32 if exchange * width < 1 << 31 else np.int64
+
     def packed(seen: list[np.ndarray]) -> pa.RecordBatch:
         codes, n = np.unique(np.concatenate(seen), return_counts=True)
+        codes = codes.astype(np.int64)
         blocks = np.arange(-(-exchange // BLOCK) + 1)
         cuts = np.searchsorted(codes, blocks * BLOCK * width)
         out = [(b, _pack(codes[lo:hi] - b * BLOCK * width, n[lo:hi])) for b, lo, hi in zip(blocks[:-1].tolist(), cuts[:-1], cuts[1:], strict=True) if hi > lo]
@@ -161,17 +178,17 @@ def _contexts(exchange: int, endings: np.ndarray, class_of: np.ndarray, k: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held = [], 0
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                u = _units(ids, exchange, endings)
-                c = class_of[u].astype(np.int64)
-                a, b = u[:-1], u[1:]
-                moves_a, moves_b = a < exchange, b < exchange
-                own = a[(a == b) & moves_a]
-                seen += [b[moves_b] * width + c[:-1][moves_b], a[moves_a] * width + k + c[1:][moves_a], own * width + 2 * k]
-                held += 2 * len(a)
-                if held > FLUSH_CONTEXTS:
-                    yield packed(seen)
-                    seen, held = [], 0
+            u = _units_of_batch(batch.column(0), exchange, endings)
+            c = class_of[u].astype(kind)
+            u = u.astype(kind)
+            a, b = u[:-1], u[1:]
+            moves_a, moves_b = a < exchange, b < exchange
+            own = a[(a == b) & moves_a]
+            seen += [b[moves_b] * width + c[:-1][moves_b], a[moves_a] * width + k + c[1:][moves_a], own * width + 2 * k]
+            held += 2 * len(a)
+            if held > FLUSH_CONTEXTS:
+                yield packed(seen)
+                seen, held = [], 0
         if seen:
             yield packed(seen)
 
@@ -225,6 +242,51 @@ def best_class(m: np.ndarray, own: int, left: np.ndarray, right: np.ndarray, twi
     return best, float(score[best] - score[own])
 
 
+def best_classes(m: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, twice: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """`best_class` of many words at once: left and right (words, classes of the table), own and twice (words,)."""
+    n, k = len(own), classes
+    if not n:
+        return own.astype(np.int64), np.zeros(0)
+    at = np.arange(n)
+    l, r = left.copy(), right.copy()
+    l[at, own] -= twice
+    r[at, own] -= twice
+
+    def gains(others: np.ndarray, table: np.ndarray, whole: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """What a word's bigrams with other classes add, by class it might go to; the table without the word."""
+        w, c = np.nonzero(others)
+        cells = table[c, :k].astype(np.float64)
+        to_own = c == own[w]
+        cells[to_own] -= back[w[to_own], :k]
+        e = np.arange(len(w))
+        cells[e, own[w]] -= whole[w, c]
+        cells[e[to_own], own[w[to_own]]] += twice[w[to_own]]
+        each = _plogp(cells + others[w, c][:, None]) - _plogp(cells)
+        out = np.zeros((n, k))
+        some = np.flatnonzero(np.bincount(w, minlength=n))
+        if len(some):
+            out[some] = np.add.reduceat(each, np.searchsorted(w, some), axis=0)
+        return out
+
+    score = gains(r, m.T, right, left) + gains(l, m, left, right)
+    d = np.repeat(np.diagonal(m)[None, :k].astype(np.float64), n, axis=0)
+    d[at, own] += twice - left[at, own] - right[at, own]
+    lk, rk = l[:, :k], r[:, :k]
+    of_d = _plogp(d)
+    score += 2 * of_d - _plogp(d + rk) - _plogp(d + lk) + _plogp(d + rk + lk + twice[:, None]) - of_d
+    for sums, part in ((m.sum(axis=1), right.sum(axis=1)), (m.sum(axis=0), left.sum(axis=1))):
+        x = np.repeat(sums[None, :k].astype(np.float64), n, axis=0)
+        x[at, own] -= part
+        score -= _plogp(x + part[:, None]) - _plogp(x)
+    best = score.argmax(axis=1)
+    return best, score[at, best] - score[at, own]
+
+
+def _plogp(x: np.ndarray) -> np.ndarray:
+    """x log x of whole numbers from 0."""
+    return x * np.log(np.maximum(x, 1))
+
+
 def _exchange(class_of: np.ndarray, m: np.ndarray, exchange: int, classes: int):
     def f(group: pd.DataFrame) -> pd.DataFrame:
         k = len(m)
@@ -233,13 +295,16 @@ def _exchange(class_of: np.ndarray, m: np.ndarray, exchange: int, classes: int):
         for packed in group["packed"]:
             codes, n = _unpack(packed)
             table[codes] += n
+        table = table.reshape(-1, 2 * k + 1)
         out = []
-        for i, row in enumerate(table.reshape(-1, 2 * k + 1)):
-            word = first + i
-            to, gain = best_class(m, int(class_of[word]), row[:k], row[k:-1], float(row[-1]), classes)
-            if to != class_of[word] and gain > 1e-6:
-                out.append((word, to, gain))
-        return pd.DataFrame(out, columns=["word", "to", "gain"]).astype({"word": "int32", "to": "int32", "gain": "float64"})
+        for lo in range(0, len(table), WORDS):
+            some = table[lo : lo + WORDS]
+            words = np.arange(first + lo, first + lo + len(some))
+            own = class_of[words].astype(np.int64)
+            to, gain = best_classes(m, own, some[:, :k], some[:, k:-1], some[:, -1], classes)
+            moves = (to != own) & (gain > 1e-6)
+            out.append(pd.DataFrame({"word": words[moves], "to": to[moves], "gain": gain[moves]}))
+        return pd.concat(out).astype({"word": "int32", "to": "int32", "gain": "float64"})
 
     return f
 
@@ -261,23 +326,30 @@ def cluster(trained: DataFrame, head_counts: np.ndarray, exchange: int, endings:
     class_of[np.argsort(-head_counts[:exchange], kind="stable")] = np.arange(exchange) % classes
     m = _tables(trained, exchange, endings, [class_of], k)[0]
     blocks = -(-exchange // BLOCK)
+    of_first = None
     for _ in range(rounds if exchange else 0):
         around = map_arrow(trained, _contexts(exchange, endings, class_of, k), "block int, packed binary").repartition(blocks, "block")
-        moves = around.groupBy("block").applyInPandas(_exchange(class_of, m, exchange, classes), "word int, to int, gain double").toArrow().to_pandas()
-        if not len(moves):
+        moves = around.groupBy("block").applyInPandas(_exchange(class_of, m, exchange, classes), "word int, to int, gain double").toArrow()
+        if not moves.num_rows:
             break
-        moves = moves.sort_values(["gain", "word"], ascending=[False, True])
+        word, to, gain = (moves.column(c).to_numpy() for c in ("word", "to", "gain"))
+        order = np.lexsort((word, -gain))
+        word, to = word[order], to[order]
         tried = []
-        for n in sorted({max(1, int(len(moves) * share)) for share in SHARES}):
+        for n in sorted({max(1, int(len(word) * share)) for share in SHARES}):
             moved = class_of.copy()
-            moved[moves["word"].to_numpy()[:n]] = moves["to"].to_numpy()[:n]
+            moved[word[:n]] = to[:n]
             tried.append(moved)
         # words move at once, each as if alone, so that a part of the moves may be better than all
         tables = _tables(trained, exchange, endings, tried, k)
         best = max(range(len(tried)), key=lambda i: likelihood(tables[i]))
-        if likelihood(tables[best]) <= likelihood(m):
+        rise = likelihood(tables[best]) - likelihood(m)
+        if rise <= 0:
             break
         class_of, m = tried[best], tables[best]
+        of_first = of_first or rise
+        if rise < LEAST_GAIN * of_first:
+            break
     return class_of, m
 
 
@@ -285,15 +357,10 @@ def _transitions(exchange: int, endings: np.ndarray, classes_of: list[np.ndarray
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(classes_of), k * k), np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                u = _units(ids, exchange, endings)
-                for which, class_of in enumerate(classes_of):
-                    c = class_of[u].astype(np.int64)
-                    codes = c[:-1] * k + c[1:]
-                    if len(codes) < k * k:
-                        np.add.at(total[which], codes, 1)
-                    else:
-                        total[which] += np.bincount(codes, minlength=k * k)
+            u = _units_of_batch(batch.column(0), exchange, endings)
+            for which, class_of in enumerate(classes_of):
+                c = class_of[u].astype(np.int32)
+                total[which] += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
         which, at = np.nonzero(total)
         yield pa.record_batch([pa.array(which.astype(np.int32)), pa.array((at // k).astype(np.int32)), pa.array((at % k).astype(np.int32)), pa.array(total[which, at])], names=["which", "left", "right", "n"])
 

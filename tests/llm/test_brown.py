@@ -105,3 +105,87 @@ def test_hashes_are_sparks(spark):
     ws = [b"a", "Ünï漢字".encode(), b"x" * 100, b"0123456789abcdef0123456789abcdef"]
     df = spark.createDataFrame([(bytearray(w),) for w in ws], "word binary").selectExpr("xxhash64(word) h", "crc32(substring(word, greatest(length(word) - 2, 1), 3)) % 16 e")
     assert [(r.h, r.e) for r in df.collect()] == [(int(h), brown.ending(w)) for w, h in zip(ws, brown.hashes(ws), strict=True)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_many_words_at_once_are_as_each_alone(seed):
+    rng = np.random.default_rng(seed)
+    words, k, fixed = 60, 6, 2
+    counts = rng.poisson(0.4, (words, words)).astype(float)
+    class_of = np.concatenate([rng.integers(0, k - fixed, words - 2), [k - 2, k - 1]])
+    m = np.zeros((k, k))
+    np.add.at(m, (class_of[:, None], class_of[None, :]), counts)
+    left, right = np.zeros((words, k)), np.zeros((words, k))
+    for x in range(words):
+        left[:, class_of[x]] += counts[x]
+        right[:, class_of[x]] += counts[:, x]
+    some = np.arange(words - 2)
+    to, gain = brown.best_classes(m, class_of[some], left[some], right[some], counts[some, some], k - fixed)
+    for w in some:
+        one, alone = brown.best_class(m, class_of[w], left[w], right[w], counts[w, w], k - fixed)
+        assert math.isclose(gain[w], alone, abs_tol=1e-8) and (to[w] == one or math.isclose(gain[w], alone, abs_tol=1e-8))
+
+
+def test_units_of_a_batch_are_those_of_its_texts():
+    import pyarrow as pa
+
+    ids = [np.array(x, np.int32).tobytes() for x in ([0, 3, -1], [], [2], [-16, 1, 1])]
+    endings = np.array([1, 2, 3, 4], np.uint8)
+    each = [brown._units(i, 3, endings) for i in ids]
+    pairs = [p for u in each for p in zip(u[:-1].tolist(), u[1:].tolist(), strict=True)]
+    u = brown._units_of_batch(pa.array(ids, pa.binary()), 3, endings).tolist()
+    assert list(zip(u[:-1], u[1:], strict=True)) == pairs
+
+
+def test_likelihood_rises_until_no_gain_is_left(spark, small, monkeypatch):
+    seen = []
+    real = brown._tables
+    monkeypatch.setattr(brown, "_tables", lambda *a: seen.append(real(*a)) or seen[-1])
+    brown.score_documents(spark.read.parquet(f"{small}/documents.parquet"), classes=16).count()
+    best = [max(map(brown.likelihood, t)) for t in seen]
+    first = best[1] - best[0]
+    assert all(b > a for a, b in zip(best[:-2], best[1:-1], strict=True)) and best[-1] > best[0]
+    assert len(seen) == 1 + brown.ROUNDS or best[-1] - max(best[:-1]) < brown.LEAST_GAIN * first
+
+
+def test_score_by_brute_force(spark):
+    """The score of each text from the classes found: sums of transitions and emissions, word by word."""
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(vocabulary, rng.integers(0, 12), p=np.arange(40, 0, -1) / 820))) for i in range(120)] + [(500, None), (501, "unseen words here"), (502, "rare1 w1 rare2")]
+    found, numbers = [], []
+    cluster, number = brown.cluster, brown.Numbers
+    try:
+        brown.cluster = lambda *a: found.append((a, cluster(*a))) or found[-1][1]
+        brown.Numbers = lambda h: numbers.append(number(h)) or numbers[-1]
+        out = {r.doc_id: r.score for r in brown.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), classes=5).collect()}
+    finally:
+        brown.cluster, brown.Numbers = cluster, number
+    (_, _, exchange, _, classes, _), (class_of, _) = found[0]
+    k = classes + brown.ENDINGS + 1
+    count = Counter(t for d, text in rows if not held(d) for t in tokens(text))
+
+    def cls(token):
+        if token is None:
+            return k - 1
+        i = numbers[0].of([token.encode()])[0]
+        return int(class_of[i] if i >= 0 else classes + brown.ending(token.encode()))
+
+    steps = np.zeros((k, k))
+    for d, text in rows:
+        if not held(d):
+            seq = [k - 1, *map(cls, tokens(text))]
+            for a, b in zip(seq[:-1], seq[1:], strict=True):
+                steps[a, b] += 1
+    into = steps.sum(axis=0)
+    share = (into + 1) / (into.sum() + k)
+    n_words = Counter(cls(t) for t in count if t is not None)
+    for d, text in rows:
+        total, before = 0.0, k - 1
+        for t in tokens(text):
+            c = cls(t)
+            total += math.log10((steps[before, c] + brown.ALPHA * share[c]) / (steps[before].sum() + brown.ALPHA))
+            if t is not None:
+                total += math.log10((count[t] + brown.BETA) / (into[c] + brown.BETA * (n_words[c] + 1)))
+            before = c
+        assert math.isclose(out[d], total, rel_tol=1e-9, abs_tol=1e-9)
