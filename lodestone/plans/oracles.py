@@ -209,17 +209,29 @@ SCORE = "count(*) AS total, count(*) FILTER (stale) AS stale, count(*) FILTER (u
 _SECRET = "regexp_matches({0}, '{1}')"
 
 
+def _shows(column: str, rule: tuple) -> str:
+    """As `secrets.shows`; DuckDB's entropy of a list of characters is in bits."""
+    import re
+
+    _, shape, least, keywords = rule
+    quoted = shape.replace("'", "''")
+    sql = f"({' OR '.join(f"contains(lower({column}), '{k.lower()}')" for k in keywords) or 'true'}) AND regexp_matches({column}, '{quoted}')"
+    if least is not None:
+        group = 1 if re.search(r"(?<!\\)\((?!\?)", shape) else 0
+        sql += f" AND len(list_filter(regexp_extract_all({column}, '{quoted}', {group}), lambda m: list_entropy(string_split(m, '')) > {least})) > 0"
+    return f"coalesce({sql}, false)"
+
+
 def _secret_any(column: str, generic: bool) -> str:
-    from lodestone.operators.secrets import GENERIC, PATTERNS
+    from lodestone.operators.secrets import rules
 
-    return f"regexp_matches({column}, '{'|'.join(f'(?:{p})' for p in (PATTERNS | (GENERIC if generic else {})).values()).replace(chr(39), chr(39) * 2)}')"
+    return "(" + " OR ".join(_shows(column, r) for r in rules(generic)) + ")"
 
 
 def _secret_kinds(column: str) -> str:
-    from lodestone.operators.secrets import GENERIC, PATTERNS
+    from lodestone.operators.secrets import rules
 
-    quoted = {k: v.replace("'", "''") for k, v in (PATTERNS | GENERIC).items()}
-    whens = ", ".join(f"CASE WHEN regexp_matches({column}, '{p}') THEN '{k}' END" for k, p in quoted.items())
+    whens = ", ".join(f"CASE WHEN {_shows(column, r)} THEN '{r[0]}' END" for r in rules(True))
     return f"array_to_string(list_filter([{whens}], lambda x: x IS NOT NULL), ',')"
 
 
