@@ -31,7 +31,7 @@ LEAST, CLASSES, ENDINGS = 5, 64, 16
 SHARES = (1.0, 0.5, 0.25, 0.125, 0.0625, 0.03125, 0.008)
 #: Words in a block, whose contexts meet in one task as a table of fixed size, and words that are offered classes at once.
 BLOCK, WORDS = 4096, 512
-#: Words that a worker remembers the hashes of.
+#: Words that a worker remembers the codes of.
 MEMO = 300_000
 #: Turns at most; they end before where no share of the moves raises the likelihood, or by less than this part of what the first turn did.
 ROUNDS, LEAST_GAIN = 8, 0.02
@@ -40,7 +40,9 @@ ALPHA, BETA = 2.0, 0.5
 #: Distinct words, and neighbours of words, that a task counts before it sends them on.
 FLUSH, FLUSH_CONTEXTS = 400_000, 8_000_000
 
-_memo: dict[bytes, int] = {}
+#: What a worker remembers of the codes of words, and of which numbers.
+_codes: dict[bytes, int] = {}
+_codes_of: tuple[int, int] = (0, 0)
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -73,12 +75,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def hashes(ws: list[bytes]) -> np.ndarray:
     """Spark's xxhash64 of each word."""
-    global _memo
-    if len(_memo) > MEMO:
-        _memo = {}
-    for w in set(ws).difference(_memo):
-        _memo[w] = xxhash.xxh64_intdigest(w, 42)
-    return np.fromiter(map(_memo.__getitem__, ws), np.uint64, len(ws)).view(np.int64)
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in ws), np.uint64, len(ws)).view(np.int64)
 
 
 class Numbers:
@@ -96,6 +93,17 @@ class Numbers:
         at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
         return np.where(self.sorted[at] == h, self.number[at], np.int32(-1))
 
+    def codes(self, ws: list[bytes]) -> np.ndarray:
+        """The number of each word, or -1 less its ending's. A word is looked up once while the worker remembers it, in whatever task."""
+        global _codes, _codes_of
+        of = (len(self.sorted), int(self.sorted.sum()))
+        if of != _codes_of or len(_codes) > MEMO:
+            _codes, _codes_of = {}, of
+        new = list(set(ws).difference(_codes))
+        if new:
+            _codes.update((w, i if i >= 0 else -1 - ending(w)) for w, i in zip(new, self.of(new).tolist(), strict=True))
+        return np.fromiter(map(_codes.__getitem__, ws), np.int32, len(ws))
+
 
 def _encode(numbers: Numbers):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,13 +112,8 @@ def _encode(numbers: Numbers):
             ids, tails, counts, sizes = [], [], [], []
             for text in batch.column(2).to_pylist():
                 ws = words(text)
-                codes = numbers.of(ws)
-                rest = np.flatnonzero(codes < 0).tolist()
-                tail = [ws[i] for i in rest]
-                if tail:
-                    of = {w: -1 - ending(w) for w in set(tail)}
-                    codes[rest] = [of[w] for w in tail]
-                c = Counter(tail)
+                codes = numbers.codes(ws)
+                c = Counter([ws[i] for i in np.flatnonzero(codes < 0).tolist()])
                 sizes.append(len(ws) + 1)
                 ids.append(codes.tobytes())
                 tails.append(list(c))
