@@ -98,11 +98,11 @@ def blank_to_null(c: Column) -> Column:
 
 
 def percent_text(ratio: Column) -> Column:
-    return F.when(ratio.isNull(), "n/a").otherwise(F.concat(round_half_up(ratio * 100).cast("string"), F.lit("%")))
+    return F.when(ratio.isNull(), "—").otherwise(F.concat(round_half_up(ratio * 100).cast("string"), F.lit("%")))
 
 
 def trend_arrow(trend: Column) -> Column:
-    return F.when(trend == "up", "↑").when(trend == "down", "↓").when(trend == "flat", "→").otherwise("")
+    return F.when(trend == "up", "↑ improving").when(trend == "down", "↓ declining").when(trend == "flat", "→ steady").otherwise("· no prior window")
 
 
 def bar(n: Column, most: Column, cells: int = 24) -> Column:

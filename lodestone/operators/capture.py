@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.scalars import BLANK, collapse, gist, inline_text
 from lodestone.operators.search import is_superseded
-from lodestone.sources.knowledge import KINDS
 
 TRANSCRIPT_BYTES, COMMIT_BODY = 2_000_000, 4000
 
@@ -88,11 +87,22 @@ def router(notes: DataFrame, most: int = 50) -> DataFrame:
     return rows.groupBy("source").agg(F.count("*").alias("lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "place", "line"))), lambda x: x["line"]), "\n").alias("markdown"))
 
 
+#: Sections of an emitted context; a title costs its length and four characters of line ends and marks.
+SECTIONS = ("Decisions", "Active work", "Key facts")
+#: What an entry costs at least: its marks and the end of its line.
+LEAST_ENTRY = 7
+
+
+def emit_header(source: Column) -> Column:
+    return F.concat(F.lit("# Team brain\n\nShared knowledge for **"), source, F.lit("**, generated from the team's notes.\nRead this before acting. Do not edit: it is made anew from the notes.\n"))
+
+
 def emit_context(notes: DataFrame, budget: int = 8000) -> DataFrame:
-    """Per source: entries of decisions, active work and memories within a budget of characters that carries over.
+    """Per source: decisions, active work and memories as one markdown text within a budget of characters, of which the header and titles are a part.
 
-    A section stops at its first entry that doesn't fit, but has one entry at least. Sections are at most as long as the
-    budget, so each is cut to it before it is gathered; a fold over the ordered entries then spends the budget.
+    A section stops at its first entry that doesn't fit, but has one entry at least. An entry has a least length, so a
+    section holds a bounded number of rows: those are taken by rank, which Spark limits before it shuffles; a fold over
+    them then spends the budget.
     """
     g = gist(F.col("body"))
     tail = F.when(g != "", F.concat(F.lit(" — "), g)).otherwise("")
@@ -101,21 +111,23 @@ def emit_context(notes: DataFrame, budget: int = 8000) -> DataFrame:
     section = F.when(F.col("kind") == "decision", 0).when(F.col("kind") == "work-state", 1).otherwise(2)
     live = notes.filter(~is_superseded() & F.col("kind").isin("decision", "work-state", "memory") & ~((F.col("kind") == "work-state") & (F.col("status") == "done")))
     w = Window.partitionBy("source", "section").orderBy(F.when(F.col("section") == 0, F.col("created")).desc_nulls_last(), "id")
-    rows = live.select("source", "id", "created", section.alias("section"), entry.alias("entry")).withColumn("place", F.row_number().over(w)).withColumn("so_far", F.sum(F.length("entry") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.filter((F.col("place") == 1) | (F.col("so_far") <= budget))
+    rows = live.select("source", "id", "created", section.alias("section"), entry.alias("entry")).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= budget // LEAST_ENTRY + 1)
+    rows = rows.withColumn("so_far", F.sum(F.length("entry") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter((F.col("place") == 1) | (F.col("so_far") <= budget))
     listed = rows.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("section", "place", F.length("entry").alias("n"), "entry"))).alias("entries"))
-    start = F.struct(F.lit(0).alias("used"), F.lit(-1).alias("section"), F.lit(False).alias("stopped"), F.array().cast("array<string>").alias("out"))
+    header = emit_header(F.coalesce("source", F.lit("")))
+    start = F.struct(F.length(header).alias("used"), F.lit(-1).alias("section"), F.lit(False).alias("stopped"), F.lit(0).alias("kept"), F.array().cast("array<string>").alias("out"))
+    titles = F.array(*[F.lit(t) for t in SECTIONS])
 
     def step(s, x):
         fresh = s["section"] != x["section"]
         # what a section's title costs is spent when the next one begins
-        used = s["used"] + F.when(fresh & (s["section"] >= 0), F.element_at(F.array(F.lit(13), F.lit(15), F.lit(13)), F.greatest(s["section"], F.lit(0)) + 1)).otherwise(0)
+        used = s["used"] + F.when(fresh & (s["section"] >= 0), F.length(F.element_at(titles, F.greatest(s["section"], F.lit(0)) + 1)) + 4).otherwise(0)
         stop = ~fresh & (s["stopped"] | (used + x["n"] + 1 > budget))
-        return F.struct(F.when(stop, used).otherwise(used + x["n"] + 1).cast("int").alias("used"), x["section"].alias("section"), stop.alias("stopped"), F.when(stop, s["out"]).otherwise(F.concat(s["out"], F.array(x["entry"]))).alias("out"))
-
-    folded = F.aggregate("entries", start, step)
-    return listed.select("source", folded.alias("f")).select("source", F.size("f.out").alias("entries"), F.array_join("f.out", "\n").alias("context"))
-
-
-def kind_folders() -> tuple[str, ...]:
-    return KINDS
+        title = F.when(fresh, F.array(F.concat(F.lit("\n## "), F.element_at(titles, x["section"] + 1), F.lit("\n")))).otherwise(F.array().cast("array<string>"))
+        return F.struct(
+            F.when(stop, used).otherwise(used + x["n"] + 1).cast("int").alias("used"), x["section"].alias("section"), stop.alias("stopped"), (s["kept"] + F.when(stop, 0).otherwise(1)).alias("kept"),
+            F.when(stop, s["out"]).otherwise(F.concat(s["out"], title, F.array(x["entry"]))).alias("out"),
+        )
+
+    folded = listed.select("source", header.alias("header"), F.aggregate("entries", start, step).alias("f"))
+    return folded.select("source", F.col("f.kept").alias("entries"), F.concat("header", F.array_join("f.out", "\n"), F.lit("\n")).alias("context"))

@@ -88,7 +88,7 @@ def stage(staged: DataFrame, rows: DataFrame) -> DataFrame:
 def remember(note: DataFrame, canon: DataFrame, staged: DataFrame, auto_promote: bool = True) -> DataFrame:
     """One note, without a verdict, through the same flow -> (id, outcome, reason)."""
     nothing = F.lit(None).cast("string")
-    bare = note.withColumn("judge", nothing).withColumn("consolidation", nothing).withColumn("target_id", nothing).withColumn("neighbor_ids", nothing.cast("array<string>")).withColumn("ord", F.lit(0))
+    bare = note.withColumn("judge", nothing).withColumn("consolidation", nothing).withColumn("target_id", nothing).withColumn("neighbor_ids", F.lit(None).cast("array<string>")).withColumn("ord", F.lit(0))
     return capture(bare, canon, staged, auto_promote).select("id", "outcome", "reason", "duplicate_of")
 
 

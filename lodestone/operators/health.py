@@ -96,3 +96,59 @@ def resource_listing(notes: DataFrame, cap: int = 200) -> DataFrame:
     listed = newest.withColumn("place", F.row_number().over(Window.orderBy(F.desc("created"), F.desc("id"))))
     more = notes.agg((F.count("*") - cap).alias("more")).filter("more > 0").select(F.lit("…").alias("id"), F.lit("").alias("kind"), F.concat(F.col("more").cast("string"), F.lit(" more")).alias("title"), F.lit("").alias("created"), F.lit(cap + 1).alias("place"))
     return listed.unionByName(more)
+
+
+def brain_status(flagged: DataFrame, staged: DataFrame) -> DataFrame:
+    """(brain, score, total, pending) of every brain with notes; flagged rows have their brain."""
+    pending = staged.groupBy("brain").agg(F.count("*").alias("pending"))
+    return score(flagged, "brain").join(pending, "brain", "left").select("brain", "score", "total", F.coalesce("pending", F.lit(0)).alias("pending"))
+
+
+def signature(files: DataFrame, changed: Column) -> DataFrame:
+    """(n, newest): what tells whether an index is of these files."""
+    return files.agg(F.count("*").alias("n"), F.max(changed).alias("newest"))
+
+
+def index_freshness(files: DataFrame, changed: Column, built: DataFrame) -> DataFrame:
+    """(n, newest, fresh): an index is fresh if it was built over as many files and no file is newer; `built` is its stored signature, one row or none."""
+    now = signature(files, changed)
+    stored = built.agg(F.max("n").alias("stored_n"), F.max("newest").alias("stored_newest"))
+    # one row each
+    return now.join(F.broadcast(stored)).select("n", "newest", F.coalesce((F.col("n") == F.col("stored_n")) & F.col("newest").eqNullSafe(F.col("stored_newest")), F.lit(False)).alias("fresh"))
+
+
+def recovery_point(commits: DataFrame, now: Column, checks: DataFrame) -> DataFrame:
+    """(last, seconds, ok): the newest commit, how long ago it was, and whether all checks of the restored notes passed."""
+    last = commits.agg(F.max("ts").alias("last"))
+    return last.join(F.broadcast(overall(checks))).select("last", (F.unix_timestamp(now) - F.unix_timestamp("last")).alias("seconds"), (F.col("last").isNotNull() & F.col("ok")).alias("ok"))
+
+
+def overall(checks: DataFrame) -> DataFrame:
+    """One row: how many checks there are and whether none failed."""
+    return checks.agg(F.count("*").alias("checks"), F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ok"))
+
+
+def drift(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, change): derived files (path, text) that differ from what the notes give now; a file that is missing counts as empty."""
+    a = before.select("path", F.col("text").alias("old"))
+    b = after.select("path", F.col("text").alias("new"))
+    both = a.join(b, "path", "full").filter(F.coalesce("old", F.lit("")) != F.coalesce("new", F.lit("")))
+    return both.select("path", F.when(F.col("old").isNull(), "missing").when(F.col("new").isNull(), "left over").otherwise("changed").alias("change"))
+
+
+def parse_failures(parsed: DataFrame) -> DataFrame:
+    """(path, error) of files that look like notes and are none: a verification names them instead of passing them over."""
+    return parsed.filter("error IS NOT NULL").select("path", "error")
+
+
+def report(notes: DataFrame, has_secret: Column, parsed: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """`verify` with the files that don't parse and the derived files that drifted."""
+    one = lambda name, df: df.agg(F.count("*").alias("findings")).select(F.lit(name).alias("check_name"), "findings").withColumn("ok", F.col("findings") == 0)
+    return verify(notes, has_secret).unionByName(one("parse", parse_failures(parsed))).unionByName(one("derived", drift(before, after)))
+
+
+def map_listing(notes: DataFrame, cap: int = 200) -> DataFrame:
+    """(place, id, kind, title): the map, a row a kind with its count, the newest notes, and how many more there are."""
+    top = notes.sparkSession.createDataFrame([(-5, "map", "", "map of the brain")], "place int, id string, kind string, title string")
+    kinds = kind_counts(notes).select((F.col("kind_ord") - 4).alias("place"), F.concat(F.lit("kind:"), "kind").alias("id"), "kind", F.concat(F.col("n").cast("string"), F.lit(" note(s)")).alias("title"))
+    return top.unionByName(kinds).unionByName(resource_listing(notes, cap).select("place", "id", "kind", "title"))

@@ -127,6 +127,39 @@ def plain_snippet(body: Column, most: int = 240) -> Column:
     return F.when(F.length(line) > most, F.concat(F.substring(line, 1, most), F.lit("…"))).otherwise(line)
 
 
+def snippet(body: Column, query: str, window: int = 12) -> Column:
+    """`window` words around the first one that holds a query term: up to five before it, hits in brackets, … where words are left out.
+
+    A body without a hit shows its first words.
+    """
+    terms = F.array(*[F.lit(t) for t in query_terms(query)]).cast("array<string>")
+    hit = lambda w: F.arrays_overlap(F.split(F.lower(w), "[^a-z0-9]+"), terms)
+    words = F.filter(F.split(collapse(body), " "), lambda w: w != "")
+    first = F.array_position(F.transform(words, hit), True)
+    begin = F.greatest(F.lit(1), first - 5).cast("int")
+    shown = F.array_join(F.transform(F.slice(words, begin, window), lambda w: F.when(hit(w), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w)), " ")
+    return F.concat(F.when(begin > 1, "…").otherwise(""), shown, F.when(begin + window - 1 < F.size(words), "…").otherwise(""))
+
+
+def with_snippets(hits: DataFrame, notes: DataFrame, query: str) -> DataFrame:
+    """Hits, a top-k, with what surrounds their match."""
+    return hits.join(notes.select("id", snippet(F.col("body"), query).alias("excerpt")), "id")
+
+
+def retrieve(notes: DataFrame, vectors: DataFrame | None, query: str, query_vec: list[float] | None, limit: int = LIMIT, semantic_on: bool = True, min_support: int = 0) -> DataFrame:
+    """Fused retrieval where there are vectors, a query vector and the flag; else the lexical list alone, with the same columns."""
+    if semantic_on and vectors is not None and query_vec:
+        return hybrid(notes, vectors, query, query_vec, limit, min_support)
+    hits = search_lexical(notes, query, limit).withColumn("lexical_rank", F.row_number().over(Window.orderBy(*fresh_first())))
+    return hits.withColumn("semantic_rank", F.lit(None).cast("int")).withColumn("tier", F.lit("lexical")).select("id", "lexical_rank", "semantic_rank", "kind", "title", "path", "source", "status", "tag_text", "score", "tier").orderBy(*fresh_first())
+
+
+def query_context(notes: DataFrame, vectors: DataFrame | None, query: str, query_vec: list[float] | None, limit: int = 10) -> DataFrame:
+    """(rank, id, kind, title, body, tier, ranks, score): the notes themselves of a strict search, in order, for injection. A blank query has the default context's place."""
+    hits = retrieve(notes, vectors, query, query_vec, limit, min_support=1).withColumn("rank", F.row_number().over(Window.orderBy(*fresh_first())))
+    return hits.select("rank", "id", "tier", "lexical_rank", "semantic_rank", "score").join(notes.select("id", "kind", "title", "body", "path"), "id")
+
+
 def default_context(notes: DataFrame, limit: int = 10) -> DataFrame:
     """Active work by id, then decisions from the newest; superseded decisions stay, as the rule has it."""
     work = notes.filter("kind = 'work-state' AND status <> 'done'").select(F.lit(0).alias("section"), "id", "kind", "title", "created", F.lit("").alias("newest"))
@@ -135,6 +168,8 @@ def default_context(notes: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def who_is(notes: DataFrame, query: str) -> DataFrame:
+    """People whose name, title, id or a tag holds the query; all of them for a blank one."""
     q = query.strip().lower()
-    hit = F.contains(F.lower("title"), F.lit(q)) | F.contains(F.lower("id"), F.lit(q)) | F.exists("tags", lambda t: F.contains(F.lower(t), F.lit(q)))
+    name = F.col("name") if "name" in notes.columns else F.lit(None).cast("string")
+    hit = F.coalesce(F.contains(F.lower(name), F.lit(q)), F.lit(False)) | F.contains(F.lower("title"), F.lit(q)) | F.contains(F.lower("id"), F.lit(q)) | F.exists("tags", lambda t: F.contains(F.lower(t), F.lit(q)))
     return notes.filter(F.col("kind") == "person").filter(hit if q else F.lit(True))

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from lodestone.functions import scalars
 from lodestone.operators import capture, clusters, coverage, curation, health, index, routing, search, secrets, similarity, staging
 from lodestone.plans import settings as S
-from lodestone.plans.oracles import ORACLES  # noqa: F401
+from lodestone.plans.oracles import ORACLES
 from lodestone.session import shared_folder
 from lodestone.sources import files
 from lodestone.sources import knowledge as K
@@ -81,7 +81,7 @@ def _ranked(spark, d, limit):
 
 @query
 def ask_budget(spark, d):
-    excerpts = K.notes(spark, d).select("id", scalars.collapse(F.substring("body", 1, 200)).alias("excerpt"))
+    excerpts = K.notes(spark, d).select("id", search.snippet(F.col("body"), S.QUERY).alias("excerpt"))
     return search.ask(_ranked(spark, d, 20), excerpts, S.ASK_CHARS).select("rank", "id", "title", "excerpt", "used")
 
 
@@ -406,3 +406,9 @@ def staging_approve(spark, d):
     notes = K.notes(spark, d)
     promoted, left, _ = staging.approve(notes.filter("doc_id % 5 = 0"), notes.filter("doc_id % 10 = 0").select("id"))
     return promoted.select("id", F.lit("canon").alias("layer"), "path").unionByName(left.select("id", F.lit("staged").alias("layer"), "path"))
+
+
+# the queries of the other module register themselves
+from lodestone.plans import team_oracles, team_queries  # noqa: E402, F401
+
+ORACLES.update(team_oracles.ORACLES)

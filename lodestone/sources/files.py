@@ -12,10 +12,11 @@ from pyspark.sql.window import Window
 from lodestone.functions.scalars import BLANK
 from lodestone.sources.knowledge import KIND_FOLDERS, KINDS
 
-#: Folders that never hold notes.
+#: Folders that never hold notes; a knowledge base may name more.
 SKIPPED = (".git", "index", "staging", "node_modules")
 #: Statuses of each kind, the default first; None where a kind has none.
 STATUS = {"memory": ("active", "superseded", "stale"), "decision": ("proposed", "accepted", "superseded"), "work-state": ("planned", "in-progress", "blocked", "done")}
+#: Keys of front matter in the order they are written.
 SCALARS = ("id", "kind", "title", "created", "updated", "author", "author_ref", "source", "project", "status", "verified", "superseded_by", "owner", "name", "email", "org", "role")
 LISTS = ("tags", "relates", "sources", "supersedes", "deciders", "contradicts")
 DATE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
@@ -53,11 +54,11 @@ def texts(spark: SparkSession, folder: str, glob: str = "*.md") -> DataFrame:
     return files.select(relative.alias("path"), F.regexp_replace(F.decode("content", "UTF-8"), "\\r\\n?", "\n").alias("text"))
 
 
-def note_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Files whose parent is a kind's folder, but for listings and what lies in folders that hold no notes."""
+def note_texts(spark: SparkSession, folder: str, skipped: tuple[str, ...] = ()) -> DataFrame:
+    """Files whose parent is a kind's folder, but for listings and what lies in folders that hold no notes; `skipped` names more of those."""
     parts = F.split("path", "/")
     in_kind = F.element_at(parts, F.when(F.size(parts) > 1, -2).otherwise(1)).isin(*KIND_FOLDERS.values()) & (F.size(parts) > 1)
-    return texts(spark, folder).filter(in_kind & (F.element_at(parts, -1) != "INDEX.md") & ~F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda x: x.isin(*SKIPPED)))
+    return texts(spark, folder).filter(in_kind & (F.element_at(parts, -1) != "INDEX.md") & ~F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda x: x.isin(*SKIPPED, *skipped)))
 
 
 def parse_notes(files: DataFrame) -> DataFrame:
@@ -110,6 +111,47 @@ def read_alias_map(text: DataFrame) -> DataFrame:
     return fields.select("project", F.nullif(customer, F.lit("")).alias("customer"), F.coalesce(F.filter(sources, lambda s: s != ""), F.array().cast("array<string>")).alias("sources"))
 
 
+def rules_state(text: DataFrame) -> DataFrame:
+    """(path, text or null) -> (path, state): `missing`, `corrupt` if it is no JSON object, else `ok`."""
+    parsed = F.try_parse_json("text")
+    return text.select("path", F.when(F.col("text").isNull(), "missing").when(F.coalesce(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.lit(False)), "ok").otherwise("corrupt").alias("state"))
+
+
+def framed_commits(log: DataFrame) -> DataFrame:
+    """(text) of a log whose records end with 0x1e and whose fields are parted by 0x1f -> (ord, subject, body), in the log's order; records without a subject drop."""
+    records = log.select(F.posexplode(F.split("text", "\x1e")).alias("ord", "record")).withColumn("record", F.regexp_replace("record", "^[\r\n]+", ""))
+    fields = F.split("record", "\x1f")
+    return records.select("ord", _strip(F.get(fields, F.lit(0))).alias("subject"), _strip(F.coalesce(F.get(fields, F.lit(1)), F.lit(""))).alias("body")).filter("subject <> ''")
+
+
+#: Files in which a repository tells agents how to work, and a folder of them.
+CONFIG_FILES, CONFIG_FOLDER = ("CLAUDE.md", ".cursorrules", "AGENTS.md", ".github/copilot-instructions.md"), ".claude/rules"
+
+
+def config_candidates(files: DataFrame) -> DataFrame:
+    """(path, text) of a repository -> memory candidates of its agent-config files: the first heading is the title, else the file's name."""
+    name = F.element_at(F.split("path", "/"), -1)
+    in_folder = F.col("path").rlike("^" + CONFIG_FOLDER.replace(".", "\\.") + "/[^/]+\\.[mM][dD]$")
+    heading = _strip(F.regexp_extract("text", "(?m)^#[ \\t]+([^\\n]+)$", 1))
+    title = F.coalesce(F.nullif(heading, F.lit("")), F.concat(F.lit("Project config: "), name))
+    return files.filter(F.col("path").isin(*CONFIG_FILES) | in_folder).select("path", F.lit("memory").alias("kind"), title.alias("title"), F.substring(_strip(F.col("text")), 1, BODY_CHARS).alias("body"), F.array(F.lit("config"), F.lit("seed")).alias("tags"))
+
+
+def seed_candidates(**sources: DataFrame) -> DataFrame:
+    """All sources' candidates (kind, title, body, tags) with the name of their source."""
+    out = None
+    for name, df in sources.items():
+        own = df.select(F.lit(name).alias("seed"), "kind", "title", "body", "tags")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def seed_counts(candidates: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(seed, n) of each source, 0 where it gave nothing."""
+    table = candidates.sparkSession.createDataFrame([(n,) for n in names], "seed string")
+    return table.join(candidates.groupBy("seed").agg(F.count("*").alias("n")), "seed", "left").select("seed", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def read_rules(text: DataFrame) -> DataFrame:
     """(text: a JSON object with `rules`) -> usable rules in authored order. A rule without a matcher drops."""
     fields = ("repo", "org", "prefix", "brain", "remote", "origin", "sharedFrom")

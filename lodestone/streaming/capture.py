@@ -41,8 +41,13 @@ def throttle(events: DataFrame, gap: float = GAP) -> DataFrame:
     return rows.groupBy("session").applyInPandasWithState(_throttle(gap), "session string, ts timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def warn_once(warnings: DataFrame, keep: str = "1 day") -> DataFrame:
-    """(session, decision, ts) -> the first of each session and decision; state of keys older than `keep` is dropped."""
+def warn_once(warnings: DataFrame, keep: str | None = None) -> DataFrame:
+    """(session, decision, ts) -> the first of each session and decision.
+
+    State is one row a pair. With `keep`, pairs older than that are forgotten, and so may be warned of again.
+    """
+    if keep is None:
+        return warnings.dropDuplicates(["session", "decision"])
     return warnings.withWatermark("ts", keep).dropDuplicatesWithinWatermark(["session", "decision"])
 
 
