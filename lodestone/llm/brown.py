@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,9 +41,23 @@ ALPHA, BETA = 2.0, 0.5
 #: Distinct words, and neighbours of words, that a task counts before it sends them on.
 FLUSH, FLUSH_CONTEXTS = 400_000, 8_000_000
 
-#: What a worker remembers of the codes of words, and of which numbers.
-_codes: dict[bytes, int] = {}
-_codes_of: tuple[int, int] = (0, 0)
+class _Codes(dict):
+    """Codes of words. A word that isn't there gets a provisional one below PENDING, until all new words of a batch are looked up at once."""
+
+    def __init__(self, of: tuple[int, int] = (0, 0)) -> None:
+        super().__init__()
+        self.of, self.new = of, []
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = PENDING - len(self.new)
+        self.new.append(word)
+        return code
+
+
+#: Codes of endings are above this.
+PENDING = -1000
+#: What this worker remembers, and of which numbers.
+_codes = _Codes()
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -95,29 +110,39 @@ class Numbers:
 
     def codes(self, ws: list[bytes]) -> np.ndarray:
         """The number of each word, or -1 less its ending's. A word is looked up once while the worker remembers it, in whatever task."""
-        global _codes, _codes_of
+        global _codes
         of = (len(self.sorted), int(self.sorted.sum()))
-        if of != _codes_of or len(_codes) > MEMO:
-            _codes, _codes_of = {}, of
-        new = list(set(ws).difference(_codes))
+        if of != _codes.of or len(_codes) > MEMO:
+            _codes = _Codes(of)
+        codes = np.fromiter(map(_codes.__getitem__, ws), np.int32, len(ws))
+        new = _codes.new
         if new:
-            _codes.update((w, i if i >= 0 else -1 - ending(w)) for w, i in zip(new, self.of(new).tolist(), strict=True))
-        return np.fromiter(map(_codes.__getitem__, ws), np.int32, len(ws))
+            found = np.array([i if i >= 0 else -1 - ending(w) for w, i in zip(new, self.of(new).tolist(), strict=True)], np.int32)
+            _codes.update(zip(new, found.tolist(), strict=True))
+            _codes.new = []
+            late = codes <= PENDING
+            codes[late] = found[PENDING - codes[late]]
+        return codes
 
 
 def _encode(numbers: Numbers):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = task_number() << 33, 0
         for batch in batches:
-            ids, tails, counts, sizes = [], [], [], []
-            for text in batch.column(2).to_pylist():
-                ws = words(text)
-                codes = numbers.codes(ws)
-                c = Counter([ws[i] for i in np.flatnonzero(codes < 0).tolist()])
-                sizes.append(len(ws) + 1)
-                ids.append(codes.tobytes())
+            texts = [words(t) for t in batch.column(2).to_pylist()]
+            sizes = [len(ws) for ws in texts]
+            of_all = numbers.codes(list(chain.from_iterable(texts)))
+            cuts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+            rest = np.flatnonzero(of_all < 0)
+            rest_cuts = np.searchsorted(rest, cuts).tolist()
+            ids, tails, counts = [], [], []
+            for i, ws in enumerate(texts):
+                begin = cuts[i]
+                ids.append(of_all[begin : cuts[i + 1]].tobytes())
+                c = Counter([ws[j - begin] for j in rest[rest_cuts[i] : rest_cuts[i + 1]].tolist()])
                 tails.append(list(c))
                 counts.append(list(c.values()))
+            sizes = [n + 1 for n in sizes]
             n = len(ids)
             yield pa.record_batch(
                 [pa.array(range(part + at, part + at + n), pa.int64()), batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(tails, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32()))],
@@ -259,12 +284,18 @@ def best_classes(m: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.nda
         """What a word's bigrams with other classes add, by class it might go to; the table without the word."""
         w, c = np.nonzero(others)
         cells = table[c, :k].astype(np.float64)
+        before = _plogp(table[:, :k].astype(np.float64))[c]
+        # only the own class's cells are other than the table's
         to_own = c == own[w]
         cells[to_own] -= back[w[to_own], :k]
         e = np.arange(len(w))
         cells[e, own[w]] -= whole[w, c]
         cells[e[to_own], own[w[to_own]]] += twice[w[to_own]]
-        each = _plogp(cells + others[w, c][:, None]) - _plogp(cells)
+        before[to_own] = _plogp(cells[to_own])
+        before[e, own[w]] = _plogp(cells[e, own[w]])
+        cells += others[w, c][:, None]
+        each = _plogp(cells)
+        each -= before
         out = np.zeros((n, k))
         some = np.flatnonzero(np.bincount(w, minlength=n))
         if len(some):
