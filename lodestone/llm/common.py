@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from lodestone.session import ship_package, stash  # noqa: F401
@@ -41,7 +42,7 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     bound_batches(df.sparkSession)
     ship_package(df.sparkSession)
     return df.mapInArrow(f, schema)
@@ -52,6 +53,11 @@ def task_number() -> int:
     return TaskContext.get().partitionId()
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in docs.columns])
+
+
 def as_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 

@@ -14,8 +14,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 
-from lodestone.llm.common import held_out_of, map_arrow, stash, utf8
+from lodestone.llm.common import held_out_of, map_arrow, stash, utf8, whole_row
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
@@ -131,8 +132,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
     """The columns `keep` and lang_pred, score, mixture, from the text alone."""
     langs, logs = model
     rows = docs.select(*keep, utf8(F.col("text")).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return map_arrow(rows, _predict(langs, logs.astype(np.float32), len(keep) + 1), f"{kinds}, lang_pred string, score double, mixture map<string, double>")
+    found = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("mixture", MapType(StringType(), DoubleType()))]
+    return map_arrow(rows, _predict(langs, logs.astype(np.float32), len(keep) + 1), StructType([*rows.schema.fields[:-1], *found]))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -140,6 +141,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Learns from documents whose crc32(doc_id as text) modulo 3 isn't 1 (a null doc_id counts as empty text) and whose lang
     isn't null. Texts that are null or without a letter are 'und' with score 0, as is everything if nothing was learned.
+    Equal texts get equal results, texts of any length are read whole, an empty table gives no rows.
     """
     held = held_out_of(3, 1)
     model = train(docs, ~held)
@@ -147,9 +149,13 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def with_language(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """`docs` whose language is known with a score of at least `least`."""
+    """`docs` whose language is known with a score of at least `least`.
+
+    Null texts and texts without a letter go, repeated rows are judged alike, texts of any length are read whole, an empty
+    table stays empty, and other columns stay whatever their names.
+    """
     model = train(docs, ~held_out_of(3, 1))
-    tagged = predict(docs.withColumn("_keep", F.struct(*docs.columns)), model, ["_keep"])
+    tagged = predict(docs.withColumn("_keep", whole_row(docs)), model, ["_keep"])
     return tagged.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_keep.*")
 
 

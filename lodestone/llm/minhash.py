@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import map_arrow, stash, task_number, utf8
+from lodestone.llm.common import map_arrow, stash, task_number, utf8, whole_row
 from lodestone.plans.components import connected_components
 
 #: A set's bins, and bins in a band. A pair of Jaccard 0.8 shares none of 42 bands once in 350,000 times.
@@ -31,6 +31,8 @@ SHINGLE_WORDS, PERCENT = 2, 80
 MEMO = 300_000
 #: Nodes whose sets are fetched by a broadcast of their ids; of more, by a shuffle.
 BROADCAST_NODES = 500_000
+#: A component with more than one in so many of all nodes is named by a broadcast.
+LARGE = 1000
 #: Nodes and shingles in a block of a group, and columns of a block's matrix that are multiplied at once.
 BLOCK_NODES, BLOCK_SHINGLES, COLUMNS = 800, 400_000, 2048
 
@@ -229,21 +231,30 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
         found = stash(connected_components(links.unionByName(more)), "minhash-components")
 
     of_node = nodes.select("set_key", "node", "first_doc").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = of_node.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    of_node = of_node.join(first, "component").select("set_key", "node", "component", "component_id")
+    of_node = stash(of_node, "minhash-placed")
+    first = stash(of_node.groupBy("component").agg(F.min("first_doc").alias("component_id"), F.count("*").alias("m")), "minhash-first")
+    # components of many nodes, fewer than LARGE by what makes them large, don't become keys of a shuffle
+    large = first.filter(F.col("m") > (first.agg(F.sum("m")).first()[0] or 0) / LARGE).select("component", F.struct("component_id").alias("of_large"))
+    told = of_node.join(F.broadcast(large), "component", "left")
+    small = told.filter("of_large IS NULL").drop("of_large").join(first.drop("m"), "component")
+    of_node = small.unionByName(told.filter("of_large IS NOT NULL").withColumn("component_id", F.col("of_large.component_id")).drop("of_large")).select("set_key", "node", "component", "component_id")
     full = rows.filter("n_shingles > 0").join(of_node, "set_key").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "component")
     empty = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.col("row").alias("component"))
     return full.unionByName(empty)
 
 
 def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
-    """`docs` without the other members of each group; of equal rows one stays, and every document without words."""
+    """`docs` without the other members of each group; of equal rows one stays, and every document without words.
+
+    A null or blank text is in no group and stays, texts of any length are compared whole, an empty table stays empty, and
+    other columns stay whatever their names.
+    """
     groups = near_duplicates(docs, **options).filter("kept")
     keep = groups.groupBy(F.col("doc_id").alias("of_doc"), (F.col("n_shingles") > 0).alias("of_words")).agg(F.count("*").alias("n"), F.countDistinct("component").alias("groups"))
     keep = stash(keep, "minhash-keep")
     n, repeats = keep.agg(F.count("*"), F.coalesce(F.max(F.when(F.col("of_words"), F.col("n") - F.col("groups"))), F.lit(0))).first()
     has_words = F.length(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", "")) > 0
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("its_doc"), has_words.alias("its_words"))
+    rows = docs.select(whole_row(docs).alias("doc"), F.col("doc_id").alias("its_doc"), has_words.alias("its_words"))
     ids = keep.select("of_doc", "of_words")
     out = rows.join(F.broadcast(ids) if n <= BROADCAST_NODES else ids, F.col("its_doc").eqNullSafe(F.col("of_doc")) & (F.col("its_words") == F.col("of_words")))
     if repeats:

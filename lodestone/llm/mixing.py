@@ -6,11 +6,11 @@ the source's target. The mix is what finishes first, up to a total budget of tok
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import stash
+from lodestone.llm.common import stash, whole_row
 
 #: A source is read at most so many times.
 MOST_PASSES = 3
@@ -18,6 +18,8 @@ MOST_PASSES = 3
 WEIGHTS = (1, 2, 3)
 #: Rows that one running sum is made over, on average.
 RUN_ROWS = 10_000
+#: Ranges that the queue is cut into at once, at most.
+MOST_PARTS = 4096
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -66,8 +68,33 @@ def _running(df: DataFrame, groups: list[str], run: Column, order: list[Column],
     return rows.join(bases, on).withColumn("_before", F.col("_base") + F.col("_in_run")).drop("_base", "_in_run", "_b_run", "_run", *[f"_b_{g}" for g in groups])
 
 
+def _cut(queue: DataFrame, order: list[str], n: int, budget: int) -> Row | None:
+    """The first row in global order at which the running sum of sizes is above the budget; null if there is none.
+
+    The queue is put in global order in ranges, a bounded number of them; the budget ends within one range, which is cut
+    into ranges again until it is as short as a run, and only that one is summed row by row.
+    """
+    while True:
+        parts = min(MOST_PARTS, 1 + n // RUN_ROWS)
+        queue = stash(queue.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "mix-queue")
+        # a row a range
+        reached = F.sum("of_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+        totals = queue.groupBy("part").agg(F.sum("size").alias("of_part"), F.count("*").alias("rows")).withColumn("reached", reached)
+        over = totals.filter(F.col("reached") > budget).orderBy("part").first()
+        if over is None:
+            return None
+        queue = queue.filter(F.col("part") == over["part"]).drop("part")
+        budget -= over["reached"] - over["of_part"]
+        # rows of one finish time and shuffle are not parted by ranges
+        if over["rows"] <= 4 * RUN_ROWS or over["rows"] == n:
+            break
+        n = over["rows"]
+    total = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return queue.select(*order, total.alias("total")).filter(F.col("total") > budget).orderBy(*order).first()
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MOST_PASSES, seed: str = "mix") -> DataFrame:
-    """doc_id, size, source_size, target, taken, passes_taken and text_key of every document.
+    """doc_id, size, source_size, target, taken, passes_taken, text_key and its_source of every document.
 
     Documents of a source are shuffled by md5 of seed, doc_id and the text's md5; pass n of a document finishes n
     source sizes later. All passes are put in order of finish time and cut where the total of all sizes is reached.
@@ -83,7 +110,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MOST_
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     # one row a source, and one action: how many rows there are decides how many runs the sums are cut into
     most, n = by_source.agg(F.max("n"), F.sum("n")).first()
-    runs, parts = 1 + (most or 0) // RUN_ROWS, 1 + passes * (n or 0) // RUN_ROWS
+    runs = 1 + (most or 0) // RUN_ROWS
     targets = stash(source_targets(weights_by_name(by_source.drop("n"), weights), passes), "mix-targets")
 
     spot = F.conv(F.substring("shuffle", 1, 8), 16, 10).cast("long")
@@ -94,34 +121,39 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MOST_
     budget = targets.agg(F.sum("source_size")).first()[0] or 0
     finish = (F.col("nth") * F.col("source_size") + F.col("_before") + F.col("size")) / F.col("target")
     queue = placed.filter("target > 0").withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).select("doc_id", "shuffle", "size", "nth", finish.alias("finish"))
-    order = ["finish", "shuffle", "doc_id", "nth"]
-    queue = stash(queue.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "mix-queue")
-    # a row a range; the budget ends within one of them, and only that one is summed row by row
-    reached = F.sum("of_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
-    totals = queue.groupBy("part").agg(F.sum("size").alias("of_part")).withColumn("reached", reached)
-    first_over = totals.filter(F.col("reached") > budget).orderBy("part").first()
-    if first_over is None:
+    cut = _cut(queue, ["finish", "shuffle", "doc_id", "nth"], passes * (n or 0), budget)
+    if cut is None:
         taken = F.when(F.col("target") > 0, F.lit(passes)).otherwise(0)
     else:
-        before = first_over["reached"] - first_over["of_part"]
-        total = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) + before
-        cut = queue.filter(F.col("part") == first_over["part"]).select(*order, total.alias("total")).filter(F.col("total") > budget).orderBy(*order).first()
         taken = F.lit(0)
         for nth in range(passes):
             f = (nth * F.col("source_size") + F.col("_before") + F.col("size")) / F.col("target")
             taken = taken + F.when((F.col("target") > 0) & ((f < cut["finish"]) | ((f == cut["finish"]) & (F.col("shuffle") < cut["shuffle"]))), 1).otherwise(0)
-    with_words = placed.select("doc_id", "text_key", "size", "source_size", "target", (taken * F.col("size")).cast("long").alias("taken"), taken.cast("int").alias("passes_taken"))
+    with_words = placed.select("doc_id", "text_key", F.col("source").alias("its_source"), "size", "source_size", "target", (taken * F.col("size")).cast("long").alias("taken"), taken.cast("int").alias("passes_taken"))
     without = (
         sized.filter("size = 0").join(t, F.col("source").eqNullSafe(F.col("_s")))
-        .select("doc_id", "text_key", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).alias("passes_taken"))
+        .select("doc_id", "text_key", F.col("source").alias("its_source"), "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).alias("passes_taken"))
     )
     return with_words.unionByName(without)
 
 
 def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
-    """The mix itself: rows of `docs`, each as often as it was taken. Rows that agree in doc_id and text are taken alike."""
-    plan = mix(docs, **options).filter("passes_taken > 0").groupBy(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text")).agg(F.max("passes_taken").alias("times"))
+    """The mix itself: rows of `docs`, each as often as it was taken.
+
+    Rows that agree in doc_id, text and source are told apart by nothing that the mix reads; they share out what was taken
+    of them, so that the mix holds no more than the plan. Null texts and texts without words are never taken, an empty
+    table gives an empty mix, texts of any length are taken whole, and other columns stay whatever their names.
+    """
+    plan = mix(docs, **options).select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text"), F.col("its_source").alias("of_source"), F.col("passes_taken").alias("times"))
+    plan = stash(plan, "mix-plan")
+    same = ["of_doc", "of_text", "of_source"]
+    repeats = bool(plan.groupBy(*same).count().filter("count > 1").take(1))
     key = F.md5(F.encode(F.coalesce(F.col("text"), F.lit("\x00")), "UTF-8"))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("its_doc"), key.alias("its_text"))
-    taken = rows.join(plan, F.col("its_doc").eqNullSafe(F.col("of_doc")) & (F.col("its_text") == F.col("of_text")))
+    rows = docs.select(whole_row(docs).alias("doc"), F.col("doc_id").alias("its_doc"), key.alias("its_text"), F.col("source").cast("string").alias("its_source"))
+    on = F.col("its_doc").eqNullSafe(F.col("of_doc")) & (F.col("its_text") == F.col("of_text")) & F.col("its_source").eqNullSafe(F.col("of_source"))
+    if repeats:
+        rows = rows.withColumn("nth_row", F.row_number().over(Window.partitionBy("its_doc", "its_text", "its_source").orderBy(F.lit(0))))
+        plan = plan.withColumn("nth_plan", F.row_number().over(Window.partitionBy(*same).orderBy(F.desc("times"))))
+        on = on & (F.col("nth_row") == F.col("nth_plan"))
+    taken = rows.join(plan.filter("times > 0"), on)
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")

@@ -24,6 +24,8 @@ ROW_BYTES = 16
 #: Groups in a bin, on average, and partial partitions that one task joins at the next level.
 BIN_GROUPS = 5_000
 FAN_IN = 256
+#: A unit with more than one in so many of all rows is placed by a broadcast.
+HEAVY = 1000
 #: Rows of a run within a shard, on average.
 RUN_ROWS = 20_000
 
@@ -124,10 +126,14 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     # fewer than `shards` groups are larger than an average shard
     piece = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).otherwise(F.lit(0))
     rows = rows.join(F.broadcast(large), "group", "left").withColumn("unit", F.concat_ws(":", "group", piece.cast("string"))).drop("pieces", "group")
-    units = rows.groupBy("unit").agg(F.sum("size").alias("bytes"))
-    shard_of = assign_groups(units, shards)
-    # a piece of a large group holds many rows; the join's key is salted by nothing, as pieces are at most a quarter shard
-    placed = rows.join(shard_of, "unit").drop("unit")
+    units = stash(rows.groupBy("unit").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "shards-units")
+    shard_of = stash(assign_groups(units.select("unit", "bytes"), shards), "shards-of-units")
+    # units of many rows, as empty texts are: fewer than HEAVY by what makes them heavy. They don't become keys of a shuffle
+    n_rows = units.agg(F.sum("rows")).first()[0] or 0
+    heavy = units.filter(F.col("rows") > n_rows / HEAVY).join(shard_of, "unit").select("unit", F.col("shard").alias("of_heavy"))
+    told = rows.join(F.broadcast(heavy), "unit", "left")
+    light = told.filter("of_heavy IS NULL").drop("of_heavy").join(shard_of, "unit").drop("unit")
+    placed = light.unionByName(told.filter("of_heavy IS NOT NULL").withColumnRenamed("of_heavy", "shard").drop("unit"))
     n = placed.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
     runs = 1 + n // RUN_ROWS
     placed = stash(placed.withColumn("run", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(runs))), "shards-placed")
