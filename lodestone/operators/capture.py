@@ -55,12 +55,8 @@ def reconcile(staged: DataFrame, canon: DataFrame) -> DataFrame:
     return staged.join(there, "id", "left").withColumn("state", F.when(F.col("_there"), "cleared").otherwise("kept")).drop("_there")
 
 
-def insert_new(target: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
-    """Create only: rows whose key the target doesn't have."""
-    return target.unionByName(rows.join(target.select(key), key, "left_anti").select(*target.columns))
-
-
 def upsert(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Overwrite in place: rows of known keys take the place of what was there, others join."""
     return target.join(rows.select(key), key, "left_anti").select(*target.columns).unionByName(rows.select(*target.columns))
 
 
@@ -72,11 +68,6 @@ def supersede(notes: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(hit, "superseded").otherwise(F.col("status"))).withColumn("superseded_by", F.when(hit, F.col("_s")).otherwise(F.col("superseded_by"))).drop("_d", "_s")
 
 
-def approve(staged: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(promoted, left)."""
-    return staged.join(ids, "id", "left_semi"), staged.join(ids, "id", "left_anti")
-
-
 def router(notes: DataFrame, most: int = 50) -> DataFrame:
     """One markdown text a source: live decisions from the newest and active work by id, `most` lines a section."""
     live = notes.filter(~is_superseded()).filter((F.col("kind") == "decision") | ((F.col("kind") == "work-state") & (F.col("status") != "done")))

@@ -144,7 +144,3 @@ def suppress(candidates: DataFrame, tombstones: DataFrame, include_rejected: boo
     if include_rejected:
         return candidates, candidates.filter("false").agg(F.count("*").alias("suppressed"))
     return candidates.join(tombstones, "cluster_key", "left_anti"), candidates.join(tombstones, "cluster_key", "left_semi").agg(F.count("*").alias("suppressed"))
-
-
-def similarity_of(a: Column, b: Column) -> Column:
-    return jaccard(token_set(a), token_set(b))

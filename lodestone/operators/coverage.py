@@ -56,9 +56,9 @@ def failure_streak(log: DataFrame) -> DataFrame:
     """How many entries at the log's end share the newest one's outcome and reason; 0 unless that is a failure."""
     same = F.struct("outcome", F.coalesce("reason", F.lit("")).alias("reason"))
     newest = log.groupBy("brain").agg(F.max_by(same, "log_ord").alias("newest"))
-    rows = log.select("brain", "log_ord", same.alias("own")).join(F.broadcast(newest), "brain")
+    rows = log.select("brain", "log_ord", same.alias("own")).join(newest, "brain")
     other = rows.groupBy("brain").agg(F.max(F.when(F.col("own") != F.col("newest"), F.col("log_ord"))).alias("last_other"))
-    tail = rows.join(F.broadcast(other), "brain").filter(F.col("last_other").isNull() | (F.col("log_ord") > F.col("last_other")))
+    tail = rows.join(other, "brain").filter(F.col("last_other").isNull() | (F.col("log_ord") > F.col("last_other")))
     n = tail.groupBy("brain", "newest").agg(F.count("*").alias("n"))
     failure = F.col("newest.outcome").isin("extraction-failed", "curate-failed")
     return n.select("brain", "newest.outcome", "newest.reason", F.when(failure, F.col("n")).otherwise(0).alias("streak"))
@@ -70,10 +70,14 @@ def severity(streaks: DataFrame) -> DataFrame:
 
 
 def rolling_cap(log: DataFrame, size: Column, entries: int = LOG_ENTRIES, most_bytes: int = LOG_BYTES) -> DataFrame:
-    """The newest entries of each brain's log, as many as both caps allow and one at least."""
+    """The newest entries of each brain's log, as many as both caps allow and one at least.
+
+    The newest `entries` are taken by rank, which Spark limits before it shuffles; bytes are summed over those alone.
+    """
     newest = Window.partitionBy("brain").orderBy(F.desc("log_ord"))
-    rows = log.withColumn("place", F.row_number().over(newest)).withColumn("used", F.sum(size).over(newest.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.filter((F.col("place") == 1) | ((F.col("place") <= entries) & (F.col("used") <= most_bytes)))
+    rows = log.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= entries)
+    rows = rows.withColumn("used", F.sum(size).over(newest.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.filter((F.col("place") == 1) | (F.col("used") <= most_bytes))
 
 
 def gate_failed(windows_: DataFrame, threshold: float) -> DataFrame:

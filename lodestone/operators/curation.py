@@ -18,17 +18,20 @@ def thin() -> Column:
     return (trim("title") == "") | (F.length(trim("body")) < MIN_BODY)
 
 
-def gate_reason(auto_adr: bool = False) -> Column:
-    """Why a candidate is rejected before any comparison, or null: secret, then decisions if they aren't opted in, then thin content."""
-    text = F.concat_ws("\n", "title", "body", F.array_join("tags", "\n"), "author", "source")
+def gate_reason(auto_adr: bool = False, fields: tuple[str, ...] = ()) -> Column:
+    """Why a candidate is rejected before any comparison, or null: secret, then decisions if they aren't opted in, then thin content.
+
+    `fields` names further columns that a note carries, which are screened for secrets as well.
+    """
+    text = F.concat_ws("\n", "title", "body", F.array_join("tags", "\n"), "author", "source", *([F.to_json(F.struct(*fields))] if fields else []))
     reason = F.when(has_secret(text), "contains-secret")
     if not auto_adr:
         reason = reason.when(F.col("kind") == "decision", "auto-adr-disabled")
     return reason.when(thin(), "thin-content")
 
 
-def gate(candidates: DataFrame, auto_adr: bool = False) -> DataFrame:
-    return candidates.withColumn("reason", gate_reason(auto_adr))
+def gate(candidates: DataFrame, auto_adr: bool = False, fields: tuple[str, ...] = ()) -> DataFrame:
+    return candidates.withColumn("reason", gate_reason(auto_adr, fields))
 
 
 def greedy_dedup(candidates: DataFrame, threshold: float = DUPLICATE) -> DataFrame:

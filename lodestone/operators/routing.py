@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestone.functions.scalars import is_under
 
@@ -70,25 +69,35 @@ def project_of_source(alias_map: DataFrame) -> DataFrame:
 
 def resolve_project(notes: DataFrame, alias_map: DataFrame) -> DataFrame:
     """Declared project, else the alias map's, else the source, else null."""
-    aliased = F.broadcast(project_of_source(alias_map).select(F.col("source").alias("_s"), F.col("project").alias("_p")))
+    aliased = project_of_source(alias_map).select(F.col("source").alias("_s"), F.col("project").alias("_p"))
     return notes.join(aliased, F.col("source") == F.col("_s"), "left").withColumn("resolved", F.coalesce(F.nullif(F.trim("project"), F.lit("")), "_p", F.nullif("source", F.lit("")))).drop("_s", "_p")
 
 
 def adopt(notes: DataFrame, alias_map: DataFrame, project: str) -> DataFrame:
     """Notes of the project's sources: adopted where no other project is declared, else in conflict."""
-    own = F.broadcast(alias_map.filter(F.col("project") == project).select(F.explode("sources").alias("source")))
+    own = alias_map.filter(F.col("project") == project).select(F.explode("sources").alias("source"))
     mine = notes.join(own, "source", "left_semi")
     declared = F.nullif(F.trim("project"), F.lit(""))
     state = F.when(declared.isNull(), "adopted").when(declared == project, "already").otherwise("conflict")
     return mine.withColumn("state", state).withColumn("new_project", F.when(state == "conflict", F.col("project")).otherwise(F.lit(project))).withColumn("new_tags", F.when(state == "adopted", F.array_union("tags", F.array(F.lit(f"project:{project}")))).otherwise(F.col("tags")))
 
 
+def retire(adopted: DataFrame, alias_map: DataFrame, project: str) -> DataFrame:
+    """The alias map after an adoption: sources of the project without a conflict need no entry any more, and a project without sources goes."""
+    stuck = adopted.filter("state = 'conflict'").select("source").distinct()
+    rows = alias_map.select("project", F.explode("sources").alias("source"))
+    kept = rows.filter(F.col("project") != project).unionByName(rows.filter(F.col("project") == project).join(stuck, "source", "left_semi").select("project", "source"))
+    return kept.groupBy("project").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+
+
+def adopt_counts(notes: DataFrame, staged: DataFrame, alias_map: DataFrame, project: str) -> DataFrame:
+    """`adopt_report` with what waits of each source."""
+    waiting = staged.groupBy("source").agg(F.count("*").alias("staged"))
+    return adopt_report(adopt(notes, alias_map, project), alias_map, project).join(waiting, "source", "left").withColumn("staged", F.coalesce("staged", F.lit(0)))
+
+
 def adopt_report(adopted: DataFrame, alias_map: DataFrame, project: str) -> DataFrame:
     sources = alias_map.filter(F.col("project") == project).select(F.explode("sources").alias("source"))
     n = lambda s: F.count(F.when(F.col("state") == s, 1))
     counts = adopted.groupBy("source").agg(n("adopted").alias("adopted"), n("conflict").alias("conflict"))
     return sources.join(counts, "source", "left").select("source", F.coalesce("adopted", F.lit(0)).alias("adopted"), F.coalesce("conflict", F.lit(0)).alias("conflict"))
-
-
-def first_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("_n = 1").drop("_n")

@@ -142,8 +142,10 @@ def snippet(body: Column, query: str, window: int = 12) -> Column:
 
 
 def with_snippets(hits: DataFrame, notes: DataFrame, query: str) -> DataFrame:
-    """Hits, a top-k, with what surrounds their match."""
-    return hits.join(notes.select("id", snippet(F.col("body"), query).alias("excerpt")), "id")
+    """Hits, a top-k, with what surrounds their match; of a hit by meaning alone, how the note begins."""
+    rows = hits.join(notes.select("id", snippet(F.col("body"), query).alias("_around"), plain_snippet(F.col("body")).alias("_begin")), "id")
+    around = F.when(F.col("lexical_rank").isNull(), F.col("_begin")).otherwise(F.col("_around")) if "lexical_rank" in hits.columns else F.col("_around")
+    return rows.withColumn("excerpt", around).drop("_around", "_begin")
 
 
 def retrieve(notes: DataFrame, vectors: DataFrame | None, query: str, query_vec: list[float] | None, limit: int = LIMIT, semantic_on: bool = True, min_support: int = 0) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.operators.search import cosine
+from lodestone.plans.components import connected_components
 from lodestone.session import stash
 
 DUPLICATE, NEIGHBOURS = 0.8, 2
+#: Rounds of the ordered batch before its components are looked at, and edges of a component that one task decides.
+ROUNDS, COMPONENT_EDGES = 5, 200_000
 #: Rows of each side in one unit of an exact vector search.
 BLOCK_CANDIDATES, BLOCK_CANON = 256, 2048
 
@@ -107,24 +111,55 @@ def neighbours_by_vector(candidates: DataFrame, canon: DataFrame, k: int = NEIGH
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("candidate", "rank", "neighbour", "score")
 
 
-def greedy_batch(batch: DataFrame, pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _in_order(group: pd.DataFrame) -> pd.DataFrame:
+    """The batch over one component's edges, row by row."""
+    order = pd.concat([group[["early", "early_ord"]].set_axis(["id", "ord"], axis=1), group[["late", "late_ord"]].set_axis(["id", "ord"], axis=1)]).drop_duplicates().sort_values(["ord", "id"], kind="stable")["id"]
+    before = group.groupby("late")["early"].agg(list).to_dict()
+    accepted: dict[object, bool] = {}
+    for i in order:
+        accepted[i] = not any(accepted[e] for e in before.get(i, ()))
+    return pd.DataFrame({"id": list(accepted), "accepted": list(accepted.values())})
+
+
+def greedy_batch(batch: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, ord) and similar pairs (a, b) -> (id, accepted): rows in order, each accepted unless an accepted earlier one is similar.
 
-    Each round accepts undecided rows none of whose earlier neighbours can still be accepted and rejects those with an accepted
-    one; rows without an earlier neighbour are accepted at once.
+    Rounds hold the edges between undecided rows alone. A round accepts rows without an earlier neighbour and rejects those
+    with an accepted one, so that dense groups settle in a few rounds. Long chains would take a round for every other row:
+    after each ROUNDS the components of what is left are found, and those of COMPONENT_EDGES at most are decided row by row
+    in a task each. Larger ones go on in rounds, however many it takes.
     """
     ids = batch.select("id", "ord")
-    o = lambda c: ids.select(F.col("id").alias(c), F.col("ord").alias(f"{c}_ord"))
+    o = lambda c: ids.select(F.col("id").alias(c), F.struct("ord", F.col("id").alias("tie")).alias(f"{c}_ord"))
     edges = pairs.select("a", "b").join(o("a"), "a").join(o("b"), "b")
     first = F.col("a_ord") < F.col("b_ord")
-    edges = stash(edges.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late")), "greedy-edges")
-    state = stash(ids.select("id", F.lit(None).cast("boolean").alias("accepted")), "greedy-state")
-    for _ in range(max_rounds):
-        of_early = edges.join(state.select(F.col("id").alias("early"), F.col("accepted").alias("e")), "early")
-        seen = of_early.groupBy("late").agg(F.coalesce(F.max(F.col("e").cast("int")), F.lit(0)).alias("hit"), F.max(F.col("e").isNull().cast("int")).alias("open"))
-        nxt = state.join(seen, F.col("id") == F.col("late"), "left")
-        decided = F.when(F.col("accepted").isNotNull(), F.col("accepted")).when(F.coalesce("hit", F.lit(0)) == 1, False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = stash(nxt.select("id", decided.alias("accepted")), "greedy-state")
-        if not state.filter("accepted IS NULL").take(1):
-            return state
-    raise RuntimeError(f"the batch did not settle in {max_rounds} rounds")
+    pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
+    edges = stash(edges.select(pick("a", "b", "early"), pick("b", "a", "late"), pick("a_ord", "b_ord", "early_o"), pick("b_ord", "a_ord", "late_o")).select("early", "late", F.col("early_o.ord").alias("early_ord"), F.col("late_o.ord").alias("late_ord")), "greedy-edges")
+    nodes = lambda e: e.select(F.col("early").alias("id")).union(e.select(F.col("late").alias("id"))).distinct()
+    yes, no = F.lit(True).alias("accepted"), F.lit(False).alias("accepted")
+    decided = [ids.select("id").join(nodes(edges), "id", "left_anti").select("id", yes)]
+    kind, order = ids.schema["id"].dataType.simpleString(), ids.schema["ord"].dataType
+    n = 0
+    while edges.take(1):
+        n += 1
+        if n % ROUNDS == 0:
+            component = connected_components(edges.select(F.col("early").alias("a"), F.col("late").alias("b")))
+            placed = stash(edges.join(component.select(F.col("node").alias("early"), "component"), "early"), "greedy-placed")
+            small = placed.groupBy("component").count().filter(F.col("count") <= COMPONENT_EDGES).select("component")
+            settled = stash(placed.join(small, "component", "left_semi").groupBy("component").applyInPandas(_in_order, f"id {kind}, accepted boolean"), "greedy-settled")
+            decided.append(settled)
+            edges = stash(placed.join(small, "component", "left_anti").select("early", "late", F.col("early_ord").cast(order).alias("early_ord"), F.col("late_ord").cast(order).alias("late_ord")), "greedy-edges")
+            continue
+        roots = edges.select(F.col("early").alias("id")).distinct().join(edges.select(F.col("late").alias("id")), "id", "left_anti")
+        hit = edges.join(roots.select(F.col("id").alias("early")), "early", "left_semi").select(F.col("late").alias("id")).distinct()
+        now = stash(roots.select("id", yes).unionByName(hit.select("id", no)), "greedy-state")
+        gone = now.select("id")
+        left = stash(edges.join(gone.select(F.col("id").alias("early")), "early", "left_anti").join(gone.select(F.col("id").alias("late")), "late", "left_anti").select(*edges.columns), "greedy-edges")
+        # undecided rows that lost their last edge have no earlier neighbour any more
+        alone = nodes(edges).join(gone, "id", "left_anti").join(nodes(left), "id", "left_anti")
+        decided += [now, stash(alone.select("id", yes), "greedy-alone")]
+        edges = left
+    out = decided[0]
+    for d in decided[1:]:
+        out = out.unionByName(d)
+    return out

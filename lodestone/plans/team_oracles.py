@@ -232,4 +232,9 @@ ORACLES: dict[str, str] = {
     "rules_imported": f"WITH {RULE_ROWS} SELECT origin, CASE WHEN origin = 'local' THEN count(*) ELSE 2 END AS n, 1::BIGINT AS imported, 1::BIGINT AS pruned FROM rules GROUP BY origin",
     "aliases_edited": "SELECT * FROM (VALUES ('eng-a', 'src0,src1,src9'), ('eng-c', 'src4'), ('eng-z', 'src8')) t(project, sources)",
     "conflict_siblings": f"WITH {O.NOTES}, v AS (SELECT path, id, doc_id, created, title, s AS side FROM notes, (VALUES ('ours'), ('theirs')) t(s) WHERE NOT (s = 'ours' AND doc_id % 3 = 0) AND NOT (s = 'theirs' AND doc_id % 3 = 1)), k AS (SELECT *, CASE WHEN doc_id % 3 = 2 THEN created || '-' || {_slug("title || ' of ' || side || ' (' || side || ')'")} || '-' || substr(sha256(path || ':' || side), 1, 4) ELSE id END AS new_id FROM v) SELECT path, side, new_id AS id, CASE WHEN doc_id % 3 = 2 THEN regexp_replace(path, '[^/]*$', '') || new_id || '.md' ELSE path END AS new_path FROM k",
+    "hybrid_excerpts": f"WITH {O.NOTES}, {O.LEXICAL}, {O.VECTORS}, {O.SEMANTIC}, {O.HYBRID.replace('LIMIT 60', 'LIMIT 50')}, top20 AS (SELECT id, title, path, kind, status, score, lexical_rank, semantic_rank FROM fused ORDER BY {O.FRESH} LIMIT 20), ranked AS (SELECT id FROM top20), {SNIPPET} SELECT id, CASE WHEN lexical_rank IS NOT NULL AND semantic_rank IS NOT NULL THEN 'hybrid' WHEN lexical_rank IS NOT NULL THEN 'lexical' ELSE 'semantic' END AS tier, CASE WHEN lexical_rank IS NOT NULL THEN excerpt WHEN length({_one.format('body')}) > 240 THEN substr({_one.format('body')}, 1, 240) || '…' ELSE {_one.format('body')} END AS excerpt FROM top20 JOIN snippets USING (id) JOIN (SELECT id, body FROM notes) USING (id)",
+    "notes_overwritten": f"WITH {O.NOTES} SELECT id, CASE WHEN id LIKE '%7' THEN 'new' ELSE title END AS title, status FROM notes UNION ALL SELECT 'n-new', 'made', 'active'",
+    "adopt_counts": f"WITH {O.NOTES}, {O.ALIAS}, own AS (SELECT unnest(sources) AS source FROM alias_map WHERE project = 'eng-a') SELECT o.source, (SELECT count(*) FROM notes n WHERE n.source = o.source AND doc_id % 5 <> 0 AND coalesce(trim(project), '') = '') AS adopted, (SELECT count(*) FROM notes n WHERE n.source = o.source AND doc_id % 5 <> 0 AND coalesce(trim(project), '') NOT IN ('', 'eng-a')) AS conflict, (SELECT count(*) FROM notes n WHERE n.source = o.source AND doc_id % 5 = 0) AS staged FROM own o",
+    "adopt_retired": f"WITH {O.NOTES}, stuck AS (SELECT DISTINCT source FROM notes WHERE project IS NOT NULL AND source IN ('src1')), r(project, source) AS (VALUES ('eng-b', 'src2'), ('eng-b', 'src3'), ('eng-c', 'src1'), ('eng-c', 'src4') UNION ALL SELECT 'eng-a', source FROM stuck) SELECT project, string_agg(source, ',' ORDER BY source) AS sources FROM r GROUP BY project",
+    "gate_with_fields": f"WITH {O.NOTES} SELECT id, 'contains-secret' AS reason FROM notes WHERE doc_id % 4 = 3 AND (doc_id % 16 = 3 OR {O._secret_any('concat_ws(chr(10), title, body, array_to_string(tags, chr(10)), author, source)', False)})",
 }

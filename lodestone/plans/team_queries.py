@@ -489,3 +489,36 @@ def conflict_siblings(spark, d):
     side = lambda s, on: F.when(on, F.struct("id", F.concat(F.col("title"), F.lit(f" of {s}")).alias("title"), "created", "kind"))
     n = K.notes(spark, d)
     return staging.conflict_siblings(n.select("path", side("ours", F.col("doc_id") % 3 != 0).alias("ours"), side("theirs", F.col("doc_id") % 3 != 1).alias("theirs")))
+
+
+@query
+def hybrid_excerpts(spark, d):
+    hits = search.retrieve(K.notes(spark, d), K.vectors(spark, d), S.QUERY, _query_vector(spark, d))
+    return search.with_snippets(hits, K.notes(spark, d), S.QUERY).select("id", "tier", "excerpt")
+
+
+@query
+def notes_overwritten(spark, d):
+    notes = K.notes(spark, d).select("id", "title", "status")
+    new = notes.filter("id LIKE '%7'").withColumn("title", F.lit("new")).unionByName(spark.createDataFrame([("n-new", "made", "active")], "id string, title string, status string"))
+    return capture.upsert(notes, new, "id")
+
+
+@query
+def adopt_counts(spark, d):
+    notes = K.notes(spark, d)
+    return routing.adopt_counts(notes.filter("doc_id % 5 <> 0"), notes.filter("doc_id % 5 = 0"), K.alias_map(spark), "eng-a")
+
+
+@query
+def adopt_retired(spark, d):
+    notes, aliases = K.notes(spark, d).filter("source <> 'src0' OR project IS NULL"), K.alias_map(spark)
+    return routing.retire(routing.adopt(notes, aliases, "eng-a"), aliases, "eng-a").select("project", F.array_join("sources", ",").alias("sources"))
+
+
+@query
+def gate_with_fields(spark, d):
+    from lodestone.operators import curation
+
+    rows = K.candidates(K.notes(spark, d)).withColumn("note", F.when(F.col("doc_id") % 16 == 3, F.concat(F.lit("key ghp_aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bC1dE3fG5"), F.lit(""))).otherwise("nothing"))
+    return curation.gate(rows, auto_adr=True, fields=("note", "lang")).filter("reason = 'contains-secret'").select("id", "reason")
