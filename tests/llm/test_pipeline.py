@@ -39,3 +39,52 @@ def test_oracles(spark, small, name):
     assert columns == sorted(want.columns)
     key = lambda f: sorted(map(tuple, f[columns].to_numpy().tolist()), key=str)
     assert key(got) == key(want)
+
+
+def test_run_by_brute_force(spark, small):
+    """Every stage's decisions made anew without the operators: letters, all pairs of shingle sets, the mix's SQL, the tokenizer itself."""
+    import re
+    from collections import defaultdict
+
+    import duckdb
+    import pandas as pd
+    import regex
+    from lodestone.llm.queries import OP1_SQL
+    from lodestone.llm.tokens import vocabulary_path
+    from tokenizers import Tokenizer
+
+    rows = [r.asDict() for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    rows = [r for r in rows if r["text"] and regex.search(r"\p{L}", r["text"])]
+    words = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0D]+", r["text"].translate({c: c + 32 for c in range(65, 91)})) for r in rows}
+    sets = {d: set(zip(w, w[1:])) if len(w) > 1 else {tuple(w)} for d, w in words.items() if w}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    rows = [r for r in rows if r["doc_id"] not in sets or find(r["doc_id"]) == r["doc_id"]]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows))
+    passes = {d: taken // size for d, size, taken in con.execute(f"SELECT doc_id, size, taken FROM ({OP1_SQL})").fetchall() if taken}
+    tokenizer = Tokenizer.from_file(vocabulary_path())
+    want = {r["doc_id"]: passes[r["doc_id"]] * (len(tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1) for r in rows if r["doc_id"] in passes}
+    out = corpus_pipeline.run(spark, small).collect()
+    got, of_sequence = defaultdict(int), defaultdict(list)
+    for r in out:
+        got[r.doc_id] += r.length
+        of_sequence[r.sequence_id].append((r.offset, r.length))
+    assert dict(got) == want
+    for s, pieces in of_sequence.items():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at == 1024 or s == max(of_sequence)
