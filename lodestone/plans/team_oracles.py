@@ -237,4 +237,16 @@ ORACLES: dict[str, str] = {
     "adopt_counts": f"WITH {O.NOTES}, {O.ALIAS}, own AS (SELECT unnest(sources) AS source FROM alias_map WHERE project = 'eng-a') SELECT o.source, (SELECT count(*) FROM notes n WHERE n.source = o.source AND doc_id % 5 <> 0 AND coalesce(trim(project), '') = '') AS adopted, (SELECT count(*) FROM notes n WHERE n.source = o.source AND doc_id % 5 <> 0 AND coalesce(trim(project), '') NOT IN ('', 'eng-a')) AS conflict, (SELECT count(*) FROM notes n WHERE n.source = o.source AND doc_id % 5 = 0) AS staged FROM own o",
     "adopt_retired": f"WITH {O.NOTES}, stuck AS (SELECT DISTINCT source FROM notes WHERE project IS NOT NULL AND source IN ('src1')), r(project, source) AS (VALUES ('eng-b', 'src2'), ('eng-b', 'src3'), ('eng-c', 'src1'), ('eng-c', 'src4') UNION ALL SELECT 'eng-a', source FROM stuck) SELECT project, string_agg(source, ',' ORDER BY source) AS sources FROM r GROUP BY project",
     "gate_with_fields": f"WITH {O.NOTES} SELECT id, 'contains-secret' AS reason FROM notes WHERE doc_id % 4 = 3 AND (doc_id % 16 = 3 OR {O._secret_any('concat_ws(chr(10), title, body, array_to_string(tags, chr(10)), author, source)', False)})",
+    "framed_commits": f"WITH {O.NOTES}, s AS (SELECT {_trim.format("CASE WHEN doc_id % 6 = 0 THEN title ELSE 'bump ' || title END")} AS subject, 'body of ' || doc_id::VARCHAR AS body FROM notes WHERE doc_id % 3 = 0) SELECT subject, body FROM s WHERE subject <> ''",
 }
+_listing = ORACLES["folder_listings"]
+_before = _listing.replace("WHERE NOT superseded", "WHERE NOT superseded AND doc_id <> 1 AND kind <> 'person'")
+ORACLES["verify_report"] = f"""WITH {O.NOTES}, checks AS (
+  SELECT * FROM ({O.ORACLES['verify_checks']})
+  UNION ALL SELECT 'parse', count(*), count(*) = 0 FROM ({O.ORACLES['notes_parsed']}) p JOIN notes n USING (path) WHERE p.error IS NOT NULL OR n.doc_id % 40 = 1
+  UNION ALL SELECT 'derived', count(*), count(*) = 0 FROM ({_listing}) a FULL JOIN ({_before}) b USING (folder) WHERE coalesce(a.markdown, '') <> coalesce(b.markdown, '')
+) SELECT * FROM checks UNION ALL SELECT 'overall', count(*), bool_and(ok) FROM checks"""
+ORACLES["remember_note"] = f"""WITH {O.NOTES}, e AS (SELECT id, {O.TOKENS.format(_content)} AS toks FROM notes WHERE doc_id % 4 <> 3), c AS (SELECT *, {O.TOKENS.format(_content)} AS toks FROM notes WHERE doc_id = 3),
+l AS (SELECT c.id, e.id AS other, len(list_intersect(c.toks, e.toks))::DOUBLE / (len(c.toks) + len(e.toks) - len(list_intersect(c.toks, e.toks))) AS j FROM c, e WHERE len(c.toks) > 0 AND len(e.toks) > 0),
+d AS (SELECT id, CASE WHEN {O._secret_any('concat_ws(chr(10), title, body, array_to_string(tags, chr(10)), author, source)', False)} THEN 'contains-secret' WHEN {_trim.format('title')} = '' OR length({_trim.format('body')}) < 15 THEN 'thin-content' END AS why, (SELECT arg_min(other, (-j, other)) FROM l WHERE j >= 0.8) AS duplicate_of FROM c)
+SELECT id, CASE WHEN why IS NULL AND duplicate_of IS NULL THEN 'promoted' ELSE 'rejected' END AS outcome, coalesce(why, CASE WHEN duplicate_of IS NOT NULL THEN 'duplicate' END) AS reason, CASE WHEN why IS NULL THEN duplicate_of END AS duplicate_of FROM d"""

@@ -378,7 +378,7 @@ def seed_preview(spark, d):
 
 @query
 def framed_commits(spark, d):
-    commits = K.commits(K.notes(spark, d)).filter("doc_id < 0 OR ord % 3 = 0")
+    commits = K.commits(K.notes(spark, d)).filter("ord % 3 = 0")
     log = commits.select(F.concat("subject", F.lit("\x1f"), F.lit("body of "), F.col("ord").cast("string"), F.lit("\x1e\n"), F.lit("\x1e")).alias("text"))
     return files.framed_commits(log).select("subject", "body")
 
