@@ -156,21 +156,22 @@ def shannon_entropy(value: Column) -> Column:
     return F.when(F.size(chars) > 0, F.aggregate(share, F.lit(0.0), lambda s, p: s - p * F.log2(p))).otherwise(0.0)
 
 
-def shows(text: Column, rule: Rule) -> Column:
-    """The text has a keyword and the shape, and of a rule with a least entropy some match is above it.
+def _table(found: tuple[Rule, ...]) -> Column:
+    """The rules as one constant: name, shape, least entropy, the group that is the secret (the whole match where a shape has none), keywords."""
+    group = lambda shape: 1 if re.search(r"(?<!\\)\((?!\?)", shape) else 0
+    words = lambda keys: F.array(*[F.lit(k.lower()) for k in keys]).cast("array<string>")
+    return F.array(*[F.struct(F.lit(n).alias("name"), F.lit(shape).alias("shape"), F.lit(least).cast("double").alias("least"), F.lit(group(shape)).alias("group"), words(keys).alias("keywords")) for n, shape, least, keys in found])
 
-    A shape's first group is the secret itself, or the whole match where it has none.
+
+def shown(text: Column, found: tuple[Rule, ...]) -> Column:
+    """The rules that a text shows: it has a keyword and the shape, and, of a rule with a least entropy, a match above it.
+
+    Few texts have a keyword, so few shapes are tried. The lower-cased text is bound once, not once a keyword.
     """
-    _, shape, least, keywords = rule
-    low = F.lower(text)
-    hit = F.contains(low, F.lit(keywords[0].lower())) if keywords else F.lit(True)
-    for k in keywords[1:]:
-        hit = hit | F.contains(low, F.lit(k.lower()))
-    hit = hit & text.rlike(shape)
-    if least is not None:
-        group = 1 if re.search(r"(?<!\\)\((?!\?)", shape) else 0
-        hit = hit & F.exists(F.regexp_extract_all(text, F.lit(shape), F.lit(group)), lambda m: shannon_entropy(m) > least)
-    return F.coalesce(hit, F.lit(False))
+    keyed = lambda low: F.filter(_table(found), lambda r: (F.size(r["keywords"]) == 0) | F.exists(r["keywords"], lambda k: F.contains(low, k)))
+    maybe = F.get(F.transform(F.array(F.lower(text)), keyed), F.lit(0))
+    enough = lambda r: r["least"].isNull() | F.exists(F.regexp_extract_all(text, r["shape"], r["group"]), lambda m: shannon_entropy(m) > r["least"])
+    return F.filter(maybe, lambda r: F.rlike(text, r["shape"]) & enough(r))
 
 
 def _allowed(text: Column, allow: str | None) -> Column:
@@ -179,8 +180,7 @@ def _allowed(text: Column, allow: str | None) -> Column:
 
 def secret_kinds(text: Column, generic: bool = False, allow: str | None = None) -> Column:
     """Names of the rules that a text shows, in the order of the rules; text that matches `allow` is taken out first."""
-    text = _allowed(text, allow)
-    return F.array_compact(F.array(*[F.when(shows(text, r), F.lit(r[0])) for r in rules(generic)]))
+    return F.coalesce(F.transform(shown(_allowed(text, allow), rules(generic)), lambda r: r["name"]), F.array().cast("array<string>"))
 
 
 def has_secret(text: Column, generic: bool = False, allow: str | None = None) -> Column:

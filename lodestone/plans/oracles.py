@@ -210,7 +210,7 @@ _SECRET = "regexp_matches({0}, '{1}')"
 
 
 def _shows(column: str, rule: tuple) -> str:
-    """As `secrets.shows`; DuckDB's entropy of a list of characters is in bits."""
+    """As `secrets.shown`; DuckDB's entropy of a list of characters is in bits."""
     import re
 
     _, shape, least, keywords = rule
