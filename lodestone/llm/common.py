@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -58,6 +59,24 @@ def whole_row(docs: DataFrame) -> Column:
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in docs.columns])
 
 
+#: What parts words in ASCII bytes: a space and \t to \r.
+_BLANK = re.compile(rb"[\t-\r ]")
+#: Bytes of a text that a task splits into words at once.
+SLICE = 1 << 20
+
+
+def slices(raw: bytes, size: int = SLICE) -> Iterator[bytes]:
+    """A text in slices of about `size` bytes, cut at white space; a word is never cut, however long."""
+    at = 0
+    while len(raw) - at > size:
+        blank = _BLANK.search(raw, at + size)
+        if blank is None:
+            break
+        yield raw[at : blank.start()]
+        at = blank.end()
+    yield raw[at:] if at else raw
+
+
 def as_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import brown, langid, licenses, minhash, mixing, packing, prefix_forest, sharding, telephony, token_output
+from lodestone.llm import best_fit, brown, importance, infill, langid, licenses, minhash, mixing, packing, prefix_forest, sharding, telephony, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,25 @@ def op10_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.transform(_table(spark, sf_dir, "documents"))
+    again = infill.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_shard_documents, op3_language_mixture, op4_prefix_forest, op5_pack_sequences, op6_license_scan, op7_telephony, op8_token_output, op9_minhash, op10_brown_scores)
+    for f in (op1_mix_sources, op2_shard_documents, op3_language_mixture, op4_prefix_forest, op5_pack_sequences, op6_license_scan, op7_telephony, op8_token_output, op9_minhash, op10_brown_scores,
+              op11_best_fit, op12_fill_in_middle, op13_importance_resample)
 }
 
 OP1_SQL = r"""
@@ -117,4 +133,61 @@ SELECT s.doc_id, s.n::BIGINT AS n_shingles, m.component_id, s.doc_id = m.compone
 FROM sizes s JOIN (SELECT d, min(r) AS component_id FROM reach GROUP BY d) m ON m.d = s.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op9_minhash": OP9_SQL}
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, text, n, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS c2,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM docs
+), cut AS (
+  SELECT doc_id, text, n, form, least(c1, c2) AS a, greatest(c1, c2) AS b FROM drawn
+), parts AS (
+  SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM cut
+), made AS (
+  SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output FROM parts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(output) AS output_sha256, sha256(text) AS restored_sha256
+FROM made
+"""
+
+OP13_SQL = r"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)) AS t
+), texts AS (
+  SELECT 'd' AS kind, doc_id, row_number() OVER () AS r, text FROM documents
+  UNION ALL SELECT 'b', NULL, row_number() OVER (), text FROM benchmark
+), split AS (
+  SELECT kind, doc_id, r, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []::VARCHAR[]) AS w FROM texts
+), tokens AS (
+  SELECT kind, r, unnest(w) AS w FROM split
+), counted AS (
+  SELECT kind, r, w, count(*) AS k FROM tokens GROUP BY kind, r, w
+), vocabulary AS (
+  SELECT w, hex(encode(w)) AS x FROM counted GROUP BY w
+), buckets AS (
+  SELECT w, (xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::BIGINT, 2))::BIGINT)),
+    lambda c, b: xor(t[((xor(c, b) & 255) + 1)::BIGINT], c >> 8))) % 10000)::BIGINT AS bucket FROM vocabulary, crc_table
+), freq AS (
+  SELECT bucket, coalesce(sum(k) FILTER (kind = 'd'), 0)::DOUBLE AS s, coalesce(sum(k) FILTER (kind = 'b'), 0)::DOUBLE AS t FROM counted JOIN buckets USING (w) GROUP BY bucket
+), totals AS (
+  SELECT sum(s) AS big_s, sum(t) AS big_t FROM freq
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (big_s + 10000) / ((s + 1) * (big_t + 10000))))::BIGINT AS gain FROM freq, totals
+), weights AS (
+  SELECT r, sum(k * gain)::BIGINT AS total FROM counted JOIN buckets USING (w) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY r
+), scored AS (
+  SELECT doc_id, r, len(w)::BIGINT AS n_features, CASE WHEN len(w) = 0 THEN 0 ELSE floor(coalesce(total, 0)::DOUBLE / len(w))::BIGINT END AS weight,
+    ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM split LEFT JOIN weights USING (r) WHERE kind = 'd'
+), final AS (
+  SELECT doc_id, r, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM scored
+), ranked AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS place FROM final WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM ranked) THEN place END AS rank
+FROM final LEFT JOIN ranked USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op9_minhash": OP9_SQL, "op12_fill_in_middle": OP12_SQL, "op13_importance_resample": OP13_SQL}

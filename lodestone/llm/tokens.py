@@ -1,7 +1,7 @@
-"""Byte-level BPE ids by the tokenizers library, with a bounded memo of pre-tokens.
+"""BPE ids by the tokenizers library, with a bounded memo of pre-tokens.
 
-Byte-level BPE merges only within the pieces that its pattern cuts a text into, so ids of a text are those of its pieces
-one after another. Pieces repeat; each worker remembers the ids of recent ones and asks the library for the others.
+BPE merges only within the pieces that its pattern cuts a text into, so ids of a text are those of its pieces one after
+another. Pieces repeat; each worker remembers the ids of recent ones and asks the library for the others.
 """
 
 from __future__ import annotations
@@ -13,7 +13,10 @@ from array import array
 import regex
 from tokenizers import Tokenizer
 
+from lodestone.llm.common import slices
+
 VOCABULARY = "byte_bpe_50k.json"
+SPACED_VOCABULARY = "word_bpe_49k.json"
 
 #: The white space of the vocabulary's published pattern, which knows neither \x1c-\x1f nor ASCII-only rules.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -71,7 +74,55 @@ class Encoder:
         return out
 
 
+class SpacedEncoder:
+    """Ids of UTF-8 texts by a vocabulary that drops white space and merges nothing across it.
+
+    Lower-casing, composition of accents and the pattern all stay within what white space parts, so ids of a text are those
+    of its chunks between spaces, and the library is asked for a chunk once. White space beyond ASCII stays within a chunk.
+    """
+
+    #: Chunks that a generation of the memo holds; longer ones than LONGEST bytes are not remembered.
+    MEMO = 200_000
+    LONGEST = 64
+    #: Chunks that the library gets in one call.
+    CALL = 1000
+
+    def __init__(self, path: str | None = None) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path or vocabulary_path(SPACED_VOCABULARY))
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), self.CALL):
+            call = words[i : i + self.CALL]
+            for word, found in zip(call, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in call], add_special_tokens=False), strict=True):
+                self.new[word] = array("I", found.ids).tobytes()
+
+    def _chunks(self, raw: bytes) -> bytes:
+        words = raw.split()
+        try:
+            return b"".join(map(self.new.__getitem__, words))
+        except KeyError:
+            pass
+        missing = set(words).difference(self.new)
+        known = [w for w in missing if w in self.old]
+        self.new.update((w, self.old[w]) for w in known)
+        self._learn(list(missing.difference(known)))
+        out = b"".join(map(self.new.__getitem__, words))
+        for w in missing:
+            if len(w) > self.LONGEST:
+                del self.new[w]
+        if len(self.new) > self.MEMO:
+            self.old, self.new = self.new, {}
+        return out
+
+    def encode(self, raw: bytes) -> bytes:
+        return b"".join(map(self._chunks, slices(raw)))
+
+
 _encoders: dict[str | None, Encoder] = {}
+_spaced: dict[str | None, SpacedEncoder] = {}
 
 
 def encoder(path: str | None = None) -> Encoder:
@@ -79,3 +130,9 @@ def encoder(path: str | None = None) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def spaced_encoder(path: str | None = None) -> SpacedEncoder:
+    if path not in _spaced:
+        _spaced[path] = SpacedEncoder(path)
+    return _spaced[path]
