@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
+from collections.abc import Callable
 
 import regex
 from tokenizers import Tokenizer
@@ -23,6 +25,19 @@ _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 #: The vocabulary's published pre-token pattern, and the same for ASCII texts.
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+def _below(limit: int, *kinds: str) -> str:
+    """The characters below `limit` whose category begins with one of `kinds`, for a character class."""
+    return "".join(re.escape(chr(i)) for i in range(limit) if unicodedata.category(chr(i)).startswith(kinds))
+
+
+#: What ASCII white space parts.
+_CHUNK = re.compile(r"[^\t-\r ]+")
+#: Composition changes no text whose characters are all below this one.
+_FIRST_MARK = 0x300
+_MARKED = re.compile(f"[{chr(_FIRST_MARK)}-\U0010ffff]")
+_LETTERS, _NUMBERS = _below(_FIRST_MARK, "L"), _below(_FIRST_MARK, "N")
+#: The published pattern of the vocabulary that drops white space, on lower-case text below _FIRST_MARK.
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACE}{_LETTERS}{_NUMBERS}]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -77,48 +92,55 @@ class Encoder:
 class SpacedEncoder:
     """Ids of UTF-8 texts by a vocabulary that drops white space and merges nothing across it.
 
-    Lower-casing, composition of accents and the pattern all stay within what white space parts, so ids of a text are those
-    of its chunks between spaces, and the library is asked for a chunk once. White space beyond ASCII stays within a chunk.
+    Lower-casing, composition of accents and the pattern all stay within what white space parts, so a text is taken in slices.
+    A slice without marks that compose is cut by the pattern here and the library's model is asked for new pieces; of another
+    slice, the library encodes each chunk between ASCII spaces that is new.
     """
 
-    #: Chunks that a generation of the memo holds; longer ones than LONGEST bytes are not remembered.
+    #: Pieces or chunks that a generation of a memo holds; longer ones than LONGEST are not remembered.
     MEMO = 200_000
     LONGEST = 64
-    #: Chunks that the library gets in one call.
-    CALL = 1000
 
     def __init__(self, path: str | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path or vocabulary_path(SPACED_VOCABULARY))
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces: list[dict[str, bytes]] = [{}, {}]
+        self.chunks: list[dict[str, bytes]] = [{}, {}]
 
-    def _learn(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), self.CALL):
-            call = words[i : i + self.CALL]
-            for word, found in zip(call, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in call], add_special_tokens=False), strict=True):
-                self.new[word] = array("I", found.ids).tobytes()
+    def _of_piece(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
 
-    def _chunks(self, raw: bytes) -> bytes:
-        words = raw.split()
+    def _of_chunk(self, chunk: str) -> list[int]:
+        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+
+    def _ids(self, parts: list[str], memo: list[dict[str, bytes]], of_part: Callable[[str], list[int]]) -> bytes:
+        new, old = memo
         try:
-            return b"".join(map(self.new.__getitem__, words))
+            return b"".join(map(new.__getitem__, parts))
         except KeyError:
-            pass
-        missing = set(words).difference(self.new)
-        known = [w for w in missing if w in self.old]
-        self.new.update((w, self.old[w]) for w in known)
-        self._learn(list(missing.difference(known)))
-        out = b"".join(map(self.new.__getitem__, words))
-        for w in missing:
-            if len(w) > self.LONGEST:
-                del self.new[w]
-        if len(self.new) > self.MEMO:
-            self.old, self.new = self.new, {}
+            missing = set(parts).difference(new)
+        for part in missing:
+            ids = old.get(part)
+            new[part] = array("I", of_part(part)).tobytes() if ids is None else ids
+        out = b"".join(map(new.__getitem__, parts))
+        for part in missing:
+            if len(part) > self.LONGEST:
+                del new[part]
+        if len(new) > self.MEMO:
+            memo[:] = {}, new
         return out
 
+    def _slice(self, raw: bytes) -> bytes:
+        text = raw.decode("utf-8", "replace")
+        if _MARKED.search(text) is None and not any(s in text for s in self.special):
+            return self._ids(_WORDS.findall(text.lower()), self.pieces, self._of_piece)
+        return self._ids(_CHUNK.findall(text), self.chunks, self._of_chunk)
+
     def encode(self, raw: bytes) -> bytes:
-        return b"".join(map(self._chunks, slices(raw)))
+        return b"".join(map(self._slice, slices(raw)))
 
 
 _encoders: dict[str | None, Encoder] = {}

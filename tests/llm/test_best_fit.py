@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from lodestone.llm import best_fit
 from lodestone.llm.common import slices
-from lodestone.llm.tokens import SPACED_VOCABULARY, SpacedEncoder, vocabulary_path
+from lodestone.llm.tokens import _CHUNK, SPACED_VOCABULARY, SpacedEncoder, vocabulary_path
 from tokenizers import Tokenizer
 
 
@@ -24,10 +24,13 @@ def test_encoder_is_the_library(spark, small, rows, ids_of, monkeypatch):
     encoder = SpacedEncoder()
     encoder.MEMO = 300
     texts = [r[0] for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()] + [r[1] for r in rows if r[1]]
-    texts += ["a <|endoftext|> b<|startoftext|>c", "tabs\t\tand\x0b\x0cvt\r\nlines \n x", "nbsp\xa0 x y　z\x85w", "don't I'LL we've ΟΔΟΣ ΣΑΣ İstanbul", "1²½Ⅷ 漢字かな \x1c a\x1cb", "é e ́ Å Å", "​ zwsp​x", "x" * 300]
+    texts += ["a <|endoftext|> b<|startoftext|>c <|StartOfText|> x", "H\u0331 h\u0331 K Å ǅ ɐʼs ŉ ß ẞ º½² ¼x \xad\x00\x7f", "can't!'s ..'re 12ab34", "tabs\t\tand\x0b\x0cvt\r\nlines \n x", "nbsp\xa0 x y　z\x85w", "don't I'LL we've ΟΔΟΣ ΣΑΣ İstanbul", "1²½Ⅷ 漢字かな \x1c a\x1cb", "é e ́ Å Å", "​ zwsp​x", "x" * 300]
     for text in texts:
         assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == ids_of(text), text[:80]
-    assert encoder.old
+    assert encoder.pieces[1] and encoder.chunks[0]
+    for text in texts:
+        encoder.chunks[0].clear()
+        assert np.frombuffer(encoder._ids(_CHUNK.findall(text), encoder.chunks, encoder._of_chunk), "<u4").tolist() == ids_of(text)
     monkeypatch.setattr("lodestone.llm.common.SLICE", 10)
     assert list(slices(b"one two  three fourfivesix", 5)) == [b"one two", b" three", b"fourfivesix"]
     assert b" ".join(slices(b"a b c " * 50, 7)) == b"a b c " * 50
