@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -117,8 +117,8 @@ def _sketch(size: int):
                 buckets.append(bands(densified(s)) if len(s) else None)
             n = len(sizes)
             yield pa.record_batch(
-                [batch.column(0), pa.array(range(part + at, part + at + n), pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
-                names=["doc_id", "row", "n_shingles", "set_key", "buckets"],
+                [batch.column(0), pa.array(range(part + at, part + at + n), pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), batch.column(2)],
+                names=["doc_id", "row", "n_shingles", "set_key", "buckets", "text_key"],
             )
             at += n
 
@@ -197,16 +197,17 @@ def _links_in_groups(placed: DataFrame, sets: DataFrame, percent: int) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, node of every document.
+    """doc_id, n_shingles, component_id, kept, component and text_key (md5 of the text) of every document.
 
     Documents are linked where 100 * intersection >= percent * union of their shingle sets. Null, empty and blank texts
     have an empty set, are linked with nothing and are their own component. component_id is the smallest doc_id of the
     component (a null doc_id counts only if there is no other); kept says that it is the row's own. Rows of equal
-    doc_id count as documents of their own. `node` numbers the equal sets. Only doc_id and text are read.
+    doc_id count as documents of their own. `component` numbers the groups. Texts of any length are compared whole, an empty
+    table gives no rows, and only doc_id, of any type with an order, and text are read.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = map_arrow(docs.select("doc_id", utf8(F.col("text")).alias("text")), _sketch(size), f"doc_id {kind}, row long, n_shingles long, set_key binary, buckets array<long>")
+    rows = map_arrow(docs.select("doc_id", utf8(F.col("text")).alias("text"), text_key(F.col("text")).alias("text_key")), _sketch(size), f"doc_id {kind}, row long, n_shingles long, set_key binary, buckets array<long>, text_key binary")
     rows = stash(rows, "minhash-rows")
     nodes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"))
     nodes = stash(nodes, "minhash-nodes")
@@ -238,26 +239,30 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     told = of_node.join(F.broadcast(large), "component", "left")
     small = told.filter("of_large IS NULL").drop("of_large").join(first.drop("m"), "component")
     of_node = small.unionByName(told.filter("of_large IS NOT NULL").withColumn("component_id", F.col("of_large.component_id")).drop("of_large")).select("set_key", "node", "component", "component_id")
-    full = rows.filter("n_shingles > 0").join(of_node, "set_key").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "component")
-    empty = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.col("row").alias("component"))
+    full = rows.filter("n_shingles > 0").join(of_node, "set_key").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "component", "text_key")
+    empty = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.col("row").alias("component"), "text_key")
     return full.unionByName(empty)
 
 
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(utf8(text)))
+
+
 def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
     """`docs` without the other members of each group; of equal rows one stays, and every document without words.
 
-    A null or blank text is in no group and stays, texts of any length are compared whole, an empty table stays empty, and
-    other columns stay whatever their names.
+    The row that stays has the component's id; if several rows do, as different texts can share a doc_id, the one of the
+    smallest md5 does. A null or blank text is in no group and stays, texts of any length are compared whole, an empty table
+    stays empty, and other columns stay whatever their names.
     """
-    groups = near_duplicates(docs, **options).filter("kept")
-    keep = groups.groupBy(F.col("doc_id").alias("of_doc"), (F.col("n_shingles") > 0).alias("of_words")).agg(F.count("*").alias("n"), F.countDistinct("component").alias("groups"))
-    keep = stash(keep, "minhash-keep")
-    n, repeats = keep.agg(F.count("*"), F.coalesce(F.max(F.when(F.col("of_words"), F.col("n") - F.col("groups"))), F.lit(0))).first()
+    of_text = near_duplicates(docs, **options).filter("kept AND n_shingles > 0").groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    keep = stash(of_text.groupBy("component").agg(F.min_by(F.struct("doc_id", "text_key", "n"), "text_key").alias("k")), "minhash-keep")
+    n, repeats = keep.agg(F.count("*"), F.coalesce(F.max("k.n"), F.lit(0))).first()
     has_words = F.length(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", "")) > 0
-    rows = docs.select(whole_row(docs).alias("doc"), F.col("doc_id").alias("its_doc"), has_words.alias("its_words"))
-    ids = keep.select("of_doc", "of_words")
-    out = rows.join(F.broadcast(ids) if n <= BROADCAST_NODES else ids, F.col("its_doc").eqNullSafe(F.col("of_doc")) & (F.col("its_words") == F.col("of_words")))
-    if repeats:
-        turn = F.row_number().over(Window.partitionBy("its_doc", F.md5(utf8(F.col("doc.text")))).orderBy(F.lit(0)))
-        out = out.withColumn("turn", F.when(F.col("its_words"), turn).otherwise(1)).filter("turn = 1")
-    return out.select("doc.*")
+    rows = docs.select(whole_row(docs).alias("doc"), F.col("doc_id").alias("its_doc"), text_key(F.col("text")).alias("its_text"), has_words.alias("its_words"))
+    ids = keep.select(F.col("k.doc_id").alias("of_doc"), F.col("k.text_key").alias("of_text"))
+    out = rows.filter("its_words").join(F.broadcast(ids) if n <= BROADCAST_NODES else ids, F.col("its_doc").eqNullSafe(F.col("of_doc")) & (F.col("its_text") == F.col("of_text")))
+    if repeats > 1:
+        turn = F.row_number().over(Window.partitionBy("its_doc", "its_text").orderBy(F.lit(0)))
+        out = out.withColumn("turn", turn).filter("turn = 1")
+    return out.select("doc.*").unionByName(rows.filter(~F.col("its_words")).select("doc.*"))

@@ -83,3 +83,14 @@ def test_one_of_each(docs, rows):
     ids = [r.doc_id for r in kept.filter(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", "")) > 0).collect()]
     assert sorted(ids, key=str) == sorted((d for d, _ in want), key=str)
     assert kept.count() == len(ids) + blank
+
+
+def test_one_of_each_where_rows_share_an_id(spark):
+    rows = [(3, "a b c d e f", "x"), (5, "a b c d e f", "y"), (5, "x y z w", "z"), (5, "X y Z w", "v"), (5, None, "n"), (5, "x y z w", "z"), (None, "p q r", "q"), (None, "P q r", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component string")
+    kept = [tuple(r) for r in minhash.one_of_each(docs).collect()]
+    assert (3, "a b c d e f", "x") in kept and (5, "a b c d e f", "y") not in kept and (5, None, "n") in kept
+    assert len([k for k in kept if k[0] == 5 and k[1] and k[1].lower() == "x y z w"]) == 1
+    assert len([k for k in kept if k[0] is None]) == 1 and len(kept) == 4
+    sets = [(r[0], frozenset(shingle_set(r[1]))) for r in kept if r[1]]
+    assert len(sets) == len(set(sets))

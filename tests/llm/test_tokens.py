@@ -104,3 +104,21 @@ def test_one_document_is_read_without_the_rest(spark, small, ids_of):
     begin, end = shard._frames + int(shard.offsets[i]), shard._frames + int(shard.offsets[i + 1])
     spoiled = bytes(row[0].data[: shard._frames]) + b"?" * (begin - shard._frames) + bytes(row[0].data[begin:end])
     assert token_output.Shard(spoiled, dictionary).ids(i).tolist() == got[wanted[0]]
+
+
+def test_lookup_with_null_and_text_ids(spark, ids_of):
+    rows = [(None, "null id"), (1, "one"), (2, "two words"), (2, "two again"), (7, None)]
+    shards, dictionary = token_output.write_shards(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert shards.count() == 1 and shards.first().first_doc is None
+    found = token_output.documents(shards, dictionary, [1, 2, 5]).collect()
+    assert sorted((r.doc_id, r.ids) for r in found) == sorted((d, [*ids_of(t), 2]) for d, t in rows if d in (1, 2))
+    assert token_output.documents(shards, dictionary, []).count() == 0
+    alone, dictionary = token_output.write_shards(spark.createDataFrame([(None, "a"), (None, "b")], "doc_id long, text string"))
+    assert token_output.documents(alone, dictionary, [0]).count() == 0
+
+    named = [(None, "null id"), ("b", "one"), ("aé", "two words"), ("", "three"), ("b", "one"), ("z", None)]
+    docs = spark.createDataFrame(named, "doc_id string, text string")
+    shards, dictionary = token_output.write_shards(docs, shard_bytes=20)
+    assert sorted((r.doc_id, r.ids) for r in token_output.documents(shards, dictionary, ["aé", "", "q"]).collect()) == [("", [*ids_of("three"), 2]), ("aé", [*ids_of("two words"), 2])]
+    out = sorted(token_output.token_output(docs).collect(), key=lambda r: r.start)
+    assert [(r.doc_id, r.ids_crc32) for r in out] == [(d, crc([*ids_of(t), 2])) for d, t in sorted(named, key=lambda r: (r[0] is not None, (r[0] or "").encode()))]
