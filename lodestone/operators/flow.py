@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import collapse
 from lodestone.operators import curation
-from lodestone.operators.similarity import DUPLICATE, similar_classes, token_set
+from lodestone.operators.set_join import SetIndex, build, most_similar
+from lodestone.operators.similarity import DUPLICATE, token_set
 from lodestone.session import stash
 
 #: Tools whose input the guard reads, the shortest and longest text it takes.
@@ -17,21 +18,15 @@ GUARD_TOOLS, GUARD_LEAST, GUARD_MOST = ("Write", "Edit", "MultiEdit", "Bash"), 1
 ERROR_CHARS = 200
 
 
-def like_existing(candidates: DataFrame, existing: DataFrame, threshold: float = DUPLICATE) -> DataFrame:
+def like_existing(candidates: DataFrame, existing: DataFrame | SetIndex, threshold: float = DUPLICATE) -> DataFrame:
     """(id, duplicate_of, score): candidates as similar as that to an existing row; the most similar one, the first in order of ids among equals.
 
-    Both are (id, text). Rows of one set stand for each other, so copies add rows and no pairs.
+    Candidates are (id, text); existing rows too, or an index of their sets. Candidates alone probe, so existing rows are
+    never compared with each other.
     """
-    both = candidates.select(F.col("id"), F.lit(1).alias("new"), token_set(F.col("text")).alias("tokens")).unionByName(existing.select(F.col("id"), F.lit(0).alias("new"), token_set(F.col("text")).alias("tokens")))
-    keyed = stash(both.filter(F.size("tokens") > 0).withColumn("set_key", F.sha2(F.array_join(F.array_sort("tokens"), " ").cast("binary"), 256)), "flow-sets")
-    olds = keyed.filter("new = 0").groupBy("set_key").agg(F.min("id").alias("old"))
-    # one row a set, the existing one first, so that sets of both sides meet once
-    sets = keyed.groupBy("set_key").agg(F.first("tokens").alias("tokens")).select(F.col("set_key").alias("id"), "tokens")
-    pairs = similar_classes(sets, threshold)
-    ways = pairs.select(F.col("a").alias("set_key"), F.col("b").alias("other"), "similarity").unionByName(pairs.select(F.col("b").alias("set_key"), F.col("a").alias("other"), "similarity"))
-    ways = ways.unionByName(olds.select("set_key", F.col("set_key").alias("other"), F.lit(1.0).alias("similarity")))
-    best = ways.join(olds.select(F.col("set_key").alias("other"), "old"), "other").groupBy("set_key").agg(F.max(F.struct("similarity", F.lit(0).alias("_"))).alias("top"), F.min_by("old", F.struct(-F.col("similarity"), F.col("old"))).alias("duplicate_of"))
-    return keyed.filter("new = 1").join(best, "set_key").select("id", "duplicate_of", F.col("top.similarity").alias("score"))
+    if not isinstance(existing, SetIndex):
+        existing = build(existing.select("id", token_set(F.col("text")).alias("tokens")), threshold)
+    return most_similar(candidates.select("id", token_set(F.col("text")).alias("tokens")), existing, threshold)
 
 
 def batch_accepted(candidates: DataFrame, threshold: float = DUPLICATE) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.operators.search import cosine
+from lodestone.operators.set_join import SetIndex, build, nearest
 from lodestone.plans.components import connected_components
 from lodestone.session import stash
 
@@ -81,17 +82,9 @@ def similar_sets(sets: DataFrame, threshold: float = DUPLICATE, blocks: list[str
     return members, heads, _head_pairs(heads, threshold, blocks)
 
 
-def neighbours_lexical(candidates: DataFrame, canon: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """The k most similar canon notes of each candidate, by positive Jaccard, ties by canon id. (id, tokens) both.
-
-    Sets with nothing in common have no similarity, so shared tokens find all pairs that count; only their number is needed.
-    """
-    c = candidates.select(F.col("id").alias("candidate"), F.size("tokens").alias("n_c"), F.explode("tokens").alias("token"))
-    t = canon.select(F.col("id").alias("neighbour"), F.size("tokens").alias("n_t"), F.explode("tokens").alias("token"))
-    common = c.join(t, "token").groupBy("candidate", "neighbour", "n_c", "n_t").agg(F.count("*").alias("common"))
-    scored = common.withColumn("score", F.col("common") / (F.col("n_c") + F.col("n_t") - F.col("common")))
-    rank = F.row_number().over(Window.partitionBy("candidate").orderBy(F.desc("score"), "neighbour"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("candidate", "rank", "neighbour", "score")
+def neighbours_lexical(candidates: DataFrame, canon: DataFrame | SetIndex, k: int = NEIGHBOURS) -> DataFrame:
+    """The k most similar canon notes of each candidate, by positive Jaccard, ties by canon id. Both are (id, tokens), or canon an index of them."""
+    return nearest(candidates, canon if isinstance(canon, SetIndex) else build(canon), k)
 
 
 def neighbours_by_vector(candidates: DataFrame, canon: DataFrame, k: int = NEIGHBOURS, threshold: float = 0.0) -> DataFrame:
