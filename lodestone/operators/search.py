@@ -111,9 +111,16 @@ def hybrid(notes: DataFrame, vectors: DataFrame, query: str, query_vec: list[flo
     return both.orderBy(*fresh_first()).limit(limit)
 
 
-def ask(hits: DataFrame, excerpts: DataFrame, max_chars: int = 4000) -> DataFrame:
-    """Ranked hits whose sizes fit the budget, in order; the first always stays. `hits` has rank, id, title, path, score."""
-    sized = hits.join(excerpts, "id").withColumn("size", F.length("title") + F.length("path") + F.length("excerpt"))
+def with_bodies(hits: DataFrame, notes: DataFrame) -> DataFrame:
+    """Hits, a top-k, with `body`: the notes of their ids alone go past this join, whatever is cut from the bodies then."""
+    return notes.select("id", "body").join(F.broadcast(hits), "id")
+
+
+def ask(hits: DataFrame, notes: DataFrame, max_chars: int, query: str) -> DataFrame:
+    """Ranked hits with excerpts whose sizes fit the budget, in order; the first always stays. `hits`, a top-k, has rank, id, title, path, score."""
+    # what is cut to excerpts is written first, or the cutting would move below the join
+    found = stash(with_bodies(hits, notes), "search-bodies")
+    sized = found.withColumn("excerpt", snippet(F.col("body"), query)).withColumn("size", F.length("title") + F.length("path") + F.length("excerpt"))
     running = F.sum("size").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     return sized.withColumn("used", running).filter((F.col("rank") == 1) | (F.col("used") <= max_chars))
 
@@ -142,10 +149,10 @@ def snippet(body: Column, query: str, window: int = 12) -> Column:
 
 
 def with_snippets(hits: DataFrame, notes: DataFrame, query: str) -> DataFrame:
-    """Hits, a top-k, with what surrounds their match; of a hit by meaning alone, how the note begins."""
-    rows = hits.join(notes.select("id", snippet(F.col("body"), query).alias("_around"), plain_snippet(F.col("body")).alias("_begin")), "id")
-    around = F.when(F.col("lexical_rank").isNull(), F.col("_begin")).otherwise(F.col("_around")) if "lexical_rank" in hits.columns else F.col("_around")
-    return rows.withColumn("excerpt", around).drop("_around", "_begin")
+    """Hits, a top-k, with what surrounds their match; of a hit by meaning alone, how the note begins. Excerpts are cut from the hits' bodies, after the join."""
+    rows = stash(with_bodies(hits, notes), "search-bodies")
+    around, begin = snippet(F.col("body"), query), plain_snippet(F.col("body"))
+    return rows.withColumn("excerpt", F.when(F.col("lexical_rank").isNull(), begin).otherwise(around) if "lexical_rank" in hits.columns else around).drop("body")
 
 
 def retrieve(notes: DataFrame, vectors: DataFrame | None, query: str, query_vec: list[float] | None, limit: int = LIMIT, semantic_on: bool = True, min_support: int = 0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.operators.search import cosine
+from lodestone.operators import vector_join
 from lodestone.operators.set_join import SetIndex, build, nearest
 from lodestone.plans.components import connected_components
 from lodestone.session import stash
@@ -15,8 +15,6 @@ from lodestone.session import stash
 DUPLICATE, NEIGHBOURS = 0.8, 2
 #: Rounds of the ordered batch before its components are looked at, and edges of a component that one task decides.
 ROUNDS, COMPONENT_EDGES = 5, 200_000
-#: Rows of each side in one unit of an exact vector search.
-BLOCK_CANDIDATES, BLOCK_CANON = 256, 2048
 
 
 def token_set(text: Column) -> Column:
@@ -88,20 +86,8 @@ def neighbours_lexical(candidates: DataFrame, canon: DataFrame | SetIndex, k: in
 
 
 def neighbours_by_vector(candidates: DataFrame, canon: DataFrame, k: int = NEIGHBOURS, threshold: float = 0.0) -> DataFrame:
-    """The k nearest canon vectors of each candidate of a stated set, by positive cosine of at least `threshold`. (id, vec) both.
-
-    Exact, in blocks: both sides are dealt into blocks by hash and each pair of blocks is a key of the join, so its units are even
-    whatever the vectors are. Each task keeps the k best of a candidate before anything is shuffled.
-    """
-    n_c, n_t = candidates.count(), canon.count()
-    of_c, of_t = -(-n_c // BLOCK_CANDIDATES) or 1, -(-n_t // BLOCK_CANON) or 1
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    c = candidates.select(F.col("id").alias("candidate"), F.col("vec").alias("c_vec"), F.pmod(F.hash("id"), F.lit(of_c)).alias("c_block"), each(of_t).alias("t_block"))
-    t = canon.select(F.col("id").alias("neighbour"), F.col("vec").alias("t_vec"), F.pmod(F.hash("id"), F.lit(of_t)).alias("t_block"), each(of_c).alias("c_block"))
-    met = t.join(c, ["c_block", "t_block"]).filter(F.col("candidate") != F.col("neighbour"))
-    scored = met.withColumn("score", cosine(F.col("c_vec"), F.col("t_vec"))).filter((F.col("score") > 0) & (F.col("score") >= threshold)).select("candidate", "neighbour", "score")
-    rank = F.row_number().over(Window.partitionBy("candidate").orderBy(F.desc("score"), "neighbour"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("candidate", "rank", "neighbour", "score")
+    """The k nearest canon vectors of each candidate of a stated set, by positive cosine of at least `threshold`. (id, vec) both. Exact; see `vector_join`."""
+    return vector_join.neighbours(candidates, canon, k, threshold)[0]
 
 
 def _in_order(group: pd.DataFrame) -> pd.DataFrame:

@@ -320,3 +320,7 @@ ORACLES: dict[str, str] = {
       CASE WHEN doc_id % 10 = 0 AND coalesce(source, '') <> '' THEN source || '/' ELSE '' END || path AS path FROM notes WHERE doc_id % 5 = 0""",
 }
 ORACLES["lexical_search_indexed"] = ORACLES["lexical_search"]
+_changed = LEXICAL.replace("FROM notes\n", "FROM changed\n")
+ORACLES["index_after_changes"] = f"""WITH {NOTES}, changed AS (
+  SELECT * REPLACE (CASE WHEN doc_id % 10 = 1 THEN 'thor ' || title ELSE title END AS title) FROM notes WHERE doc_id % 7 <> 2 OR doc_id % 10 = 1
+), {_changed} SELECT id, title, n_match::INTEGER AS n_match, round(score, 6) AS score FROM lexical ORDER BY {FRESH} LIMIT 20"""

@@ -36,11 +36,33 @@ def lexical_search(spark, d):
     return search.search_lexical(K.notes(spark, d), S.QUERY).select("id", "kind", "title", "path", "n_match", F.round("score", 6).alias("score"))
 
 
+_built: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, d):
+    """The folder of the index of these notes: built once an application, then looked up."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _built:
+        folder = f"{shared_folder(spark)}/lodestone/index-{uuid.uuid4().hex}"
+        index.build(K.notes(spark, d), folder)
+        _built[at] = folder
+    return _built[at]
+
+
 @query
 def lexical_search_indexed(spark, d):
-    folder = f"{shared_folder(spark)}/lodestone/index-{uuid.uuid4().hex}"
-    index.build(K.notes(spark, d), folder)
-    return index.search(spark, folder, S.QUERY).select("id", "kind", "title", "path", "n_match", F.round("score", 6).alias("score"))
+    return index.search(spark, _index(spark, d), S.QUERY).select("id", "kind", "title", "path", "n_match", F.round("score", 6).alias("score"))
+
+
+@query
+def index_after_changes(spark, d):
+    """A third of the notes come later, a tenth are edited, a seventh go, and the segments are merged."""
+    notes, folder = K.notes(spark, d), f"{shared_folder(spark)}/lodestone/index-{uuid.uuid4().hex}"
+    index.build(notes.filter("doc_id % 3 <> 0"), folder)
+    index.update(spark, folder, notes.filter("doc_id % 3 = 0"))
+    index.update(spark, folder, notes.filter("doc_id % 10 = 1").withColumn("title", F.concat(F.lit("thor "), "title")), notes.filter("doc_id % 7 = 2 AND doc_id % 10 <> 1").select("id"))
+    index.merge(spark, folder, 3)
+    return index.search(spark, folder, S.QUERY).select("id", "title", "n_match", F.round("score", 6).alias("score"))
 
 
 @query
@@ -81,8 +103,7 @@ def _ranked(spark, d, limit):
 
 @query
 def ask_budget(spark, d):
-    excerpts = K.notes(spark, d).select("id", search.snippet(F.col("body"), S.QUERY).alias("excerpt"))
-    return search.ask(_ranked(spark, d, 20), excerpts, S.ASK_CHARS).select("rank", "id", "title", "excerpt", "used")
+    return search.ask(_ranked(spark, d, 20), K.notes(spark, d), S.ASK_CHARS, S.QUERY).select("rank", "id", "title", "excerpt", "used")
 
 
 @query
