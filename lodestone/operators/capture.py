@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.functions.scalars import BLANK, collapse, gist, inline_text
+from lodestone.functions.scalars import BLANK, collapse, gist
 from lodestone.operators.search import is_superseded
 
 TRANSCRIPT_BYTES, COMMIT_BODY = 2_000_000, 4000
@@ -68,16 +68,6 @@ def supersede(notes: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(hit, "superseded").otherwise(F.col("status"))).withColumn("superseded_by", F.when(hit, F.col("_s")).otherwise(F.col("superseded_by"))).drop("_d", "_s")
 
 
-def router(notes: DataFrame, most: int = 50) -> DataFrame:
-    """One markdown text a source: live decisions from the newest and active work by id, `most` lines a section."""
-    live = notes.filter(~is_superseded()).filter((F.col("kind") == "decision") | ((F.col("kind") == "work-state") & (F.col("status") != "done")))
-    section = F.when(F.col("kind") == "decision", 0).otherwise(1)
-    order = F.row_number().over(Window.partitionBy("source", section).orderBy(F.when(F.col("kind") == "decision", F.col("created")).desc_nulls_last(), "id"))
-    line = F.concat(F.lit("- ["), inline_text(F.col("title")), F.lit("]("), "path", F.lit(")"))
-    rows = live.select("source", section.alias("section"), order.alias("place"), line.alias("line")).filter(F.col("place") <= most)
-    return rows.groupBy("source").agg(F.count("*").alias("lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "place", "line"))), lambda x: x["line"]), "\n").alias("markdown"))
-
-
 #: Sections of an emitted context; a title costs its length and four characters of line ends and marks.
 SECTIONS = ("Decisions", "Active work", "Key facts")
 #: What an entry costs at least: its marks and the end of its line.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.scalars import collapse
 from lodestone.operators import curation
 from lodestone.operators.set_join import SetIndex, build, most_similar
-from lodestone.operators.similarity import DUPLICATE, token_set
+from lodestone.operators.similarity import DUPLICATE, token_sets
 from lodestone.session import stash
 
 #: Tools whose input the guard reads, the shortest and longest text it takes.
@@ -25,8 +25,8 @@ def like_existing(candidates: DataFrame, existing: DataFrame | SetIndex, thresho
     never compared with each other.
     """
     if not isinstance(existing, SetIndex):
-        existing = build(existing.select("id", token_set(F.col("text")).alias("tokens")), threshold)
-    return most_similar(candidates.select("id", token_set(F.col("text")).alias("tokens")), existing, threshold)
+        existing = build(token_sets(existing, "id", "text"), threshold)
+    return most_similar(token_sets(candidates, "id", "text"), existing, threshold)
 
 
 def batch_accepted(candidates: DataFrame, threshold: float = DUPLICATE) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.scalars import days_between, round_half_up, unlink
+from lodestone.operators import listings
 from lodestone.sources.knowledge import KINDS
 
 STALE_DAYS = 90
@@ -128,14 +129,6 @@ def overall(checks: DataFrame) -> DataFrame:
     return checks.agg(F.count("*").alias("checks"), F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ok"))
 
 
-def drift(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(path, change): derived files (path, text) that differ from what the notes give now; a file that is missing counts as empty."""
-    a = before.select("path", F.col("text").alias("old"))
-    b = after.select("path", F.col("text").alias("new"))
-    both = a.join(b, "path", "full").filter(F.coalesce("old", F.lit("")) != F.coalesce("new", F.lit("")))
-    return both.select("path", F.when(F.col("old").isNull(), "missing").when(F.col("new").isNull(), "left over").otherwise("changed").alias("change"))
-
-
 def parse_failures(parsed: DataFrame) -> DataFrame:
     """(path, error) of files that look like notes and are none: a verification names them instead of passing them over."""
     return parsed.filter("error IS NOT NULL").select("path", "error")
@@ -144,7 +137,7 @@ def parse_failures(parsed: DataFrame) -> DataFrame:
 def report(notes: DataFrame, has_secret: Column, parsed: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     """`verify` with the files that don't parse and the derived files that drifted."""
     one = lambda name, df: df.agg(F.count("*").alias("findings")).select(F.lit(name).alias("check_name"), "findings").withColumn("ok", F.col("findings") == 0)
-    return verify(notes, has_secret).unionByName(one("parse", parse_failures(parsed))).unionByName(one("derived", drift(before, after)))
+    return verify(notes, has_secret).unionByName(one("parse", parse_failures(parsed))).unionByName(one("derived", listings.drift(before, after)))
 
 
 def map_listing(notes: DataFrame, cap: int = 200) -> DataFrame:

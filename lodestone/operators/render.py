@@ -7,20 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.scalars import bar, first_line, percent_text, trend_arrow
-from lodestone.operators.search import is_superseded
 
 #: Titles that a receipt names.
 RECEIPT_TITLES = 3
-#: What helps against a class of failure.
-HINTS = {
-    "extractor-unavailable": "install or sign in to the host's command line, then run the doctor again",
-    "extractor-timeout": "the extractor keeps timing out: check the host's command line and the network",
-    "extractor-failed": "the host's extractor ended with an error; an expired sign-in is the usual cause",
-    "malformed-output": "the host's reply didn't have the expected shape: update the host or the plugin",
-    "curate-runtime": "the curation step failed: see its own check",
-}
-
-
 def age(seconds: Column) -> Column:
     """A coarse age: just now, minutes, hours below two days, days; `unknown time` for null."""
     minutes = F.floor(F.greatest(F.lit(0), seconds) / 60)
@@ -48,8 +37,9 @@ def status_line(brain: Column, score: Column, pending: Column, syncing: Column)
     return F.concat_ws(" · ", F.concat(F.lit("🧠 "), brain), F.when(score.isNotNull(), F.concat(score.cast("string"), F.lit("/100"))), part, F.when(syncing, F.lit("⇅")))
 
 
-def fix_hint(reason: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in HINTS.items() for x in kv]), reason)
+def fix_hint(reason: Column, hints: dict[str, str]) -> Column:
+    """What the caller's table of hints says to a class of failure; null for a class that it doesn't have."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in hints.items() for x in kv]), reason) if hints else F.lit(None).cast("string")
 
 
 def resource_uri(brain: Column, kind: Column | None = None, id: Column | None = None, scheme: str = "brain") -> Column:
@@ -146,27 +136,6 @@ def diagnostics_lines(hits: DataFrame) -> DataFrame:
     return hits.select("id", F.concat(F.lit("  ["), F.coalesce("tier", F.lit("lexical")), F.lit("] lex:"), rank("lexical_rank"), F.lit(" sem:"), rank("semantic_rank"), F.lit(" score:"), F.format_string("%.4f", F.col("score")), F.lit("  "), "title", F.lit(" ("), "id", F.lit(")")).alias("line"))
 
 
-def kind_listing(notes: DataFrame, most: int = 200) -> DataFrame:
-    """(kind, n, markdown): the newest notes of each kind, `most` at most so that no row grows with the notes; superseded ones are marked."""
-    order = Window.partitionBy("kind").orderBy(F.desc("created"), F.desc("id"))
-    mark = F.when(F.coalesce(F.col("status") == "superseded", F.lit(False)), " _(superseded)_").otherwise("")
-    line = F.concat(F.lit("- **"), "title", F.lit("**"), mark, F.lit(" — `"), "id", F.lit("` ("), "path", F.lit(")"))
-    top = notes.select("kind", "id", "created", line.alias("line")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
-    lines = top.groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("list"))
-    counts = notes.groupBy("kind").agg(F.count("*").alias("n"))
-    more = F.when(F.col("n") > most, F.concat(F.lit("\n(+"), (F.col("n") - most).cast("string"), F.lit(" more)"))).otherwise("")
-    return counts.join(lines, "kind").select("kind", "n", F.concat(F.lit("# "), "kind", F.lit(" — "), F.col("n").cast("string"), F.lit(" note(s)\n\n"), "list", more, F.lit("\n")).alias("markdown"))
-
-
-def folder_listing(notes: DataFrame, most: int = 200) -> DataFrame:
-    """(folder, n, markdown) of live notes: the index file of each folder, in order of ids."""
-    folder = F.regexp_replace("path", "/[^/]*$", "")
-    live = notes.filter(~is_superseded()).select(folder.alias("folder"), "id", "title")
-    top = live.withColumn("place", F.row_number().over(Window.partitionBy("folder").orderBy("id"))).filter(F.col("place") <= most)
-    lines = top.groupBy("folder").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat(F.lit("- ["), "title", F.lit("]("), "id", F.lit(".md)")).alias("line")))), lambda x: x["line"]), "\n").alias("markdown"))
-    return live.groupBy("folder").agg(F.count("*").alias("n")).join(lines, "folder").select("folder", "n", "markdown")
-
-
 def coverage_lines(windows: DataFrame) -> DataFrame:
     """(brain, text): ratios, trend and counts of the trailing windows."""
     window = lambda name, k: F.concat(F.lit(f"last {name}: "), percent_text(F.col(f"{k}_ratio")), F.lit(" ("), F.col(f"{k}_productive").cast("string"), F.lit("/"), F.col(f"{k}_seen").cast("string"), F.lit(" sessions landed a note)"))

@@ -36,14 +36,16 @@ class SetIndex:
     members: DataFrame
 
 
-def set_key(tokens: Column) -> Column:
-    return F.unhex(F.sha2(F.array_join(F.array_sort(tokens), " ").cast("binary"), 256))
+def keyed(rows: DataFrame) -> DataFrame:
+    """(id, tokens) -> (id, set_key, sorted tokens); empty sets go."""
+    ordered = rows.select("id", F.sort_array("tokens").alias("tokens")).filter(F.size("tokens") > 0)
+    return ordered.select("id", F.unhex(F.sha2(F.array_join("tokens", " ").cast("binary"), 256)).alias("set_key"), "tokens")
 
 
 def in_order(tokens: Column, frequent: tuple[str, ...]) -> Column:
-    """A set's words in the order that all sets share: rare words by letters, then frequent ones from the rarest on."""
+    """Of sorted words, the order that all sets share: rare words by letters, then frequent ones from the rarest on."""
     last = F.array(*[F.lit(w) for w in frequent]).cast("array<string>")
-    return F.concat(F.array_sort(F.array_except(tokens, last)), F.array_intersect(last, tokens))
+    return F.concat(F.array_except(tokens, last), F.array_intersect(last, tokens))
 
 
 def _frequent(rows: DataFrame, most: int) -> tuple[str, ...]:
@@ -67,13 +69,13 @@ def build(existing: DataFrame, threshold: float = 0.0, folder: str | None = None
     keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: stash(df, f"sets-{name}")
     if folder:
         keep = lambda df, name: _written(df, f"{folder}/{name}")
-    rows = existing.select("id", "tokens").filter(F.size("tokens") > 0)
+    rows = stash(keyed(existing), "sets-keyed")
     last = _frequent(rows, frequent)
-    keyed = stash(rows.select("id", set_key(F.col("tokens")).alias("set_key"), in_order(F.col("tokens"), last).alias("words")), "sets-keyed")
-    sets = keep(keyed.groupBy("set_key").agg(F.first("words").alias("words")).select("set_key", F.size("words").alias("n"), "words"), "sets")
+    once = rows.groupBy("set_key").agg(F.first("tokens").alias("tokens"))
+    sets = keep(once.select("set_key", F.size("tokens").alias("n"), in_order(F.col("tokens"), last).alias("words")), "sets")
     first = F.slice("words", 1, _prefix(F.col("n"), threshold).cast("int")) if threshold > 0 else F.col("words")
     postings = sets.select("set_key", "n", F.posexplode(first).alias("place", "token")).select("token", "set_key", "n", (F.col("place") + 1).alias("place"))
-    members = keep(keyed.select("set_key", "id"), "members")
+    members = keep(rows.select("set_key", "id"), "members") if folder else rows.select("set_key", "id")
     if folder:
         postings = postings.repartitionByRange("token", "set_key").sortWithinPartitions("token", "set_key")
         existing.sparkSession.createDataFrame(list(enumerate(last)), "place int, token string").write.mode("overwrite").parquet(f"{folder}/frequent")
@@ -94,8 +96,9 @@ def open_index(spark: SparkSession, folder: str) -> SetIndex:
 
 def _candidates(candidates: DataFrame, index: SetIndex) -> tuple[DataFrame, DataFrame]:
     """(id, x) of candidates with words, and each of their sets once: (x, n, words)."""
-    rows = stash(candidates.select("id", "tokens").filter(F.size("tokens") > 0).select("id", set_key(F.col("tokens")).alias("x"), in_order(F.col("tokens"), index.frequent).alias("words")), "sets-candidates")
-    return rows.select("id", "x"), rows.groupBy("x").agg(F.first("words").alias("words")).select("x", F.size("words").alias("n"), "words")
+    rows = stash(keyed(candidates).withColumnRenamed("set_key", "x"), "sets-candidates")
+    once = rows.groupBy("x").agg(F.first("tokens").alias("tokens"))
+    return rows.select("id", "x"), once.select("x", F.size("tokens").alias("n"), in_order(F.col("tokens"), index.frequent).alias("words"))
 
 
 def _met(probe: DataFrame, postings: DataFrame, n_words: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from lodestone.operators import vector_join
 from lodestone.operators.set_join import SetIndex, build, nearest
 from lodestone.plans.components import connected_components
-from lodestone.session import stash
+from lodestone.session import spread, stash
 
 DUPLICATE, NEIGHBOURS = 0.8, 2
 #: Rounds of the ordered batch before its components are looked at, and edges of a component that one task decides.
@@ -22,6 +22,11 @@ def token_set(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9\\s]", " "), "\\s+"), lambda t: t != ""))
 
 
+def token_sets(rows: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, tokens) of rows."""
+    return spread(rows.select(F.col(id).alias("id"), F.col(text).alias("text"))).select("id", token_set(F.col("text")).alias("tokens"))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """0 when both are empty."""
     both = F.size(F.array_intersect(a, b))

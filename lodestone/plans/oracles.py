@@ -211,14 +211,14 @@ _SECRET = "regexp_matches({0}, '{1}')"
 
 def _shows(column: str, rule: tuple) -> str:
     """As `secrets.shown`; DuckDB's entropy of a list of characters is in bits."""
-    import re
+    from lodestone.operators.secrets import secret_groups
 
     _, shape, least, keywords = rule
     quoted = shape.replace("'", "''")
     sql = f"({' OR '.join(f"contains(lower({column}), '{k.lower()}')" for k in keywords) or 'true'}) AND regexp_matches({column}, '{quoted}')"
     if least is not None:
-        group = 1 if re.search(r"(?<!\\)\((?!\?)", shape) else 0
-        sql += f" AND len(list_filter(regexp_extract_all({column}, '{quoted}', {group}), lambda m: list_entropy(string_split(m, '')) > {least})) > 0"
+        above = [f"len(list_filter(regexp_extract_all({column}, '{quoted}', {g}), lambda m: list_entropy(string_split(m, '')) > {least})) > 0" for g in secret_groups(rule)]
+        sql += f" AND ({' OR '.join(above)})"
     return f"coalesce({sql}, false)"
 
 
@@ -312,7 +312,6 @@ ORACLES: dict[str, str] = {
     "scalars_text": f"WITH {NOTES} SELECT id, {_slug('title')} AS slug, {_gist} AS gist, substr(trim(regexp_replace(regexp_replace(regexp_replace(title, '[\\r\\n]+', ' ', 'g'), '([\\[\\]`])', '\\\\\\1', 'g'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')), 1, 200) AS inline_title, CASE WHEN length({_one.format('body')}) > 320 THEN substr({_one.format('body')}, 1, 320) || '…' ELSE {_one.format('body')} END AS excerpt, greatest(0, date_diff('day', coalesce(verified, updated, created)::DATE, DATE '{TODAY}'))::INTEGER AS age FROM notes",
     "scalars_path": f"SELECT page_id, coalesce(array_to_string(list_slice(string_split(remote_path, '/'), -2, -1), '/'), '') AS slug FROM (SELECT page_id, array_to_string(list_filter(string_split({_remote.replace('remote', 'url')}, '/'), lambda x: x <> ''), '/') AS remote_path FROM pages)",
     "scalars_identity": f"SELECT c_custkey, sha256(lower({_one.format('c_name')})) AS identity, {_slug('c_name')} || '-' || substr(sha256(lower({_one.format('c_name')})), 1, 10) AS contributor FROM customer",
-    "router_render": f"WITH {NOTES}, r AS (SELECT source, CASE WHEN kind = 'decision' THEN 0 ELSE 1 END AS section, row_number() OVER (PARTITION BY source, kind ORDER BY CASE WHEN kind = 'decision' THEN created END DESC, id) AS place, '- [' || substr(trim(regexp_replace(regexp_replace(regexp_replace(title, '[\\r\\n]+', ' ', 'g'), '([\\[\\]`])', '\\\\\\1', 'g'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')), 1, 200) || '](' || path || ')' AS line FROM notes WHERE NOT superseded AND (kind = 'decision' OR (kind = 'work-state' AND status <> 'done'))) SELECT source, count(*) AS lines, string_agg(line, chr(10) ORDER BY section, place) AS markdown FROM r WHERE place <= 50 GROUP BY source",
     "notes_parsed": f"""WITH {NOTES} SELECT path, id, kind, title, status, superseded_by, array_to_string(tags, ',') AS tags, array_to_string(relates, ',') AS relates,
       length(regexp_replace(coalesce(body, ''), '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g'))::INTEGER AS chars, CASE WHEN coalesce(title, '') = '' THEN 'title' WHEN kind = 'person' THEN 'name' END AS error FROM notes""",
     "transcript_parse": "SELECT conv_id, turn AS line_no, role || ': ' || text AS line FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL",
@@ -324,3 +323,20 @@ _changed = LEXICAL.replace("FROM notes\n", "FROM changed\n")
 ORACLES["index_after_changes"] = f"""WITH {NOTES}, changed AS (
   SELECT * REPLACE (CASE WHEN doc_id % 10 = 1 THEN 'thor ' || title ELSE title END AS title) FROM notes WHERE doc_id % 7 <> 2 OR doc_id % 10 = 1
 ), {_changed} SELECT id, title, n_match::INTEGER AS n_match, round(score, 6) AS score FROM lexical ORDER BY {FRESH} LIMIT 20"""
+
+#: A title as one line of markdown.
+INLINE = r"substr(trim(regexp_replace(regexp_replace(regexp_replace({0}, '[\r\n]+', ' ', 'g'), '([\[\]`])', '\\\1', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g')), 1, 200)"
+_title = INLINE.format("coalesce(title, '')")
+ORACLES["router_render"] = f"""WITH {NOTES}, {ALIAS}, s AS (SELECT source, min(project) AS p FROM (SELECT project, unnest(sources) AS source FROM alias_map) GROUP BY source),
+of AS (SELECT n.*, coalesce(nullif(trim(coalesce(nullif(trim(project), ''), p, nullif(n.source, ''))), ''), '(unattributed)') AS label, coalesce(nullif(trim(n.source), ''), '(unattributed)') AS src FROM notes n LEFT JOIN s ON s.source = n.source),
+several AS (SELECT label, count(DISTINCT src) > 1 AS several FROM of GROUP BY label),
+live AS (
+  SELECT label AS project, CASE WHEN several THEN src ELSE '' END AS source, CASE WHEN kind = 'decision' THEN 3 ELSE 2 END AS section, CASE WHEN kind = 'decision' THEN created END AS newest, id,
+    '- [' || {_title} || '](' || path || ') — ' || coalesce(CASE WHEN kind = 'decision' THEN created ELSE status END, '') AS line
+  FROM of JOIN several USING (label) WHERE (kind = 'work-state' AND status <> 'done') OR (kind = 'decision' AND NOT superseded)
+), spots AS (SELECT DISTINCT label AS project, CASE WHEN several THEN src ELSE '' END AS source, section FROM of JOIN several USING (label), (VALUES (2), (3)) v(section))
+SELECT project, source, section, row_number() OVER (PARTITION BY project, source, section ORDER BY newest DESC NULLS LAST, id, line) AS place, line FROM live
+UNION ALL SELECT project, source, section, 0, CASE section WHEN 2 THEN '**Active work-state**' ELSE '**Recent decisions**' END FROM spots
+UNION ALL SELECT project, source, section, 1, '- _None._' FROM spots ANTI JOIN live USING (project, source, section)
+UNION ALL SELECT label, '', 0, 0, '## ' || {INLINE.format('label')} FROM several
+UNION ALL SELECT DISTINCT label, src, 1, 0, '### ' || {INLINE.format('src')} FROM of JOIN several USING (label) WHERE several"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import scalars
-from lodestone.operators import capture, clusters, coverage, curation, health, index, routing, search, secrets, similarity, staging
+from lodestone.operators import capture, clusters, coverage, curation, health, index, listings, routing, search, secrets, similarity, staging
 from lodestone.plans import settings as S
 from lodestone.plans.oracles import ORACLES
 from lodestone.session import shared_folder
@@ -134,8 +134,8 @@ def jaccard_pairs(spark, d):
 
 @query
 def neighbors_lexical(spark, d):
-    c = K.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), similarity.token_set(F.col("text")).alias("tokens"))
-    t = K.table(spark, d, "documents").select(F.col("doc_id").alias("id"), similarity.token_set(F.col("text")).alias("tokens"))
+    c = similarity.token_sets(K.table(spark, d, "benchmark"), "item_id", "text")
+    t = similarity.token_sets(K.table(spark, d, "documents"), "doc_id", "text")
     return similarity.neighbours_lexical(c, t).withColumn("score", F.round("score", 9))
 
 
@@ -401,7 +401,8 @@ def scalars_identity(spark, d):
 
 @query
 def router_render(spark, d):
-    return capture.router(K.notes(spark, d))
+    notes = routing.resolve_project(K.notes(spark, d), K.alias_map(spark))
+    return listings.router(notes, F.col("resolved"))
 
 
 @query

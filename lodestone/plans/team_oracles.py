@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.operators.render import HINTS
 from lodestone.plans import oracles as O
 from lodestone.plans import team_fixtures as T
-from lodestone.plans.settings import ASK_CHARS, QUERY, QUERY_TERMS
+from lodestone.plans.settings import ASK_CHARS, HINTS, QUERY, QUERY_TERMS
 from lodestone.sources.knowledge import LOG_NOW, RULES
 from lodestone.sources.settings_files import FEATURES
 
@@ -203,8 +202,6 @@ ORACLES: dict[str, str] = {
     "wired_brains": f"WITH {RULE_ROWS}, b AS (SELECT ord, '/' || brain AS brain FROM rules WHERE brain IS NOT NULL UNION ALL SELECT 2000000000, '/default') SELECT brain, min(ord)::INTEGER AS place FROM b WHERE brain <> '/brain-shared' GROUP BY brain",
     "rule_projection": f"WITH {RULE_ROWS} SELECT ord::INTEGER AS ord, {_matcher} AS matcher, CASE WHEN NOT deny THEN brain END AS brain, deny, regexp_extract({_matcher}, '^(repo|org|prefix):', 1) AS kind, regexp_replace({_matcher}, '^(repo|org|prefix):', '') AS value FROM rules",
     "note_resources": f"WITH {O.NOTES}, t AS (SELECT id, CASE WHEN coalesce(status = 'superseded', false) THEN '> ⚠️ **Superseded**' || CASE WHEN length(superseded_by) > 0 THEN ' by `' || superseded_by || '`' ELSE '' END || ' — kept for history; prefer the note that replaced it.' || chr(10) || chr(10) ELSE '' END || '# ' || title || chr(10) || chr(10) || body AS text FROM notes) SELECT id, md5(text) AS digest, length(text)::INTEGER AS chars FROM t",
-    "kind_listings": f"WITH {O.NOTES}, l AS (SELECT kind, '- **' || title || '**' || CASE WHEN coalesce(status = 'superseded', false) THEN ' _(superseded)_' ELSE '' END || ' — `' || id || '` (' || path || ')' AS line, row_number() OVER (PARTITION BY kind ORDER BY created DESC, id DESC) AS place FROM notes) SELECT kind, count(*) AS n, '# ' || kind || ' — ' || count(*)::VARCHAR || ' note(s)' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY place) FILTER (place <= 200) || CASE WHEN count(*) > 200 THEN chr(10) || '(+' || (count(*) - 200)::VARCHAR || ' more)' ELSE '' END || chr(10) AS markdown FROM l GROUP BY kind",
-    "folder_listings": f"WITH {O.NOTES}, l AS (SELECT {_folder} AS folder, '- [' || title || '](' || id || '.md)' AS line, row_number() OVER (PARTITION BY {_folder} ORDER BY id) AS place FROM notes WHERE NOT superseded) SELECT folder, count(*) AS n, string_agg(line, chr(10) ORDER BY place) FILTER (place <= 200) AS markdown FROM l GROUP BY folder",
     "brain_map_resources": f"WITH {O.NOTES}, k AS (SELECT * FROM (VALUES (0, 'memory'), (1, 'decision'), (2, 'work-state'), (3, 'person')) t(o, kind)), newest AS (SELECT *, row_number() OVER (ORDER BY created DESC, id DESC) AS place FROM notes), u AS (SELECT -5 AS place, 'map' AS id, '' AS kind, 'map of the brain' AS title UNION ALL SELECT o - 4, 'kind:' || k.kind, k.kind, (SELECT count(*) FROM notes n WHERE n.kind = k.kind)::VARCHAR || ' note(s)' FROM k UNION ALL SELECT place, id, kind, title FROM newest WHERE place <= 200 UNION ALL SELECT 201, '…', '', (count(*) - 200)::VARCHAR || ' more' FROM notes HAVING count(*) > 200) SELECT place::INTEGER AS place, id, kind, title, 'brain://b/' || kind || '/' || id AS uri FROM u",
     "index_freshness": f"WITH {O.NOTES} SELECT count(*) AS n, max(coalesce(updated, created)) AS newest, count(*) = count(*) FILTER (doc_id > 0) AND max(coalesce(updated, created)) IS NOT DISTINCT FROM max(coalesce(updated, created)) FILTER (doc_id > 0) AS fresh FROM notes",
     "recovery_point": f"SELECT (epoch(TIMESTAMP '{LOG_NOW}')::BIGINT - floor(epoch(max(ts)))::BIGINT) AS seconds, true AS ok FROM events",
@@ -239,12 +236,20 @@ ORACLES: dict[str, str] = {
     "gate_with_fields": f"WITH {O.NOTES} SELECT id, 'contains-secret' AS reason FROM notes WHERE doc_id % 4 = 3 AND (doc_id % 16 = 3 OR {O._secret_any('concat_ws(chr(10), title, body, array_to_string(tags, chr(10)), author, source)', False)})",
     "framed_commits": f"WITH {O.NOTES}, s AS (SELECT {_trim.format("CASE WHEN doc_id % 6 = 0 THEN title ELSE 'bump ' || title END")} AS subject, 'body of ' || doc_id::VARCHAR AS body FROM notes WHERE doc_id % 3 = 0) SELECT subject, body FROM s WHERE subject <> ''",
 }
+ORACLES["kind_listings"] = f"""WITH {O.NOTES}, l AS (
+  SELECT kind AS path, created, id, '- **' || coalesce(title, '') || '**' || CASE WHEN superseded THEN ' _(superseded)_' ELSE '' END || ' — `' || id || '` (' || path || ')' AS line FROM notes
+) SELECT path, row_number() OVER (PARTITION BY path ORDER BY created DESC NULLS LAST, id DESC, line) AS place, line FROM l
+UNION ALL SELECT path, 0, '# ' || path || ' — ' || count(*)::VARCHAR || ' note(s)' FROM l GROUP BY path"""
+ORACLES["folder_listings"] = f"""WITH {O.NOTES}, l AS (
+  SELECT {_folder} AS folder, id, '- [' || {O.INLINE.format("coalesce(title, '')")} || '](' || regexp_extract(path, '[^/]*$') || ')' AS line FROM notes WHERE true
+) SELECT folder AS path, row_number() OVER (PARTITION BY folder ORDER BY id, line) AS place, line FROM l
+UNION ALL SELECT DISTINCT folder, 0, '# ' || folder FROM l"""
 _listing = ORACLES["folder_listings"]
-_before = _listing.replace("WHERE NOT superseded", "WHERE NOT superseded AND doc_id <> 1 AND kind <> 'person'")
+_before = _listing.replace("WHERE true", "WHERE doc_id <> 1 AND kind <> 'person'")
 ORACLES["verify_report"] = f"""WITH {O.NOTES}, checks AS (
   SELECT * FROM ({O.ORACLES['verify_checks']})
   UNION ALL SELECT 'parse', count(*), count(*) = 0 FROM ({O.ORACLES['notes_parsed']}) p JOIN notes n USING (path) WHERE p.error IS NOT NULL OR n.doc_id % 40 = 1
-  UNION ALL SELECT 'derived', count(*), count(*) = 0 FROM ({_listing}) a FULL JOIN ({_before}) b USING (folder) WHERE coalesce(a.markdown, '') <> coalesce(b.markdown, '')
+  UNION ALL SELECT 'derived', count(DISTINCT path), count(*) = 0 FROM ({_listing}) a FULL JOIN ({_before}) b USING (path, place) WHERE a.line IS DISTINCT FROM b.line
 ) SELECT * FROM checks UNION ALL SELECT 'overall', count(*), bool_and(ok) FROM checks"""
 ORACLES["remember_note"] = f"""WITH {O.NOTES}, e AS (SELECT id, {O.TOKENS.format(_content)} AS toks FROM notes WHERE doc_id % 4 <> 3), c AS (SELECT *, {O.TOKENS.format(_content)} AS toks FROM notes WHERE doc_id = 3),
 l AS (SELECT c.id, e.id AS other, len(list_intersect(c.toks, e.toks))::DOUBLE / (len(c.toks) + len(e.toks) - len(list_intersect(c.toks, e.toks))) AS j FROM c, e WHERE len(c.toks) > 0 AND len(e.toks) > 0),

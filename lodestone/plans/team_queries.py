@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import scalars
-from lodestone.operators import attribution, capture, clusters, coverage, flow, health, render, routing, search, secrets, similarity, staging
+from lodestone.operators import attribution, capture, clusters, coverage, flow, health, listings, render, routing, search, secrets, similarity, staging
 from lodestone.plans import settings as S
 from lodestone.plans import team_fixtures as T
 from lodestone.plans.queries import _query_vector, query
@@ -184,7 +184,7 @@ def capture_line_text(spark, d):
     reason = F.when(F.col("run") % 2 == 0, "extractor-timeout")
     n = F.col("captured")
     line = render.capture_line(outcome, reason, n, F.when(F.col("run") % 3 == 0, n), F.when(F.col("run") % 3 != 0, n), F.col("extracted"), F.when(F.col("run") % 13 != 0, F.col("seconds")))
-    return table(spark, d, T.RUNS).select("run", line.alias("line"), render.fix_hint(reason).alias("hint"), scalars.human_age(F.col("seconds")).alias("age"))
+    return table(spark, d, T.RUNS).select("run", line.alias("line"), render.fix_hint(reason, S.HINTS).alias("hint"), scalars.human_age(F.col("seconds")).alias("age"))
 
 
 @query
@@ -257,12 +257,12 @@ def note_resources(spark, d):
 
 @query
 def kind_listings(spark, d):
-    return render.kind_listing(K.notes(spark, d))
+    return listings.kind_listing(K.notes(spark, d))
 
 
 @query
 def folder_listings(spark, d):
-    return render.folder_listing(K.notes(spark, d))
+    return listings.folder_listing(K.notes(spark, d))
 
 
 @query
@@ -297,8 +297,7 @@ def verify_report(spark, d):
     notes = K.notes(spark, d)
     broken = F.when(F.col("doc_id") % 40 == 1, F.regexp_replace("text", "kind: '[a-z-]*'", "kind: 'odd'")).otherwise(F.col("text"))
     parsed = files.parse_notes(files.render_notes(notes).join(notes.select("path", "doc_id"), "path").select("path", broken.alias("text")))
-    now = render.folder_listing(notes).select(F.col("folder").alias("path"), F.col("markdown").alias("text"))
-    old = render.folder_listing(notes.filter("doc_id <> 1 AND kind <> 'person'")).select(F.col("folder").alias("path"), F.col("markdown").alias("text"))
+    now, old = listings.folder_listing(notes), listings.folder_listing(notes.filter("doc_id <> 1 AND kind <> 'person'"))
     checks = health.report(notes, secrets.has_secret(F.col("body")), parsed, old, now)
     whole = health.overall(checks).select(F.lit("overall").alias("check_name"), F.col("checks").alias("findings"), "ok")
     return checks.unionByName(whole)
@@ -417,8 +416,8 @@ def point_reads(spark, d):
 
 @query
 def nearest_verdict(spark, d):
-    c = K.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), similarity.token_set(F.col("text")).alias("tokens"))
-    t = K.table(spark, d, "documents").select(F.col("doc_id").alias("id"), similarity.token_set(F.col("text")).alias("tokens"))
+    c = similarity.token_sets(K.table(spark, d, "benchmark"), "item_id", "text")
+    t = similarity.token_sets(K.table(spark, d, "documents"), "doc_id", "text")
     return flow.nearest_duplicate(similarity.neighbours_lexical(c, t)).withColumn("score", F.round("score", 9))
 
 

@@ -75,6 +75,12 @@ def stash(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt over the session's cores if it has fewer partitions than these, as a small file has; a larger input stays as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 @contextmanager
 def stashes(spark: SparkSession) -> Iterator[None]:
     """Tables that `stash` writes within are deleted at the end, so what is wanted of them must be written or collected by then."""
