@@ -20,22 +20,30 @@ from lodestone.llm.common import slices
 VOCABULARY = "byte_bpe_50k.json"
 SPACED_VOCABULARY = "word_bpe_49k.json"
 
-#: The white space of the vocabulary's published pattern, which knows neither \x1c-\x1f nor ASCII-only rules.
-_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: The vocabulary's published pre-token pattern, and the same for ASCII texts.
-_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+
 def _below(limit: int, *kinds: str) -> str:
     """The characters below `limit` whose category begins with one of `kinds`, for a character class."""
     return "".join(re.escape(chr(i)) for i in range(limit) if unicodedata.category(chr(i)).startswith(kinds))
 
 
-#: What ASCII white space parts.
-_CHUNK = re.compile(r"[^\t-\r ]+")
-#: Composition changes no text whose characters are all below this one.
+#: The white space of the vocabularies' published patterns, which knows neither \x1c-\x1f nor ASCII-only rules.
+_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Composition changes no text whose characters are all below this one, and letters and numbers below it are listed in classes.
 _FIRST_MARK = 0x300
 _MARKED = re.compile(f"[{chr(_FIRST_MARK)}-\U0010ffff]")
 _LETTERS, _NUMBERS = _below(_FIRST_MARK, "L"), _below(_FIRST_MARK, "N")
+
+
+def _pieces(letters: str, numbers: str) -> str:
+    """The byte-level vocabulary's published pre-token pattern with these classes of letters and numbers."""
+    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{_SPACE}{letters}{numbers}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+
+
+#: That pattern for all texts, for those below _FIRST_MARK and for ASCII texts.
+_PIECES = regex.compile(_pieces(r"\p{L}", r"\p{N}"))
+_LATIN_PIECES, _ASCII_PIECES = re.compile(_pieces(_LETTERS, _NUMBERS)), re.compile(_pieces("A-Za-z", "0-9"))
+#: What ASCII white space parts.
+_CHUNK = re.compile(r"[^\t-\r ]+")
 #: The published pattern of the vocabulary that drops white space, on lower-case text below _FIRST_MARK.
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACE}{_LETTERS}{_NUMBERS}]+")
 
@@ -71,7 +79,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        pieces = (_ASCII_PIECES if text.isascii() else _PIECES).findall(text)
+        pieces = (_ASCII_PIECES if text.isascii() else _PIECES if _MARKED.search(text) else _LATIN_PIECES).findall(text)
         new = self.new
         try:
             return b"".join(map(new.__getitem__, pieces))
