@@ -31,6 +31,8 @@ SHINGLE_WORDS, PERCENT = 2, 80
 MEMO = 300_000
 #: Nodes whose sets are fetched by a broadcast of their ids; of more, by a shuffle.
 BROADCAST_NODES = 500_000
+#: Pairs of a node that share a key of the join with its set, and how many nodes are known to have more, at most.
+RAYS, BROADCAST_HUBS = 200, 100_000
 #: A component with more than one in so many of all nodes is named by a broadcast.
 LARGE = 1000
 #: Nodes and shingles in a block of a group, and columns of a block's matrix that are multiplied at once.
@@ -135,11 +137,21 @@ def _sets(size: int):
     return f
 
 
+def _with_side(rows: DataFrame, pairs: DataFrame, sets: DataFrame, side: str, other: str) -> DataFrame:
+    """`rows`, of these pairs, with the set of their node `side`. A node of many pairs, a star's hub, is dealt by its partners to keys of RAYS pairs or so, each of which gets its set once."""
+    rays = max(RAYS, pairs.count() // BROADCAST_HUBS)
+    # a hub has more than `rays` pairs, so there are fewer than BROADCAST_HUBS of them
+    hubs = F.broadcast(pairs.groupBy(side).count().filter(F.col("count") > rays).select(side, F.ceil(F.col("count") / rays).alias("keys")))
+    keys = F.coalesce("keys", F.lit(1))
+    dealt = rows.join(hubs, side, "left").withColumn("salt", F.pmod(F.xxhash64(other), keys)).drop("keys")
+    held = sets.select(F.col("node").alias(side), F.col("members").alias(f"of_{side}")).join(hubs, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), keys - 1))).drop("keys")
+    return dealt.join(held, [side, "salt"]).drop("salt")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    a = sets.select(F.col("node").alias("a"), F.col("members").alias("of_a"))
-    b = sets.select(F.col("node").alias("b"), F.col("members").alias("of_b"))
     common = F.size(F.array_intersect("of_a", "of_b"))
-    with_sets = pairs.join(a, "a").join(b, "b").select("a", "b", common.alias("common"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
+    both = _with_side(_with_side(pairs, pairs, sets, "a", "b"), pairs, sets, "b", "a")
+    with_sets = both.select("a", "b", common.alias("common"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
     return with_sets.filter(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("sizes") - F.col("common"))).select("a", "b")
 
 

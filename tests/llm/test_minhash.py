@@ -47,6 +47,11 @@ def test_against_brute_force(docs, rows, nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_hubs_are_dealt_to_keys(docs, rows, monkeypatch):
+    monkeypatch.setattr(minhash, "RAYS", 1)
+    assert got(docs) == brute(rows)
+
+
 def test_real_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
