@@ -51,7 +51,7 @@ def texts(spark: SparkSession, folder: str, glob: str = "*.md") -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
     root = "/" + folder.split("://")[-1].strip("/") + "/"
     relative = F.element_at(F.split(F.col("path"), "\\Q" + root + "\\E", 2), -1)
-    return files.select(relative.alias("path"), F.regexp_replace(F.decode("content", "UTF-8"), "\\r\\n?", "\n").alias("text"))
+    return files.select(relative.alias("path"), F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\\r\\n?", "\n").alias("text"))
 
 
 def note_texts(spark: SparkSession, folder: str, skipped: tuple[str, ...] = ()) -> DataFrame:
@@ -61,27 +61,33 @@ def note_texts(spark: SparkSession, folder: str, skipped: tuple[str, ...] = ())
     return texts(spark, folder).filter(in_kind & (F.element_at(parts, -1) != "INDEX.md") & ~F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda x: x.isin(*SKIPPED, *skipped)))
 
 
-def parse_notes(files: DataFrame) -> DataFrame:
-    """(path, text) -> a wide row a note with `error`: null, or why the file is no note. Keys without a column are kept in `extra`."""
-    fence = "^---[ \\t]*\\n([\\s\\S]*?\\n)?---[ \\t]*(?:\\n|$)"
-    rows = files.withColumn("front", F.regexp_extract("text", fence, 1)).withColumn("fenced", F.col("text").rlike(fence))
-    rows = rows.select("path", "fenced", "front", _strip(F.regexp_replace("text", fence, "")).alias("body"), *[_scalar(F.col("front"), k).alias(k) for k in SCALARS], *[_list(F.col("front"), k).alias(k) for k in LISTS], (_scalar(F.col("front"), "graduate") == "true").alias("graduate"))
+def checked_notes(rows: DataFrame, unread: Column) -> DataFrame:
+    """Wide rows of notes with a default `status` and `error`: `unread`, or the first field that a note of its kind can't have."""
     default = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v[0])) for k, v in STATUS.items()])
     rows = rows.withColumn("status", F.when(F.col("kind").isin(*STATUS), F.coalesce("status", default)))
     allowed = F.coalesce(*[F.when(F.col("kind") == k, F.col("status").isin(*v)) for k, v in STATUS.items()], F.lit(True))
     bad_id = (F.coalesce("id", F.lit("")) == "") | F.contains("id", F.lit("/")) | F.contains("id", F.lit("\\")) | F.col("id").isin(".", "..")
     bad_date = lambda c: F.col(c).isNotNull() & (~F.col(c).rlike(DATE) | F.try_to_date(c).isNull())
     error = (
-        F.when(~F.col("fenced"), "no front matter").when(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)), "kind").when(bad_id, "id").when(F.coalesce("title", F.lit("")) == "", "title")
+        F.when(unread.isNotNull(), unread).when(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)), "kind").when(bad_id, "id").when(F.coalesce("title", F.lit("")) == "", "title")
         .when(F.col("created").isNull() | bad_date("created"), "created").when(bad_date("updated"), "updated").when((F.col("kind") == "memory") & bad_date("verified"), "verified")
         .when(~allowed, "status").when((F.col("kind") == "person") & (F.coalesce("name", F.lit("")) == ""), "name").when((F.col("kind") == "person") & ~F.coalesce(F.col("email").rlike("^[^@ ]+@[^@ ]+\\.[^@ ]+$"), F.lit(True)), "email")
     )
+    return rows.withColumn("error", error)
+
+
+def parse_notes(files: DataFrame) -> DataFrame:
+    """(path, text) -> a wide row a note with `error`: null, or why the file is no note. Keys without a column are kept in `extra`."""
+    fence = "^---[ \\t]*\\n([\\s\\S]*?\\n)?---[ \\t]*(?:\\n|$)"
+    rows = files.withColumn("front", F.regexp_extract("text", fence, 1)).withColumn("fenced", F.col("text").rlike(fence))
+    rows = rows.select("path", "fenced", "front", _strip(F.regexp_replace("text", fence, "")).alias("body"), *[_scalar(F.col("front"), k).alias(k) for k in SCALARS], *[_list(F.col("front"), k).alias(k) for k in LISTS], (_scalar(F.col("front"), "graduate") == "true").alias("graduate"))
+    rows = checked_notes(rows, F.when(~F.col("fenced"), "no front matter"))
     known = [*SCALARS, *LISTS, "graduate"]
     lines = F.regexp_extract_all(F.col("front"), F.lit("(?m)^([A-Za-z_][A-Za-z0-9_-]*:[^\\n]*)$"), F.lit(1))
     keys = F.array_distinct(F.transform(lines, lambda x: F.substring_index(x, ":", 1)))
     first = lambda k: F.get(F.filter(lines, lambda x: F.startswith(x, F.concat(k, F.lit(":")))), F.lit(0))
     pairs = F.transform(F.filter(keys, lambda k: ~k.isin(*known)), lambda k: F.struct(k, _value(F.regexp_replace(first(k), "^[^:]*:", ""))))
-    return rows.withColumn("extra", F.map_from_entries(pairs)).withColumn("error", error).drop("front", "fenced")
+    return rows.withColumn("extra", F.map_from_entries(pairs)).drop("front", "fenced")
 
 
 def read_notes(spark: SparkSession, folder: str, kind: str | None = None) -> DataFrame:
