@@ -64,8 +64,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes. A lone surrogate, which UTF-8 can't hold, becomes '?'."""
 
-    #: Pre-tokens that a generation of the memo holds; two generations live at once.
-    MEMO = 120_000
+    #: Pre-tokens that a generation of the memo holds, some 30 MB; two generations live at once.
+    MEMO = 300_000
 
     def __init__(self, path: str | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -106,7 +106,7 @@ class SpacedEncoder:
     """
 
     #: Pieces or chunks that a generation of a memo holds; longer ones than LONGEST are not remembered.
-    MEMO = 200_000
+    MEMO = 300_000
     LONGEST = 64
 
     def __init__(self, path: str | None = None) -> None:
