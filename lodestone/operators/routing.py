@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.scalars import is_under
+from lodestone.session import stash
 
 
 def rule_key() -> object:
@@ -19,35 +19,55 @@ def drop_shadowed(rules: DataFrame) -> DataFrame:
     return keyed.filter("origin <> 'shared'").unionByName(keyed.filter("origin = 'shared'").join(local, "key", "left_anti").select(*keyed.columns)).drop("key")
 
 
+#: Older lists are numbered from here on, past any list that is authored rule by rule.
+AFTER_AUTHORED = 1 << 40
+
+
 def with_scope_lists(rules: DataFrame, allow: list[str], deny: list[str]) -> DataFrame:
     """Older allow and deny lists follow the authored rules, deny first."""
     if not allow and not deny:
         return rules
     spark = rules.sparkSession
-    extra = [(1_000_000 + i, None, None, p, None, i < len(deny), "local") for i, p in enumerate([*deny, *allow])]
-    return rules.unionByName(spark.createDataFrame(extra, "ord int, repo string, org string, prefix string, brain string, deny boolean, origin string"))
+    extra = [(AFTER_AUTHORED + i, None, None, p, None, i < len(deny), "local") for i, p in enumerate([*deny, *allow])]
+    return rules.withColumn("ord", F.col("ord").cast("long")).unionByName(spark.createDataFrame(extra, "ord long, repo string, org string, prefix string, brain string, deny boolean, origin string"))
+
+
+def _rule_keys(rules: DataFrame) -> DataFrame:
+    """(key, best): of all rules that match by one key the one that wins; a rule has a key for each of its matchers, a catch-all the key `*`."""
+    any_ = F.greatest(*[F.coalesce((F.col(c) == "*").cast("int"), F.lit(0)) for c in ("repo", "org", "prefix")]) == 1
+    owner = F.lower(F.regexp_replace("org", "/\\*$", ""))
+    key = lambda kind, value, tier: F.struct(F.concat(F.lit(kind), value).alias("key"), F.lit(tier).alias("tier"), F.length(value).alias("len"))
+    own = F.array(key("repo:", F.lower("repo"), 4), key("org:", F.when(owner != "", owner), 3), key("prefix:", F.col("prefix"), 2))
+    catch_all = F.array(F.struct(F.lit("*").alias("key"), F.lit(1).alias("tier"), F.lit(0).alias("len")))
+    keyed = rules.select(F.explode(F.when(any_, catch_all).otherwise(F.filter(own, lambda k: k["key"].isNotNull()))).alias("k"), "ord", "deny", "brain")
+    best = F.struct(F.col("k.tier").alias("tier"), F.col("k.len").alias("len"), F.col("deny").cast("int").alias("deny"), (-F.col("ord").cast("long")).alias("first"), F.col("brain").alias("brain"))
+    return keyed.groupBy(F.col("k.key").alias("key")).agg(F.max(best).alias("best"))
+
+
+def _subject_keys() -> Column:
+    """The keys by which a rule can match a subject: its repository, the repository's owner, its path and every folder above it."""
+    slug_owner = F.when(F.contains("slug", F.lit("/")), F.lower(F.substring_index("slug", "/", 1)))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("prefix:"), F.array_join(F.slice(parts, 1, i), "/")))
+    given = F.array(F.concat(F.lit("repo:"), F.lower("slug")), F.concat(F.lit("org:"), F.when(slug_owner != "", slug_owner)))
+    return F.filter(F.concat(given, F.coalesce(above, F.array().cast("array<string>"))), lambda k: k.isNotNull())
 
 
 def resolve(subjects: DataFrame, rules: DataFrame, default_brain: str | None = None) -> DataFrame:
     """(doc_id, slug, path) -> with kind (brain, denied, none, unmatched) and brain.
 
     The most specific rule wins: repository, organisation, longest path prefix, catch-all; a denial wins an exact tie, else
-    the first authored. Rules are a list that people write, so they are broadcast; each subject keeps its best match by an aggregate.
+    the first authored. Subjects and rules meet by keys, of which a rule has the winner alone, so a subject meets no more rules
+    than its path has folders, however many rules there are. The winning catch-all is one row.
     """
-    r = F.broadcast(drop_shadowed(rules).select(*[F.col(c).alias(f"r_{c}") for c in ("ord", "repo", "org", "prefix", "brain", "deny")]))
-    any_ = F.greatest(*[F.coalesce((F.col(f"r_{c}") == "*").cast("int"), F.lit(0)) for c in ("repo", "org", "prefix")]) == 1
-    repo = F.coalesce(F.lower("slug") == F.lower("r_repo"), F.lit(False))
-    owner = F.lower(F.regexp_replace("r_org", "/\\*$", ""))
-    slug_owner = F.when(F.contains("slug", F.lit("/")), F.lower(F.substring_index("slug", "/", 1)))
-    org = F.coalesce((slug_owner != "") & (slug_owner == owner), F.lit(False))
-    under = F.coalesce(is_under(F.col("path"), F.col("r_prefix")), F.lit(False))
-    tier = F.when(any_, 1).when(repo, 4).when(org, 3).when(under, 2)
-    length = F.when(any_, 0).when(repo, F.length("r_repo")).when(org, F.length(owner)).when(under, F.length("r_prefix"))
-    matched = subjects.join(r, tier.isNotNull()).withColumn("best", F.struct(tier.alias("tier"), length.alias("len"), F.col("r_deny").cast("int").alias("deny"), (-F.col("r_ord")).alias("first"), F.col("r_brain").alias("brain")))
-    won = matched.groupBy("doc_id").agg(F.max("best").alias("best"))
+    keys = stash(_rule_keys(drop_shadowed(rules)), "routing-keys")
+    asked = subjects.select("doc_id", F.explode(_subject_keys()).alias("key"))
+    won = asked.join(keys.filter("key <> '*'"), "key").groupBy("doc_id").agg(F.max("best").alias("own"))
+    any_ = keys.filter("key = '*'").agg(F.max("best").alias("any"))
+    found = subjects.join(won, "doc_id", "left").join(F.broadcast(any_)).withColumn("best", F.coalesce("own", "any"))
     brain = F.coalesce("best.brain", F.lit(default_brain))
     kind = F.when(F.col("best").isNull(), "unmatched").when(F.col("best.deny") == 1, "denied").when(brain.isNotNull(), "brain").otherwise("none")
-    return subjects.join(won, "doc_id", "left").select("doc_id", "slug", "path", kind.alias("kind"), F.when(kind == "brain", brain).alias("brain"))
+    return found.select("doc_id", "slug", "path", kind.alias("kind"), F.when(kind == "brain", brain).alias("brain"))
 
 
 def scope_decision(resolved: DataFrame) -> DataFrame:

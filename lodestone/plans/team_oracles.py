@@ -234,7 +234,8 @@ ORACLES: dict[str, str] = {
     "adopt_counts": f"WITH {O.NOTES}, {O.ALIAS}, own AS (SELECT unnest(sources) AS source FROM alias_map WHERE project = 'eng-a') SELECT o.source, (SELECT count(*) FROM notes n WHERE n.source = o.source AND doc_id % 5 <> 0 AND coalesce(trim(project), '') = '') AS adopted, (SELECT count(*) FROM notes n WHERE n.source = o.source AND doc_id % 5 <> 0 AND coalesce(trim(project), '') NOT IN ('', 'eng-a')) AS conflict, (SELECT count(*) FROM notes n WHERE n.source = o.source AND doc_id % 5 = 0) AS staged FROM own o",
     "adopt_retired": f"WITH {O.NOTES}, stuck AS (SELECT DISTINCT source FROM notes WHERE project IS NOT NULL AND source IN ('src1')), r(project, source) AS (VALUES ('eng-b', 'src2'), ('eng-b', 'src3'), ('eng-c', 'src1'), ('eng-c', 'src4') UNION ALL SELECT 'eng-a', source FROM stuck) SELECT project, string_agg(source, ',' ORDER BY source) AS sources FROM r GROUP BY project",
     "gate_with_fields": f"WITH {O.NOTES} SELECT id, 'contains-secret' AS reason FROM notes WHERE doc_id % 4 = 3 AND (doc_id % 16 = 3 OR {O._secret_any('concat_ws(chr(10), title, body, array_to_string(tags, chr(10)), author, source)', False)})",
-    "framed_commits": f"WITH {O.NOTES}, s AS (SELECT {_trim.format("CASE WHEN doc_id % 6 = 0 THEN title ELSE 'bump ' || title END")} AS subject, 'body of ' || doc_id::VARCHAR AS body FROM notes WHERE doc_id % 3 = 0) SELECT subject, body FROM s WHERE subject <> ''",
+    "framed_commits": f"WITH {O.NOTES}, {O.COMMITS}, s AS (SELECT {_trim.format('subject')} AS subject, 'body of ' || ord::VARCHAR AS body FROM commits) SELECT subject, body FROM s WHERE subject <> ''",
+    "notes_deleted": f"WITH {O.NOTES} SELECT id, kind, title, CASE WHEN id LIKE '%50' AND kind IN ('memory', 'decision') THEN 'superseded' ELSE status END AS status, CASE WHEN id LIKE '%50' AND kind IN ('memory', 'decision') THEN 'n00000001' ELSE superseded_by END AS superseded_by FROM notes WHERE id NOT LIKE '%99'",
 }
 ORACLES["kind_listings"] = f"""WITH {O.NOTES}, l AS (
   SELECT kind AS path, created, id, '- **' || coalesce(title, '') || '**' || CASE WHEN superseded THEN ' _(superseded)_' ELSE '' END || ' — `' || id || '` (' || path || ')' AS line FROM notes

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import scalars
-from lodestone.operators import attribution, capture, clusters, coverage, flow, health, listings, render, routing, search, secrets, similarity, staging
+from lodestone.operators import attribution, buckets, capture, clusters, coverage, flow, health, listings, render, routing, search, secrets, similarity, staging
 from lodestone.plans import settings as S
 from lodestone.plans import team_fixtures as T
 from lodestone.plans.queries import _query_vector, query
+from lodestone.session import shared_folder
 from lodestone.sources import files, replies
 from lodestone.sources import knowledge as K
 from lodestone.sources import settings_files as config
@@ -377,9 +380,10 @@ def seed_preview(spark, d):
 
 @query
 def framed_commits(spark, d):
-    commits = K.commits(K.notes(spark, d)).filter("ord % 3 = 0")
-    log = commits.select(F.concat("subject", F.lit("\x1f"), F.lit("body of "), F.col("ord").cast("string"), F.lit("\x1e\n"), F.lit("\x1e")).alias("text"))
-    return files.framed_commits(log).select("subject", "body")
+    commits, folder = K.commits(K.notes(spark, d)), f"{shared_folder(spark)}/lodestone/log-{uuid.uuid4().hex}"
+    record = F.concat(F.lit("\n"), "subject", F.lit("\x1f"), F.lit("body of "), F.col("ord").cast("string"))
+    commits.filter("subject IS NOT NULL").select(record.alias("value")).write.option("lineSep", "\x1e").text(folder)
+    return files.framed_commits(files.read_records(spark, folder)).select("subject", "body")
 
 
 @query
@@ -498,9 +502,21 @@ def hybrid_excerpts(spark, d):
 
 @query
 def notes_overwritten(spark, d):
-    notes = K.notes(spark, d).select("id", "title", "status")
+    notes, folder = K.notes(spark, d).select("id", "title", "status"), f"{shared_folder(spark)}/lodestone/notes-{uuid.uuid4().hex}"
+    buckets.create(notes, folder)
     new = notes.filter("id LIKE '%7'").withColumn("title", F.lit("new")).unionByName(spark.createDataFrame([("n-new", "made", "active")], "id string, title string, status string"))
-    return capture.upsert(notes, new, "id")
+    buckets.upsert(spark, folder, new)
+    return buckets.read(spark, folder)
+
+
+@query
+def notes_deleted(spark, d):
+    """A change of few notes, in buckets: some go, some are superseded."""
+    notes, folder = K.notes(spark, d).select("id", "kind", "title", "status", "superseded_by"), f"{shared_folder(spark)}/lodestone/notes-{uuid.uuid4().hex}"
+    buckets.create(notes, folder)
+    buckets.delete(spark, folder, notes.filter("id LIKE '%99'"))
+    buckets.supersede(spark, folder, notes.filter("id LIKE '%50'").select(F.col("id").alias("duplicate"), F.lit("n00000001").alias("survivor")))
+    return buckets.read(spark, folder)
 
 
 @query

@@ -123,10 +123,23 @@ def rules_state(text: DataFrame) -> DataFrame:
     return text.select("path", F.when(F.col("text").isNull(), "missing").when(F.coalesce(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.lit(False)), "ok").otherwise("corrupt").alias("state"))
 
 
-def framed_commits(log: DataFrame) -> DataFrame:
-    """(text) of a log whose records end with 0x1e and whose fields are parted by 0x1f -> (ord, subject, body), in the log's order; records without a subject drop."""
-    records = log.select(F.posexplode(F.split("text", "\x1e")).alias("ord", "record")).withColumn("record", F.regexp_replace("record", "^[\r\n]+", ""))
-    fields = F.split("record", "\x1f")
+def read_records(spark: SparkSession, path: str, mark: str = "\x1e") -> DataFrame:
+    """(ord, record) of logs whose records end with `mark`: a log splits at marks over as many tasks as its size asks for.
+
+    `ord` orders the records as they stand: by file, by where the task's part of the file begins, and within that.
+    """
+    rows = spark.read.option("lineSep", mark).text(path)
+    return rows.select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("nth")).alias("ord"), F.col("value").alias("record"))
+
+
+def newest(records: DataFrame, n: int) -> DataFrame:
+    """The last n records of (ord, ...), the newest first; each task keeps n of its own."""
+    return records.orderBy(F.desc("ord")).limit(n)
+
+
+def framed_commits(records: DataFrame) -> DataFrame:
+    """(ord, record) whose fields are parted by 0x1f -> (ord, subject, body); records without a subject drop."""
+    fields = F.split(F.regexp_replace("record", "^[\r\n]+", ""), "\x1f")
     return records.select("ord", _strip(F.get(fields, F.lit(0))).alias("subject"), _strip(F.coalesce(F.get(fields, F.lit(1)), F.lit(""))).alias("body")).filter("subject <> ''")
 
 
