@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from lodestone.llm import sharding
 from pyspark.sql import functions as F
 
@@ -48,3 +49,29 @@ def test_equal_texts_stay_together_unless_too_large(spark):
     assert len(sums) == 40 and sums.max() - sums.min() < 0.1 * sums.mean()
     texts = docs.toPandas().merge(out, on="doc_id")
     assert (texts[texts.text != "hot text"].groupby("text")["shard"].nunique() == 1).all()
+
+
+def plain_differencing(sizes, k):
+    """Lists of sums and members: the two with the largest spread are added, heaviest to lightest, until one is left."""
+    parts = [[(s, [i])] + [(0, [])] * (k - 1) for i, s in sizes]
+    while len(parts) > 1:
+        spread = lambda p: max(s for s, _ in p) - min(s for s, _ in p)
+        parts.sort(key=spread, reverse=True)
+        a, b = sorted(parts[0], key=lambda x: -x[0]), sorted(parts[1], key=lambda x: x[0])
+        parts = [[(x + y, m + n) for (x, m), (y, n) in zip(a, b, strict=True)], *parts[2:]]
+    return parts[0]
+
+
+@pytest.mark.parametrize("seed,k", [(1, 3), (2, 4), (3, 7)])
+def test_groups_are_dealt_as_by_plain_differencing(spark, seed, k):
+    rng = np.random.default_rng(seed)
+    # sizes with different sums of any two, so that no tie is broken otherwise
+    sizes = [(f"g{i:02d}", int(s)) for i, s in enumerate(rng.choice(10**6, 30, replace=False) + 1)]
+    out = sharding.assign_groups(spark.createDataFrame(sizes, "unit string, bytes long"), k).collect()
+    of = dict(sizes)
+    held = {}
+    for r in out:
+        held.setdefault(r.shard, set()).add(r.unit)
+    want = [(s, set(m)) for s, m in plain_differencing(sorted(sizes, key=lambda x: (-x[1], x[0])), k)]
+    assert sorted(sum(of[u] for u in m) for m in held.values()) == sorted(s for s, _ in want)
+    assert sorted(map(sorted, held.values())) == sorted(sorted(m) for _, m in want)
