@@ -21,8 +21,8 @@ from lodestone.session import stash
 FREQUENT = 1024
 #: Words and pairs of the new side that are broadcast at most; more are shuffled.
 BROADCAST_WORDS, BROADCAST_PAIRS = 200_000, 200_000
-#: Words of a candidate that the first round of a search for the nearest reads; each round reads as many again.
-FIRST_WORDS = 4
+#: Words of a candidate that the first round of a search for the nearest reads, and how many times as many have been read after the next one.
+FIRST_WORDS, WIDER = 12, 4
 _EPS = 1e-9
 
 
@@ -169,7 +169,7 @@ def nearest(candidates: DataFrame, index: SetIndex, k: int) -> DataFrame:
         bound = F.coalesce("lowest", F.lit(0.0))
         # a set without the first words of a candidate has at most the others in common with it
         last = F.least(F.col("n"), F.floor(F.col("n") * (1 - bound) + 1 + _EPS).cast("int"))
-        following = state.join(kth, "x", "left").select("x", "n", "words", bound.alias("least"), F.col("upto").alias("since"), F.least(last, 2 * F.col("upto")).alias("upto"))
+        following = state.join(kth, "x", "left").select("x", "n", "words", bound.alias("least"), F.col("upto").alias("since"), F.least(last, WIDER * F.col("upto")).alias("upto"))
         state = stash(following.filter("upto > since"), "sets-state")
     if not found:
         some = index.members.select(F.col("id").alias("neighbour")).limit(0)
