@@ -440,7 +440,8 @@ def score_documents(docs: DataFrame, head: int | None = None, exchange: int | No
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     Trains on documents whose crc32(doc_id as text) modulo 7 isn't 2; a null doc_id counts as empty text and a null text as
-    empty, which is one token, the end. Equal rows are documents of their own. Scores are log10; score is that of the class
+    empty, which is one token, the end. Texts of any length are scored whole, an empty table gives no rows, and only doc_id, of
+    any type, and text are read. Equal rows are documents of their own. Scores are log10; score is that of the class
     model, whose probabilities of the next token sum to 1 over the training words, the end and one unknown word a class.
     Every training word of LEAST tokens is exchanged; `head` and `exchange` bound the numbered and the exchanged words, the most frequent first.
     """

@@ -74,7 +74,8 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Only the last sequence is short of `window`, and padded. A null or empty text is its end id alone. Equal rows are
-    documents of their own. The stream's order is that of the input's partitions. Only doc_id and text are read.
+    documents of their own, texts of any length are cut over as many sequences as they take, an empty table gives no rows.
+    The stream's order is that of the input's partitions. Only doc_id, of any type and null if it is, and text are read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     stream = encode_stream(docs, end_id, path).select("doc_id", "begin", "ids", "n")

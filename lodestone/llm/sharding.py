@@ -112,7 +112,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     A group is all rows of equal text (null texts are a group); it stays together unless it is larger than an average
     shard. Such a group, of which there are fewer than shards, is cut by hash of doc_id into pieces of a quarter of
-    that. Rows of one doc_id and text stay together. Slots count the rows of a shard from 0. Only doc_id and text are read.
+    that. Rows of one doc_id and text stay together. Slots count the rows of a shard from 0. A very long text is one row that
+    no shard shares, an empty table gives no rows, and a null doc_id counts as one. Only doc_id and text are read.
     """
     raw = utf8(F.col("text"))
     rows = docs.select(

@@ -218,7 +218,10 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def inspect(media: DataFrame, with_pcm: bool = False, coded: bool = False) -> DataFrame:
-    """Digests and features of stored files, read back; `with_pcm` adds the PCM at 16 kHz as bytes, `coded` by `code_pcm`."""
+    """Digests and features of stored files, read back; `with_pcm` adds the PCM at 16 kHz as bytes, `coded` by `code_pcm`.
+
+    A row a row of `media`, repeated ones and null doc_ids too; no rows of an empty table. Files of any length are read whole.
+    """
     kind = media.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", pcm binary" * with_pcm
     return map_arrow(media.select("doc_id", "n_bytes", "media"), _inspect(with_pcm, coded), schema)
@@ -232,7 +235,10 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def store_and_inspect(docs: DataFrame) -> DataFrame:
-    """As `inspect(store(docs))`, with the PCM at 16 kHz written beside the digests and the features taken from it, read back."""
+    """As `inspect(store(docs))`, with the PCM at 16 kHz written beside the digests and the features taken from it, read back.
+
+    A null or empty text is the shortest payload, blanks; texts of any length are stored whole, and only doc_id and text are read.
+    """
     sound = inspect(store(docs), with_pcm=True, coded=True)
     digest = ("payload_sha256", "media_sha256")
     with settings(docs.sparkSession, **LEVEL):
