@@ -11,22 +11,22 @@ from lodestone.session import stash
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a known language (null text, no letter) go."""
+    """Documents without a known language (null text, no letter) go. Repeated rows are judged alike, an empty table stays empty, texts of any length are read whole."""
     return langid.with_language(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, and every text without words. Of equal rows, and of one doc_id on several texts of a group, one stays."""
     return minhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in proportion to their weights; a document comes as often as the mix takes it."""
+    """Sources in proportion to their weights; a document comes as often as the mix takes it. Texts without words are never taken, a null source is one of its own."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens."""
+    """Pieces of sequences of 1024 tokens. A null text is its end id alone, equal rows are documents of their own, an empty table gives no pieces."""
     return packing.pack(docs)
 
 
