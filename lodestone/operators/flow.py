@@ -33,13 +33,21 @@ def batch_accepted(candidates: DataFrame, threshold: float = DUPLICATE) -> DataF
     return curation.greedy_dedup(candidates.select("id", "ord", "text"), threshold)
 
 
-def capture(candidates: DataFrame, canon: DataFrame, staged: DataFrame, auto_promote: bool = True, auto_adr: bool = True) -> DataFrame:
+def existing_index(canon: DataFrame, staged: DataFrame, folder: str | None = None) -> SetIndex:
+    """The sets of all notes that a new one can be like, for many captures; kept in `folder`."""
+    content = F.concat_ws(" ", "title", "body")
+    older = canon.select("id", content.alias("text")).unionByName(staged.select("id", content.alias("text")))
+    return build(token_sets(older, "id", "text"), DUPLICATE, folder)
+
+
+def capture(candidates: DataFrame, canon: DataFrame, staged: DataFrame, auto_promote: bool = True, auto_adr: bool = True, index: SetIndex | None = None) -> DataFrame:
     """Candidates -> (id, outcome, reason, duplicate_of, supersedes, contradicts, clamped, tags): `promoted`, `staged` or `rejected`.
 
     Candidates have ord, id, kind, title, body, tags, author, source and their verdict (judge, consolidation, target_id,
     neighbor_ids); canon and staged have id, kind, title, body. The order is: verdicts, the gate, likeness to canon and
     staged rows, likeness to accepted earlier candidates. What a note does to others counts only if it got through, and a
-    supersession only if it reached canon and its target is there and can be superseded.
+    supersession only if it reached canon and its target is there and can be superseded. `index` is that of the existing
+    notes, where one is kept; else it is built for this capture.
     """
     known = canon.select("id").unionByName(staged.select("id"))
     plan = stash(curation.verdict_plan(candidates, known), "flow-plan")
@@ -47,11 +55,11 @@ def capture(candidates: DataFrame, canon: DataFrame, staged: DataFrame, auto_pro
     kept = candidates.drop("tags").join(plan.filter("action = 'stage'").select("id", "tags", "supersedes", "contradicts", "clamped"), "id")
     gated = stash(kept.withColumn("why", curation.gate_reason(auto_adr)).withColumn("text", content).select("ord", "id", "why", "text", "supersedes", "contradicts", "clamped", "tags"), "flow-gated")
     through = gated.filter("why IS NULL")
-    older = canon.select("id", content.alias("text")).unionByName(staged.select("id", content.alias("text")))
-    like = stash(like_existing(through, older), "flow-like")
+    like = stash(like_existing(through, index or existing_index(canon, staged)), "flow-like")
     fresh = through.join(like.select("id"), "id", "left_anti")
     accepted = batch_accepted(fresh)
-    target = canon.filter(F.col("kind").isin("memory", "decision")).select(F.col("id").alias("supersedes"), F.lit(True).alias("there"))
+    # an id that stands twice in canon is one target
+    target = canon.filter(F.col("kind").isin("memory", "decision")).select(F.col("id").alias("supersedes"), F.lit(True).alias("there")).distinct()
     rows = gated.join(like.select("id", "duplicate_of"), "id", "left").join(accepted, "id", "left").join(target, "supersedes", "left")
     ok = F.coalesce("accepted", F.lit(False))
     reason = F.coalesce("why", F.when(~ok, F.lit("duplicate")))
@@ -80,11 +88,11 @@ def stage(staged: DataFrame, rows: DataFrame) -> DataFrame:
     return staged.unionByName(rows.join(staged.select("id"), "id", "left_anti").select(*staged.columns))
 
 
-def remember(note: DataFrame, canon: DataFrame, staged: DataFrame, auto_promote: bool = True) -> DataFrame:
+def remember(note: DataFrame, canon: DataFrame, staged: DataFrame, auto_promote: bool = True, index: SetIndex | None = None) -> DataFrame:
     """One note, without a verdict, through the same flow -> (id, outcome, reason)."""
     nothing = F.lit(None).cast("string")
     bare = note.withColumn("judge", nothing).withColumn("consolidation", nothing).withColumn("target_id", nothing).withColumn("neighbor_ids", F.lit(None).cast("array<string>")).withColumn("ord", F.lit(0))
-    return capture(bare, canon, staged, auto_promote).select("id", "outcome", "reason", "duplicate_of")
+    return capture(bare, canon, staged, auto_promote, index=index).select("id", "outcome", "reason", "duplicate_of")
 
 
 def log_entry(results: DataFrame) -> DataFrame:

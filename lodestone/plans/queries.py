@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import scalars
-from lodestone.operators import capture, clusters, coverage, curation, health, index, listings, routing, search, secrets, similarity, staging
+from lodestone.operators import capture, clusters, coverage, curation, health, index, listings, routing, search, secrets, set_join, similarity, staging
 from lodestone.plans import settings as S
 from lodestone.plans.oracles import ORACLES
 from lodestone.session import shared_folder
@@ -36,22 +36,28 @@ def lexical_search(spark, d):
     return search.search_lexical(K.notes(spark, d), S.QUERY).select("id", "kind", "title", "path", "n_match", F.round("score", 6).alias("score"))
 
 
-_built: dict[tuple[str, str], str] = {}
+_built: dict[tuple[str, str, str], str] = {}
 
 
-def _index(spark, d):
-    """The folder of the index of these notes: built once an application, then looked up."""
-    at = (spark.sparkContext.applicationId, d)
+def kept_index(spark, d, name: str, build: Callable[[str], object]) -> str:
+    """The folder of an index over the given tables: built once an application, as such an index is kept, then looked up."""
+    at = (spark.sparkContext.applicationId, d, name)
     if at not in _built:
-        folder = f"{shared_folder(spark)}/lodestone/index-{uuid.uuid4().hex}"
-        index.build(K.notes(spark, d), folder)
+        folder = f"{shared_folder(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+        build(folder)
         _built[at] = folder
     return _built[at]
 
 
+def document_sets(spark, d) -> set_join.SetIndex:
+    """The index of the documents' sets of words."""
+    docs = K.table(spark, d, "documents")
+    return set_join.open_index(spark, kept_index(spark, d, "document-sets", lambda folder: set_join.build(similarity.token_sets(docs, "doc_id", "text"), folder=folder)))
+
+
 @query
 def lexical_search_indexed(spark, d):
-    return index.search(spark, _index(spark, d), S.QUERY).select("id", "kind", "title", "path", "n_match", F.round("score", 6).alias("score"))
+    return index.search(spark, kept_index(spark, d, "index", lambda folder: index.build(K.notes(spark, d), folder)), S.QUERY).select("id", "kind", "title", "path", "n_match", F.round("score", 6).alias("score"))
 
 
 @query
@@ -135,8 +141,7 @@ def jaccard_pairs(spark, d):
 @query
 def neighbors_lexical(spark, d):
     c = similarity.token_sets(K.table(spark, d, "benchmark"), "item_id", "text")
-    t = similarity.token_sets(K.table(spark, d, "documents"), "doc_id", "text")
-    return similarity.neighbours_lexical(c, t).withColumn("score", F.round("score", 9))
+    return similarity.neighbours_lexical(c, document_sets(spark, d)).withColumn("score", F.round("score", 9))
 
 
 def _asked():

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import scalars
-from lodestone.operators import attribution, buckets, capture, clusters, coverage, flow, health, listings, render, routing, search, secrets, similarity, staging
+from lodestone.operators import attribution, buckets, capture, clusters, coverage, flow, health, listings, render, routing, search, secrets, set_join, similarity, staging
 from lodestone.plans import settings as S
 from lodestone.plans import team_fixtures as T
-from lodestone.plans.queries import _query_vector, query
+from lodestone.plans.queries import _query_vector, document_sets, kept_index, query
 from lodestone.session import shared_folder
 from lodestone.sources import files, replies
 from lodestone.sources import knowledge as K
@@ -154,16 +154,20 @@ def _captured(spark, d):
     return candidates, notes.filter("doc_id % 4 <> 3 AND doc_id % 5 <> 0"), waiting
 
 
+def _existing(spark, d, name, canon, waiting):
+    return set_join.open_index(spark, kept_index(spark, d, name, lambda folder: flow.existing_index(canon, waiting, folder)))
+
+
 @query
 def capture_flow(spark, d):
     candidates, canon, waiting = _captured(spark, d)
-    return flow.capture(candidates, canon, waiting).select("id", "outcome", "reason", "duplicate_of", "supersedes", "contradicts", "clamped", F.array_join("tags", ",").alias("tags"))
+    return flow.capture(candidates, canon, waiting, index=_existing(spark, d, "existing-sets", canon, waiting)).select("id", "outcome", "reason", "duplicate_of", "supersedes", "contradicts", "clamped", F.array_join("tags", ",").alias("tags"))
 
 
 @query
 def capture_applied(spark, d):
     candidates, canon, waiting = _captured(spark, d)
-    outcome = flow.capture(candidates, canon, waiting, auto_promote=False)
+    outcome = flow.capture(candidates, canon, waiting, auto_promote=False, index=_existing(spark, d, "existing-sets", canon, waiting))
     after, staged = flow.apply_capture(canon, waiting, candidates, outcome)
     return after.select(F.lit("canon").alias("layer"), "id", "status").unionByName(staged.select(F.lit("staged").alias("layer"), "id", "status"))
 
@@ -171,7 +175,8 @@ def capture_applied(spark, d):
 @query
 def remember_note(spark, d):
     notes = K.notes(spark, d)
-    return flow.remember(notes.filter("doc_id = 3"), notes.filter("doc_id % 4 <> 3"), notes.filter("false"))
+    canon, waiting = notes.filter("doc_id % 4 <> 3"), notes.filter("false")
+    return flow.remember(notes.filter("doc_id = 3"), canon, waiting, index=_existing(spark, d, "canon-sets", canon, waiting))
 
 
 @query
@@ -421,8 +426,7 @@ def point_reads(spark, d):
 @query
 def nearest_verdict(spark, d):
     c = similarity.token_sets(K.table(spark, d, "benchmark"), "item_id", "text")
-    t = similarity.token_sets(K.table(spark, d, "documents"), "doc_id", "text")
-    return flow.nearest_duplicate(similarity.neighbours_lexical(c, t)).withColumn("score", F.round("score", 9))
+    return flow.nearest_duplicate(similarity.neighbours_lexical(c, document_sets(spark, d))).withColumn("score", F.round("score", 9))
 
 
 @query
