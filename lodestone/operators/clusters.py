@@ -8,14 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.operators.search import cosine
-from lodestone.operators.similarity import jaccard, similar_classes, similar_sets, token_set
+from lodestone.operators.similarity import similar_classes, token_set
 from lodestone.plans.components import connected_components
 from lodestone.session import stash
 
 CONSOLIDATE, RECUR_COSINE, RECUR_JACCARD = 0.9, 0.9, 0.3
-#: Classes of a set in one block, and pairs of classes up to which a pair of sets is joined row by row.
-BLOCK_CLASSES, FEW_PAIRS = 512, 256
+#: Classes of a block, pairs whose cosine is summed at a time where rounding could decide, and words of a slice.
+BLOCK_CLASSES, FEW_PAIRS, SLICE_WORDS = 2048, 65_536, 2048
 
 
 def survivor_order() -> list[Column]:
@@ -45,80 +44,109 @@ def is_graduatable(allow_decisions: bool = False) -> Column:
     return F.coalesce(F.col("graduate"), F.lit(False)) & (memory | decision)
 
 
-def _spanning(least: float):
-    """Edges that join what a unit's links join: a forest, so a unit of n classes returns fewer than n rows however many links it has."""
-
-    def f(unit: pd.DataFrame) -> pd.DataFrame:
-        unit = unit.drop_duplicates("node")
-        nodes, brains, vecs = unit["node"].to_numpy(), pd.factorize(unit["brain"])[0], unit["vec"].to_list()
-        dims = np.array([len(v) for v in vecs])
-        x = np.zeros((len(vecs), dims.max()))
-        for i, v in enumerate(vecs):
-            x[i, : len(v)] = v
-        # components are summed one after another, as `cosine` sums them
-        dot, square = np.zeros((len(x), len(x))), np.zeros(len(x))
-        for c in x.T:
-            dot += np.multiply.outer(c, c)
-            square += c * c
-        length = np.multiply.outer(np.sqrt(square), np.sqrt(square))
-        known = (length > 0) & (dims[:, None] == dims)
-        linked = (np.where(known, dot / np.where(known, length, 1), 0.0) >= least) & (brains[:, None] != brains)
-        unseen, a, b = np.ones(len(x), bool), [], []
-        for root in range(len(x)):
-            if not unseen[root]:
-                continue
-            unseen[root], reached = False, [root]
-            while reached:
-                at = reached.pop()
-                new = np.flatnonzero(linked[at] & unseen)
-                unseen[new] = False
-                a += [nodes[at]] * len(new)
-                b += nodes[new].tolist()
-                reached += new.tolist()
-        return pd.DataFrame({"a": a, "b": b}, dtype=object)
+def _overlaps(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """How many words each set of one side has in common with each of the other: a sum over slices of the words that both sides hold."""
+    words = sorted(set().union(*a) & set().union(*b))
+    place = {w: i for i, w in enumerate(words)}
+    held = []
+    for side in (a, b):
+        at = [(r, place[w]) for r, t in enumerate(side) for w in t if w in place]
+        held.append(np.array(sorted(at, key=lambda p: p[1]), np.int64).reshape(-1, 2))
+    both = np.zeros((len(a), len(b)), np.float32)
+    # counts below 2^24 are exact in single precision
+    for start in range(0, len(words), SLICE_WORDS):
+        x, y = np.zeros((len(a), SLICE_WORDS), np.float32), np.zeros((len(b), SLICE_WORDS), np.float32)
+        for m, h in ((x, held[0]), (y, held[1])):
+            part = h[np.searchsorted(h[:, 1], start) : np.searchsorted(h[:, 1], start + SLICE_WORDS)]
+            m[part[:, 0], part[:, 1] - start] = 1
+        both += x @ y.T
+    return both
+
+
+def _near(a: pd.Series, b: pd.Series, asked: np.ndarray, least: float) -> np.ndarray:
+    """Which of the asked pairs have a cosine of at least that. What rounding could decide is summed component by component, as `cosine` does."""
+    dims = [np.array([len(v) for v in s]) for s in (a, b)]
+    x, y = (np.zeros((len(s), max(dims[0].max(), dims[1].max()))) for s in (a, b))
+    for m, s in ((x, a), (y, b)):
+        for i, v in enumerate(s):
+            m[i, : len(v)] = v
+    square = []
+    for m in (x, y):
+        total = np.zeros(len(m))
+        for c in m.T:
+            total += c * c
+        square.append(np.sqrt(total))
+    known = (dims[0][:, None] == dims[1]) & (square[0] > 0)[:, None] & (square[1] > 0)
+    units = [m / np.where(s > 0, s, 1)[:, None] for m, s in zip((x, y), square, strict=True)]
+    score = np.where(known, units[0] @ units[1].T, 0.0)
+    near = score >= least
+    i, j = np.nonzero(asked & known & (np.abs(score - least) < 1e-9))
+    for start in range(0, len(i), FEW_PAIRS or 1):
+        p, q = i[start : start + (FEW_PAIRS or 1)], j[start : start + (FEW_PAIRS or 1)]
+        dot = np.zeros(len(p))
+        for c, d in zip(x.T, y.T, strict=True):
+            dot += c[p] * d[q]
+        near[p, q] = dot / (square[0][p] * square[1][q]) >= least
+    return near & asked
+
+
+def _spanning(cosine_least: float, jaccard_least: float):
+    """Edges that join what the links between two blocks join: a forest, so n classes give fewer than n rows however many links they have."""
+
+    def f(key: tuple, unit: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = key
+        a, b = (unit[unit["block"] == k].reset_index(drop=True) for k in (i, j))
+        out_a, out_b = [], []
+        if len(a) and len(b):
+            both = _overlaps(a["tokens"], b["tokens"]).astype(np.float64)
+            sizes = [s["tokens"].map(len).to_numpy(np.float64) for s in (a, b)]
+            linked = (both / (sizes[0][:, None] + sizes[1] - both) >= jaccard_least) & (a["brain"].to_numpy()[:, None] != b["brain"].to_numpy())
+            linked = _near(a["vec"], b["vec"], linked, cosine_least)
+            nodes = (a["node"].to_numpy(), b["node"].to_numpy())
+            unseen = (np.ones(len(a), bool), np.ones(len(b), bool))
+            for root in range(len(a)):
+                if not unseen[0][root]:
+                    continue
+                unseen[0][root], reached = False, [(0, root)]
+                while reached:
+                    side, at = reached.pop()
+                    new = np.flatnonzero((linked[at] if side == 0 else linked[:, at]) & unseen[1 - side])
+                    unseen[1 - side][new] = False
+                    out_a += [nodes[side][at]] * len(new)
+                    out_b += nodes[1 - side][new].tolist()
+                    reached += [(1 - side, k) for k in new.tolist()]
+        return pd.DataFrame({"a": out_a, "b": out_b}, dtype=object)
 
     return f
 
 
-def _class_links(classes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b) that join the classes (kind, set_key, brain, vec, node) of all pairs of similar sets (kind, a_key, b_key) whose links join them.
+def _class_links(classes: DataFrame, cosine_least: float, jaccard_least: float) -> DataFrame:
+    """(a, b) that join the classes (kind, brain, vec, tokens, node) which links join.
 
-    Pairs of sets with few pairs of classes are a join of a bounded number of rows each. For the others both sides are cut
-    into blocks, and a pair of blocks is a task's unit.
+    At a threshold as low as this nearly all pairs have a word in common, so each pair of blocks of a kind is a unit, in
+    which overlaps and cosines are matrix products: a class is copied once a block, and no pair leaves its unit but in a forest.
     """
-    sizes = classes.groupBy("kind", "set_key").agg(F.count("*").alias("n"))
-    n = lambda side: sizes.select("kind", F.col("set_key").alias(f"{side}_key"), F.col("n").alias(f"{side}_n"))
-    sets = stash(sets.join(n("a"), ["kind", "a_key"]).join(n("b"), ["kind", "b_key"]), "recurrence-sets")
-    is_small = F.col("a_n") * F.col("b_n") <= FEW_PAIRS
-
-    side = lambda c: classes.select("kind", F.col("set_key").alias(f"{c}_key"), F.col("node").alias(c), F.col("brain").alias(f"{c}_brain"), F.col("vec").alias(f"{c}_vec"))
-    joined = sets.filter(is_small).join(side("a"), ["kind", "a_key"]).join(side("b"), ["kind", "b_key"])
-    small = joined.filter((F.col("a_brain") != F.col("b_brain")) & (cosine(F.col("a_vec"), F.col("b_vec")) >= least)).select("a", "b")
-
-    blocks = lambda c: F.ceil(F.col(f"{c}_n") / BLOCK_CLASSES)
-    units = sets.filter(~is_small).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), blocks("a") - 1)))
-    units = units.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), blocks("b") - 1))).filter((F.col("a_key") != F.col("b_key")) | (F.col("i") <= F.col("j")))
-    dealt = classes.join(sizes, ["kind", "set_key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK_CLASSES)))
-    part = lambda key, block: units.select("kind", "a_key", "b_key", "i", "j", F.col(key).alias("set_key"), F.col(block).alias("block")).join(dealt, ["kind", "set_key", "block"])
-    rows = part("a_key", "i").unionByName(part("b_key", "j")).select("kind", "a_key", "b_key", "i", "j", "node", "brain", "vec")
-    return small.unionByName(rows.groupBy("kind", "a_key", "b_key", "i", "j").applyInPandas(_spanning(least), "a string, b string"))
+    blocks = classes.groupBy("kind").agg(F.ceil(F.count("*") / BLOCK_CLASSES).alias("blocks"))
+    dealt = classes.join(F.broadcast(blocks), "kind").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    units = dealt.withColumn("other", other).select("kind", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "brain", "vec", "tokens")
+    return units.groupBy("kind", "i", "j").applyInPandas(_spanning(cosine_least, jaccard_least), "a string, b string")
 
 
 def recurrence_clusters(notes: DataFrame, vectors: DataFrame, cosine_least: float = RECUR_COSINE, jaccard_least: float = RECUR_JACCARD, allow_decisions: bool = False) -> DataFrame:
     """(id, component) of eligible notes that recur in at least two brains. Notes without a vector of finite numbers drop.
 
-    Pairs of one kind and different brains must be similar in both measures. Words find the pairs: notes whose sets share
-    none of their rarest tokens can't reach the Jaccard threshold. Notes of equal kind, words, brain and vector are one class,
-    which has the same links as each of them and none within itself, so copies add a row each and no pairs.
+    Pairs of one kind and different brains must be similar in both measures. Notes of equal kind, words, brain and vector
+    are one class, which has the same links as each of them and none within itself, so copies add a row each and no pairs.
     """
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     eligible = notes.filter(is_graduatable(allow_decisions) & F.col("brain").isNotNull())
     pool = eligible.join(vectors.filter(finite), "id").select("id", "kind", "brain", "vec", token_set(F.concat_ws(" ", "title", "body")).alias("tokens"))
-    members, heads, pairs = similar_sets(pool.select("id", "kind", "brain", "vec", "tokens"), jaccard_least, ["kind"], carry=["brain", "vec"])
+    keyed = stash(pool, "recurrence-pool").filter(F.size("tokens") > 0).withColumn("set_key", F.unhex(F.sha2(F.array_join(F.sort_array("tokens"), " ").cast("binary"), 256)))
     key = ["kind", "set_key", "brain", "vec"]
-    classes = stash(members.groupBy(*key).agg(F.min("id").alias("node")), "recurrence-classes")
-    own = heads.select("kind", F.col("set_key").alias("a_key"), F.col("set_key").alias("b_key"))
-    links = _class_links(classes, pairs.select("kind", "a_key", "b_key").unionByName(own), cosine_least)
+    members = keyed.select("id", *key)
+    classes = stash(keyed.groupBy(*key).agg(F.min("id").alias("node"), F.first("tokens").alias("tokens")), "recurrence-classes")
+    links = _class_links(classes, cosine_least, jaccard_least)
     found = connected_components(links)
     placed = members.join(classes, key).join(found, "node").select("id", "brain", "component")
     spread = placed.groupBy("component").agg(F.countDistinct("brain").alias("brains")).filter("brains >= 2")
