@@ -100,3 +100,19 @@ def test_the_bound_ends_the_reading(spark, monkeypatch):
     monkeypatch.setattr(set_join, "FIRST_WORDS", 4)
     out = neighbours_lexical(spark.createDataFrame([(1, ["r7", *common])], SCHEMA), spark.createDataFrame(old, SCHEMA), 1).collect()
     assert [(r.neighbour, r.score) for r in out] == [(7, 1.0)] and sum(looked) <= 4
+
+
+def test_pairs_that_are_compared_are_few(spark, monkeypatch):
+    """Of 15,000 pairs of sets that share words among their first ones hardly any are compared."""
+    rng = random.Random(6)
+    old = [(i, [f"w{w}" for w in rng.sample(range(3000), 200)]) for i in range(300)]
+    fresh = [(900 + i, [f"w{w}" for w in rng.sample(range(3000), 200)]) for i in range(40)] + [(300 + i, [*old[i][1][:-4], f"x{i}"]) for i in range(10)]
+    compared = []
+
+    def counted(pairs, own, sets, inner=set_join._scored):
+        compared.append(pairs.count())
+        return inner(pairs, own, sets)
+
+    monkeypatch.setattr(set_join, "_scored", counted)
+    out = set_join.most_similar(spark.createDataFrame(fresh, SCHEMA), set_join.build(spark.createDataFrame(old, SCHEMA), 0.8), 0.8).collect()
+    assert {(r.id, r.duplicate_of) for r in out} == {(300 + i, i) for i in range(10)} and compared[0] <= 500
