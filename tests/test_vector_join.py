@@ -48,3 +48,17 @@ def test_nothing_to_find(spark, table):
     none = spark.createDataFrame([], SCHEMA)
     assert vector_join.neighbours(none, table[1], 2)[0].count() == 0
     assert vector_join.neighbours(table[1].filter("id = 'v0001'"), none, 2)[0].count() == 0
+
+
+def test_a_query_is_routed_once_a_part(spark, table):
+    """However many rings a query meets, its vector is copied once for each part of them."""
+    cells = vector_join.Cells(table[1].filter("id LIKE 'v%'"), 16, 8)
+    rows = table[1].filter("id LIKE 'v%'").selectExpr("id AS candidate", "vec", "0D AS least").toPandas()
+    routed = list(vector_join._route(cells.pivots, cells.rings, cells.parts, 1, False)(iter([rows])))
+    assert len(cells.rings) > 10 and cells.parts.max() == 0
+    assert all(len(r) <= vector_join.ROUTED for r in routed) and sum(len(x) for r in routed for x in r["rings"]) > 300 * 5
+
+
+def test_parts_hold_a_block_or_one_ring(monkeypatch):
+    monkeypatch.setattr(vector_join, "BLOCK_VECTORS", 10)
+    assert vector_join._parts(np.array([4, 6, 1, 25, 3, 7, 11])).tolist() == [0, 0, 1, 2, 3, 3, 4]
