@@ -45,7 +45,7 @@ def test_few_candidates_build_no_index(spark, monkeypatch):
     assert sorted(similarity.neighbours_lexical(new, old).collect()) == few and built
 
 
-@pytest.mark.parametrize("name", ["neighbors_lexical"])
+@pytest.mark.parametrize("name", ["neighbors_lexical", "nearest_verdict"])
 def test_the_queries_shuffle_no_words(spark, small, name):
     """200 documents of 500 kB: each task's best rows are shuffled, and nothing of the documents is written."""
     from __spark_entry__ import queries
