@@ -90,3 +90,12 @@ def test_decision_records(spark, tmp_path):
         (folder / name).write_text(body)
     got = files.read_decision_records(spark, str(tmp_path)).orderBy(F.col("file")).collect()
     assert [(r.file, r.title, r.kind) for r in got] == [("0001-a.md", "Use Spark", "decision"), ("0002-b.MD", "0002-b", "decision")]
+
+
+def test_a_filter_on_errors_reads_each_field_once(spark):
+    """The front matter is cut from a text once or twice, however often the conditions of `error` name its fields."""
+    texts = spark.createDataFrame([("memory/a.md", "---\nid: a\nkind: memory\ntitle: t\ncreated: 2024-01-02\n---\nx\n"), ("memory/b.md", "---\nid: b\nkind: odd\n---\nx\n"), ("memory/c.md", "c")], "path string, text string")
+    failed = files.parse_notes(texts).filter("error IS NOT NULL").select("path", "error")
+    assert sorted(map(tuple, failed.collect())) == [("memory/b.md", "kind"), ("memory/c.md", "no front matter")]
+    plan = failed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(text") <= 2 and plan.count("kind:") <= 8
