@@ -85,3 +85,15 @@ def test_blocks_below_the_bound_are_skipped(spark, tmp_path, monkeypatch):
     assert found.spans >= 125 and found.met <= 8
     every = index.answer(spark, folder, "needle", 2000, first_spans=3)
     assert every.met == every.spans and picked(every.notes) == picked(search.search_lexical(notes, "needle", 2000))
+
+
+def test_building_shuffles_no_postings(spark, notes, tmp_path):
+    """Postings of a span are put in blocks by the task that holds its notes; a term that has several blocks in a span counts once."""
+
+    def written():
+        listed = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(listed.apply(i).totalShuffleWrite() for i in range(listed.size()))
+
+    before = written()
+    index.build(notes, f"{tmp_path}/index")
+    assert written() - before < 50_000
