@@ -56,3 +56,17 @@ def test_the_queries_shuffle_no_words(spark, small, name):
 
     before = written()
     assert queries()[name](spark, small).count() and written() - before < 700_000
+
+
+def test_one_note_is_remembered_without_an_index(spark, monkeypatch):
+    from lodestone.operators import flow
+
+    words = [f"w{i}" for i in range(20)]
+    canon = spark.createDataFrame([(f"n{i}", "t", " ".join(words[:19] + [f"x{i % 2}"])) for i in range(8, 0, -1)] + [("n9", "t", "else")], "id string, title string, body string")
+    new = spark.createDataFrame([("a", "t " + " ".join(words)), ("b", "t " + " ".join(words[:8]))], "id string, text string")
+    built = []
+    monkeypatch.setattr(flow, "build", lambda *a, inner=flow.build: built.append(1) or inner(*a))
+    few = [tuple(r) for r in flow.like_older(new, canon, canon.limit(0)).collect()]
+    assert few == [("a", "n1", 20 / 22)] and not built
+    monkeypatch.setattr(set_scan, "SCAN_WORDS", 3)
+    assert [tuple(r) for r in flow.like_older(new, canon, canon.limit(0)).collect()] == few and built
