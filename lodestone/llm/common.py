@@ -5,8 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import pairwise
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +22,10 @@ from lodestone.session import ship_package, stash  # noqa: F401
 #: Bytes of input columns that a Python worker gets at once.
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2000
+#: Bytes of texts of a batch that a worker has as Python objects, with what it makes of them, at once.
+PORTION_BYTES = 1 << 20
+
+_held: dict[tuple, Any] = {}
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -49,6 +57,23 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: int, size: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
+    """All rows of the batches in slices, not copied, whose texts or bytes in `column` begin within `size` bytes; a longer value is never cut."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff((np.cumsum(lengths) - lengths) // size)) + 1
+        for a, b in pairwise([0, *cuts.tolist(), batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
+def held(owner: tuple, make: Callable[[], Any]) -> Any:
+    """What this worker remembers for `owner` from task to task. Workers are used again by other steps' tasks, so another owner's goes when one begins."""
+    if owner not in _held:
+        _held.clear()
+        _held[owner] = make()
+    return _held[owner]
+
+
 def task_number() -> int:
     """The number of this task's partition; partitions of a range exchange are numbered in range order."""
     return TaskContext.get().partitionId()

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import map_arrow, stash, task_number, utf8, whole_row
+from lodestone.llm.common import held, map_arrow, portions, stash, task_number, utf8, whole_row
 from lodestone.plans.components import connected_components
 
 #: A set's bins, and bins in a band. A pair of Jaccard 0.8 shares none of 42 bands once in 350,000 times.
@@ -40,7 +40,6 @@ BLOCK_NODES, BLOCK_SHINGLES, COLUMNS = 800, 400_000, 2048
 
 _mix = np.random.default_rng(97).integers(0, BINS, (4096, BINS))
 _odd = np.random.default_rng(98).integers(1, 1 << 63, BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_memo: dict[bytes, int] = {}
 
 
 def finish(h: np.ndarray) -> np.ndarray:
@@ -53,15 +52,15 @@ def finish(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    global _memo
+    memo: dict[bytes, int] = held(("word hashes",), dict)
     try:
-        return np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
     except KeyError:
-        if len(_memo) > MEMO:
-            _memo = {}
-        for w in set(words).difference(_memo):
-            _memo[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
+        if len(memo) > MEMO:
+            memo.clear()
+        for w in set(words).difference(memo):
+            memo[w] = xxhash.xxh64_intdigest(w)
+        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(text: bytes | None, size: int = SHINGLE_WORDS) -> np.ndarray:
@@ -110,7 +109,7 @@ def bands(signature: np.ndarray) -> np.ndarray:
 def _sketch(size: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = task_number() << 33, 0
-        for batch in batches:
+        for batch in portions(batches, 1):
             sizes, keys, buckets = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, size)
@@ -129,7 +128,7 @@ def _sketch(size: int):
 
 def _sets(size: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1):
             sets = [shingles(t, size).view(np.int64) for t in batch.column(1).to_pylist()]
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "set_key", "members"])

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import map_arrow, stash, task_number, task_offsets
+from lodestone.llm.common import map_arrow, portions, stash, task_number, task_offsets
 from lodestone.llm.tokens import encoder
 
 WINDOW = 1024
@@ -23,7 +23,7 @@ END_ID = 0
 def _encode(end_id: int, path: str | None):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, part, at = encoder(path).encode, end_id.to_bytes(4, "little"), task_number(), 0
-        for batch in batches:
+        for batch in portions(batches, 1):
             ids, starts = [], []
             for text in batch.column(1).to_pylist():
                 ids.append(encode(text or "") + end)
@@ -36,7 +36,7 @@ def _encode(end_id: int, path: str | None):
 
 def _cut(window: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 2):
             rows, starts, lengths, crcs = [], [], [], []
             at = batch.column(1).to_pylist()
             for row, ids in enumerate(batch.column(2)):

@@ -15,7 +15,7 @@ from collections.abc import Callable
 import regex
 from tokenizers import Tokenizer
 
-from lodestone.llm.common import slices
+from lodestone.llm.common import held, slices
 
 VOCABULARY = "byte_bpe_50k.json"
 SPACED_VOCABULARY = "word_bpe_49k.json"
@@ -87,7 +87,7 @@ class Encoder:
             pass
         old, tokenize, letters = self.old, self.model.tokenize, self.letters
         for piece in set(pieces).difference(new):
-            ids = old.get(piece)
+            ids = old.pop(piece, None)
             if ids is None:
                 ids = array("I", [t.id for t in tokenize(piece.encode("utf-8", "replace").decode("latin-1").translate(letters))]).tobytes()
             new[piece] = ids
@@ -151,18 +151,10 @@ class SpacedEncoder:
         return b"".join(map(self._slice, slices(raw)))
 
 
-_encoders: dict[str | None, Encoder] = {}
-_spaced: dict[str | None, SpacedEncoder] = {}
-
-
 def encoder(path: str | None = None) -> Encoder:
     """This worker's encoder; workers are used again by later tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def spaced_encoder(path: str | None = None) -> SpacedEncoder:
-    if path not in _spaced:
-        _spaced[path] = SpacedEncoder(path)
-    return _spaced[path]
+    return held(("spaced encoder", path), lambda: SpacedEncoder(path))

@@ -1,10 +1,14 @@
+import gc
+import weakref
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from lodestone.llm import packing, token_output
-from lodestone.llm.tokens import Encoder, vocabulary_path
+from lodestone.llm import minhash, packing, token_output
+from lodestone.llm.common import PORTION_BYTES
+from lodestone.llm.tokens import Encoder, encoder, vocabulary_path
 from tokenizers import Tokenizer
 
 
@@ -122,3 +126,41 @@ def test_lookup_with_null_and_text_ids(spark, ids_of):
     assert sorted((r.doc_id, r.ids) for r in token_output.documents(shards, dictionary, ["aé", "", "q"]).collect()) == [("", [*ids_of("three"), 2]), ("aé", [*ids_of("two words"), 2])]
     out = sorted(token_output.token_output(docs).collect(), key=lambda r: r.start)
     assert [(r.doc_id, r.ids_crc32) for r in out] == [(d, crc([*ids_of(t), 2])) for d, t in sorted(named, key=lambda r: (r[0] is not None, (r[0] or "").encode()))]
+
+
+def test_a_worker_holds_a_portion_of_a_batch(ids_of, monkeypatch):
+    """Texts of a whole batch were Python objects at once, with their ids beside them."""
+    monkeypatch.setattr(packing, "task_number", lambda: 3)
+    texts = [None, "", *["one two  three " * (i % 7) for i in range(3000)], "long " * 400_000, "", None, "last"]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    out = list(packing._encode(0, None)(iter([batch.slice(0, 5), batch.slice(5), batch.slice(0, 0)])))
+    want = [np.array([*ids_of(t), 0], "<u4").tobytes() for t in texts]
+    table = pa.Table.from_batches(out)
+    assert table["doc_id"].to_pylist() == list(range(len(texts))) and table["ids"].to_pylist() == want
+    assert table["start_in_part"].to_pylist() == np.cumsum([0, *(len(x) // 4 for x in want)])[:-1].tolist()
+    sized = pa.record_batch([pa.array(range(64)), pa.array(["x" * (PORTION_BYTES // 4)] * 64)], names=["doc_id", "text"])
+    assert [b.num_rows for b in packing._encode(0, None)(iter([sized.slice(0, 8)]))] == [4, 4]
+    monkeypatch.setattr(minhash, "task_number", lambda: 0)
+    raw = sized.set_column(1, "text", sized.column(1).cast(pa.binary()))
+    assert [b.num_rows for b in minhash._sets(2)(iter([raw]))] == [4] * 16
+    ids = pa.record_batch([raw.column(0), pa.array(range(64)), raw.column(1), raw.column(0)], names=["doc_id", "begin", "ids", "n"])
+    assert sum(1 for _ in packing._cut(1024)(iter([ids]))) == 16
+
+
+def test_a_worker_remembers_for_one_step():
+    """Workers are used again: what an earlier step's tasks remembered stayed for good."""
+    first = weakref.ref(encoder())
+    encoder().encode("some words")
+    assert encoder() is first()
+    assert len(minhash.shingles(b"some words here")) == 2
+    gc.collect()
+    assert first() is None
+
+
+def test_a_forgotten_piece_is_held_once(ids_of):
+    one = Encoder()
+    one.MEMO = 4
+    text = "zebra lion tiger bear wolf fox"
+    assert np.frombuffer(one.encode(text), "<u4").tolist() == ids_of(text) and one.old and not one.new
+    assert np.frombuffer(one.encode("zebra lion"), "<u4").tolist() == ids_of("zebra lion")
+    assert not one.old.keys() & one.new.keys() and set(one.new) == {"zebra", " lion"}
