@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from lodestone.operators import set_parts, similarity
+from lodestone.operators import set_join, set_parts, similarity
 
 SCHEMA = "id long, tokens array<string>"
 
@@ -67,3 +67,20 @@ def test_parts_of_rare_words_come_first():
     row, key, place = set_parts._first_parts(words, np.zeros(90, int), np.array([100]), np.array([10]), weight, 0.8)
     same = set_parts._first_parts(np.concatenate([words[60:], words[:60]]), np.zeros(90, int), np.array([100]), np.array([10]), weight, 0.8)
     assert key.tolist() == same[1].tolist() and place.tolist() == list(range(12))
+
+
+def test_candidates_of_frequent_words_meet_nobody(spark, monkeypatch):
+    """Of 22,000 pairs of a candidate and an existing set, of a small vocabulary both, hardly any are scored but the similar ones."""
+    rng = random.Random(5)
+    old = [(i, [f"w{w}" for w in rng.sample(range(300), 60)]) for i in range(450)]
+    fresh = [(900 + i, [f"w{w}" for w in rng.sample(range(300), 60)]) for i in range(40)] + [(600 + i, [*old[i][1][:-3], f"x{i}"]) for i in range(10)]
+    scored = []
+
+    def counted(pairs, own, sets, inner=set_join._scored):
+        scored.append(pairs.count())
+        return inner(pairs, own, sets)
+
+    monkeypatch.setattr(set_join, "_scored", counted)
+    monkeypatch.setattr(set_join, "UNIT_PAIRS", 3)
+    out = set_join.most_similar(spark.createDataFrame(fresh, SCHEMA), set_join.build(spark.createDataFrame(old + [(2**60 + i, t) for i, t in old[:5]], SCHEMA), 0.8), 0.8).collect()
+    assert {(r.id, r.duplicate_of) for r in out} == {(600 + i, i) for i in range(10)} and scored[0] <= 60
