@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from lodestone.operators import clusters
-from lodestone.plans import queries
+from lodestone.plans import queries, team_queries
 from pyspark.sql import functions as F
 
 
@@ -61,7 +61,7 @@ def test_links_are_those_of_all_pairs(monkeypatch, dense, same):
     assert (found == want).all() and want.sum() > 50
 
 
-@pytest.mark.parametrize("query", [queries.graduate_suppressed])
+@pytest.mark.parametrize("query", [queries.graduate_suppressed, team_queries.suppressed_count])
 def test_candidates_are_made_once_a_query(spark, small, query):
     """What is read two or three times is written: no reader goes back to the documents."""
     assert not [f for f in query(spark, small).inputFiles() if "documents" in f]
